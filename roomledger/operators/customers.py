@@ -86,8 +86,13 @@ def _of(bookings: DataFrame, customer_id: int | None) -> DataFrame:
     return bookings.where(F.col("customer_id") == customer_id)
 
 
+def _listed(df: DataFrame, customer_id: int | None, *order: Column) -> DataFrame:
+    """Ordered for one guest; the rows of all guests are not sorted as a whole."""
+    return df if customer_id is None else df.orderBy(*order)
+
+
 def customer_history(t: Tables, customer_id: int | None = None) -> DataFrame:
-    """Bookings of one guest (or of all) with room and category, newest first."""
+    """Bookings of one guest with room and category, newest first (or of all)."""
     rooms = renamed(
         with_category(t.rooms, t.room_categories),
         room_id="id",
@@ -95,11 +100,8 @@ def customer_history(t: Tables, customer_id: int | None = None) -> DataFrame:
         room_number="room_number",
         category_name="category_name",
     )
-    return (
-        _of(t.bookings, customer_id)
-        .join(rooms, "room_id")
-        .orderBy("customer_id", F.desc("created_at"), F.desc("id"))
-    )
+    stays = _of(t.bookings, customer_id).join(rooms, "room_id")
+    return _listed(stays, customer_id, F.desc("created_at"), F.desc("id"))
 
 
 def customer_stats(t: Tables, customer_id: int | None = None) -> DataFrame:
@@ -158,18 +160,15 @@ def customer_category_prefs(t: Tables, customer_id: int | None = None) -> DataFr
         with_category(t.rooms, t.room_categories), room_id="id", preferred_category="category_name"
     )
     stays = _of(t.bookings, customer_id).where(earned()).join(rooms, "room_id")
-    return (
-        stays.groupBy("customer_id", "preferred_category")
-        .agg(
-            F.count(F.lit(1)).alias("total_bookings"),
-            mean(F.col("adults")).alias("avg_adults"),
-            mean(F.col("children")).alias("avg_children"),
-            mean(F.col("total_amount")).alias("avg_spending"),
-            mean(nights()).alias("avg_stay_length"),
-            F.count("preferred_category").alias("category_bookings"),
-        )
-        .orderBy("customer_id", F.desc("category_bookings"), "preferred_category")
+    prefs = stays.groupBy("customer_id", "preferred_category").agg(
+        F.count(F.lit(1)).alias("total_bookings"),
+        mean(F.col("adults")).alias("avg_adults"),
+        mean(F.col("children")).alias("avg_children"),
+        mean(F.col("total_amount")).alias("avg_spending"),
+        mean(nights()).alias("avg_stay_length"),
+        F.count("preferred_category").alias("category_bookings"),
     )
+    return _listed(prefs, customer_id, F.desc("category_bookings"), F.asc("preferred_category"))
 
 
 def customer_amenity_prefs(t: Tables, customer_id: int | None = None, k: int = 5) -> DataFrame:
@@ -195,20 +194,20 @@ def customer_amenity_prefs(t: Tables, customer_id: int | None = None, k: int = 5
         .join(catalogue, "amenity_id")
     )
     best = Window.partitionBy("customer_id").orderBy(F.desc("usage_count"), F.asc("amenity_id"))
-    return (
+    liked = (
         usage.withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= k)
         .select("customer_id", "amenity_id", "name", "icon", "usage_count")
-        .orderBy("customer_id", F.desc("usage_count"), "amenity_id")
     )
+    return _listed(liked, customer_id, F.desc("usage_count"), F.asc("amenity_id"))
 
 
 def customer_seasonality(t: Tables, customer_id: int | None = None) -> DataFrame:
     """Earned bookings of each guest per month of arrival."""
-    return (
+    months = (
         _of(t.bookings, customer_id)
         .where(earned())
         .groupBy("customer_id", F.month(CHECK_IN).alias("month"))
         .agg(F.count(F.lit(1)).alias("bookings"), mean(F.col("total_amount")).alias("avg_amount"))
-        .orderBy("customer_id", "month")
     )
+    return _listed(months, customer_id, F.asc("month"))

@@ -93,14 +93,15 @@ def room_detail(t: Tables, room_id: int | None = None) -> DataFrame:
 
 
 def room_gallery(t: Tables, room_id: int | None = None) -> DataFrame:
-    """Images of one room (or all), primary first, then display order.
+    """Images of one room, primary first, then display order (or of all rooms).
 
     Images come as rows: a room may own more of them than one list should hold.
     """
-    images = t.room_images
-    if room_id is not None:
-        images = images.where(F.col("room_id") == room_id)
-    return images.orderBy("room_id", F.desc("is_primary"), F.asc("display_order"), F.asc("id"))
+    if room_id is None:
+        return t.room_images
+    return t.room_images.where(F.col("room_id") == room_id).orderBy(
+        F.desc("is_primary"), F.asc("display_order"), F.asc("id")
+    )
 
 
 def room_search(

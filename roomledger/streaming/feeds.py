@@ -1,7 +1,8 @@
 """Status changes, access rates and channel health as streams.
 
-All state and progress live under the checkpoint path the caller gives, which
-on a cluster is a shared folder.
+Progress and state live under the checkpoint path the caller gives, else in a
+folder per job below ``spark.checkpoint.dir``, the shared folder of the
+session.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def read_feed(spark: SparkSession, path: str, schema: str, max_files: int = 1000
 
 
 def collect_status_changes(
-    changes: DataFrame, store: str, checkpoint: str, **trigger
+    changes: DataFrame, store: str, checkpoint: str | None = None, **trigger
 ) -> StreamingQuery:
     """Keeps the change store of ``current_bookings`` up to date.
 
@@ -44,12 +45,14 @@ def collect_status_changes(
     booking table is never rewritten by the stream.
     """
 
+    progress = checkpoint or f"{checkpoint_root(changes.sparkSession)}/status_changes"
+
     def keep(batch: DataFrame, batch_id: int) -> None:
         latest_changes(batch).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     return (
         changes.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", progress)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
@@ -81,13 +84,14 @@ def sync_health_stream(logs: DataFrame, width: str = "1 hour", late: str = "1 ho
 
 
 def write_closed_windows(
-    windows: DataFrame, path: str, checkpoint: str, **trigger
+    windows: DataFrame, path: str, job: str, checkpoint: str | None = None, **trigger
 ) -> StreamingQuery:
+    progress = checkpoint or f"{checkpoint_root(windows.sparkSession)}/{job}"
     return (
         windows.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", progress)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
