@@ -48,14 +48,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, the form the comparison reads."""
-    return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name)
-            if isinstance(f.dataType, DecimalType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    money = [f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)]
+    return df.withColumns({name: F.col(name).cast("double") for name in money})
 
 
 def _names(df: DataFrame) -> DataFrame:

@@ -29,18 +29,21 @@ def settings_typed(t: Tables) -> DataFrame:
     """
     text, kind = F.col("setting_value"), F.col("data_type")
     number = F.regexp_extract(text, NUMBER_PREFIX, 1).try_cast("double")
-    parsed = F.try_parse_json(text)
-    is_json = (kind == "json") & parsed.isNotNull()
-    plain = ~kind.isin("number", "boolean") & ~is_json
-    return t.settings.select(
+    # Sorted by key first: the sort samples its input, which is then still a
+    # plain scan. The json text is parsed once, and only where it is declared.
+    parsed = t.settings.orderBy("setting_key").withColumn(
+        "_json", F.when(kind == "json", F.try_parse_json(text))
+    )
+    typed_elsewhere = F.coalesce(kind.isin("number", "boolean"), F.lit(False))
+    return parsed.select(
         "setting_key",
         "data_type",
         "description",
         F.when(kind == "number", number).alias("number_value"),
         F.when(kind == "boolean", F.coalesce(text == "true", F.lit(False))).alias("boolean_value"),
-        F.when(is_json, parsed).alias("json_value"),
-        F.when(F.coalesce(plain, F.lit(True)), text).alias("string_value"),
-    ).orderBy("setting_key")
+        F.col("_json").alias("json_value"),
+        F.when(~typed_elsewhere & F.col("_json").isNull(), text).alias("string_value"),
+    )
 
 
 def hotel_info(t: Tables) -> DataFrame:

@@ -15,6 +15,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Recording the Python line of every column expression costs more than
+    # planning the query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.sources.parallelPartitionDiscovery.threshold": "32",
 }
 

@@ -2,12 +2,13 @@
 
 Parts become rooms, orders become bookings, customers become guests, and the
 event table becomes channel logs, settings and job inputs. Every derived
-table scans its source whole, so the work of a query grows with the data.
+table scans its source whole, so the work of a query grows with the data. The
+derivations are SQL expressions, one per column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.sources.schema import schema_of
@@ -33,22 +34,25 @@ _FILES = {
 CHANNELS = ("Booking.com", "Agoda", "Airbnb", "Expedia", "Direct")
 
 
-def _pick(values, position: Column) -> Column:
+def _list(values) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"array({quoted})"
+
+
+def _pick(values, position: str) -> str:
     """``values[position]`` counted from 1; null outside the list."""
-    return F.try_element_at(F.array(*[F.lit(v) for v in values]), position.cast("int"))
+    return f"try_element_at({_list(values)}, CAST({position} AS INT))"
 
 
-def _day_plus(start: str, days: Column) -> Column:
-    return F.date_add(F.lit(start).cast("date"), days.cast("int"))
+def _day_plus(start: str, days: str) -> str:
+    return f"date_add(DATE '{start}', CAST({days} AS INT))"
 
 
-def _shaped(df: DataFrame, table: str) -> DataFrame:
-    """Declared columns in order, typed; columns without a source are null."""
-    return df.select(
+def _shaped(df: DataFrame, table: str, **columns: str) -> DataFrame:
+    """Declared columns in order and typed, by their expressions; the rest null."""
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
+            f"CAST({columns.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
             for f in schema_of(table).fields
         ]
     )
@@ -67,302 +71,223 @@ class StarSource:
     # Tables ---------------------------------------------------------------
 
     def rooms(self) -> DataFrame:
-        key = F.col("p_partkey")
-        kinds = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "PROMO")
-        # A kind outside the list leaves the room without a category.
-        category = F.nullif(
-            F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("p_type")), F.lit(0)
-        )
         return _shaped(
-            self.raw("part").select(
-                key.alias("id"),
-                F.concat(F.lit("R"), key.cast("string")).alias("room_number"),
-                F.col("p_name").alias("room_name"),
-                F.col("p_brand").alias("description"),
-                category.alias("room_category_id"),
-                F.col("p_retailprice").cast("decimal(10,2)").alias("price_per_night"),
-                (F.lit(1) + F.col("p_size") % 6).alias("max_occupancy"),
-                F.col("p_size").cast("decimal(8,2)").alias("room_size"),
-                (key % 10 != 9).alias("is_active"),
-                _day_plus("1995-01-01", key % 97).alias("created_at"),
-                _day_plus("2001-06-15", -(key % 30)).alias("updated_at"),
-            ),
+            self.raw("part"),
             "rooms",
+            id="p_partkey",
+            room_number="concat('R', p_partkey)",
+            room_name="p_name",
+            description="p_brand",
+            # Any other kind leaves the room without a category.
+            room_category_id="""CASE p_type WHEN 'STANDARD' THEN 1 WHEN 'SMALL' THEN 2
+                WHEN 'MEDIUM' THEN 3 WHEN 'LARGE' THEN 4 WHEN 'PROMO' THEN 5 END""",
+            price_per_night="p_retailprice",
+            max_occupancy="1 + p_size % 6",
+            room_size="p_size",
+            is_active="p_partkey % 10 <> 9",
+            created_at=_day_plus("1995-01-01", "p_partkey % 97"),
+            updated_at=_day_plus("2001-06-15", "-(p_partkey % 30)"),
         )
 
     def room_categories(self) -> DataFrame:
-        found = self.rooms().where(F.col("room_category_id").isNotNull())
+        found = self.rooms().where("room_category_id IS NOT NULL").select("room_category_id")
         return _shaped(
-            found.select(F.col("room_category_id").alias("id"))
-            .distinct()
-            .select(
-                "id",
-                _pick([c[0] for c in CATEGORIES], F.col("id")).alias("name"),
-                _pick([c[1] for c in CATEGORIES], F.col("id")).alias("description"),
-            ),
+            found.distinct(),
             "room_categories",
+            id="room_category_id",
+            name=_pick([c[0] for c in CATEGORIES], "room_category_id"),
+            description=_pick([c[1] for c in CATEGORIES], "room_category_id"),
         )
 
     def amenities(self) -> DataFrame:
-        offered = self.raw("supplier").select((F.col("s_suppkey") % 10 + 1).alias("id"))
         return _shaped(
-            offered.distinct().select(
-                "id",
-                _pick([a[0] for a in AMENITIES], F.col("id")).alias("name"),
-                _pick([a[1] for a in AMENITIES], F.col("id")).alias("icon"),
-                _pick([a[2] for a in AMENITIES], F.col("id")).alias("description"),
-            ),
+            self.raw("supplier").selectExpr("s_suppkey % 10 + 1 AS k").distinct(),
             "amenities",
+            id="k",
+            name=_pick([a[0] for a in AMENITIES], "k"),
+            icon=_pick([a[1] for a in AMENITIES], "k"),
+            description=_pick([a[2] for a in AMENITIES], "k"),
         )
 
     def room_amenities(self) -> DataFrame:
         return _shaped(
-            self.raw("lineitem")
-            .select(
-                F.col("l_partkey").alias("room_id"),
-                (F.col("l_suppkey") % 10 + 1).alias("amenity_id"),
-            )
-            .distinct(),
+            self.raw("lineitem"),
             "room_amenities",
-        )
+            room_id="l_partkey",
+            amenity_id="l_suppkey % 10 + 1",
+        ).distinct()
 
     def room_images(self) -> DataFrame:
-        room = F.col("p_partkey")
-        count = F.least(room % 7, F.lit(3)).cast("int")
-        numbers = F.when(count > 0, F.sequence(F.lit(1), count))
+        numbers = "CASE WHEN p_partkey % 7 > 0 THEN sequence(1, least(p_partkey % 7, 3)) END"
         return _shaped(
-            self.raw("part")
-            .select(room.alias("room_id"), F.explode(numbers).alias("i"))
-            .select(
-                (F.col("room_id") * 3 + F.col("i")).alias("id"),
-                "room_id",
-                F.concat_ws("-", F.lit("room"), "room_id", "i").alias("image_path"),
-                (F.col("i") == F.col("room_id") % 3 + 1).alias("is_primary"),
-                F.col("i").alias("display_order"),
-            ),
+            self.raw("part").selectExpr("p_partkey", f"explode({numbers}) AS i"),
             "room_images",
+            id="p_partkey * 3 + i",
+            room_id="p_partkey",
+            image_path="concat_ws('-', 'room', p_partkey, i)",
+            is_primary="i = p_partkey % 3 + 1",
+            display_order="i",
         )
 
     def customers(self) -> DataFrame:
-        key = F.col("c_custkey")
-        country = (
-            F.when(key % 17 == 0, F.lit(None)).when(key % 17 == 1, F.lit("")).otherwise(
-                F.col("n_name")
-            )
-        )
+        seen = _day_plus("1995-01-01", "c_custkey * 37 % 2400")
         joined = self.raw("customer").join(
             self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         )
         return _shaped(
-            joined.select(
-                key.alias("id"),
-                F.col("c_mktsegment").alias("first_name"),
-                F.substring("c_name", 10, 9).alias("last_name"),
-                F.concat(F.lit("guest"), key.cast("string"), F.lit("@example.com")).alias(
-                    "email"
-                ),
-                F.concat(F.lit("+1555"), F.lpad((key % 10000).cast("string"), 4, "0")).alias(
-                    "phone"
-                ),
-                country.alias("country"),
-                _day_plus("1995-01-01", key * 37 % 2400).alias("created_at"),
-                _day_plus("1995-01-01", key * 37 % 2400).alias("updated_at"),
-            ),
+            joined,
             "customers",
+            id="c_custkey",
+            first_name="c_mktsegment",
+            last_name="substring(c_name, 10, 9)",
+            email="concat('guest', c_custkey, '@example.com')",
+            phone="concat('+1555', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))",
+            country="CASE c_custkey % 17 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE n_name END",
+            created_at=seen,
+            updated_at=seen,
         )
 
     def bookings(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        placed = F.col("o_orderdate").cast("date")
-        room_count = self.raw("part").agg(F.count(F.lit(1))).scalar()
-        status = (
-            F.when((key % 10).isin(3, 7), "cancelled")
-            .when(key % 23 == 5, "no_show")
-            .when(F.col("o_orderstatus") == "F", "completed")
-            .when(F.col("o_orderstatus") == "O", "confirmed")
-            .otherwise("pending")
-        )
-        source = (
-            F.when(F.substring("o_orderpriority", 1, 1) == "1", "direct")
-            .when(F.substring("o_orderpriority", 1, 1) == "2", "booking_com")
-            .when(F.substring("o_orderpriority", 1, 1) == "3", "agoda")
-            .when(F.substring("o_orderpriority", 1, 1) == "4", "airbnb")
-            .otherwise("expedia")
-        )
-        arrival = F.date_add(placed, (key % 60).cast("int"))
+        rooms = self.raw("part").agg(F.count(F.lit(1))).scalar()
+        placed = "CAST(o_orderdate AS DATE)"
+        arrival = f"date_add({placed}, CAST(o_orderkey % 60 AS INT))"
         return _shaped(
-            self.raw("orders").select(
-                key.alias("id"),
-                F.concat(F.lit("BK"), key.cast("string")).alias("booking_reference"),
-                # Guests with a key divisible by 25 never book; a few bookings
-                # lost their guest or their room.
-                F.when(key % 97 == 0, F.lit(None))
-                .otherwise(
-                    F.col("o_custkey") + F.when(F.col("o_custkey") % 25 == 0, 1).otherwise(0)
-                )
-                .alias("customer_id"),
-                F.when(key % 89 == 0, F.lit(None))
-                .otherwise(key * 7919 % (room_count - 1))
-                .alias("room_id"),
-                arrival.alias("check_in_date"),
-                F.date_add(arrival, (key * 31 % 11).cast("int")).alias("check_out_date"),
-                (key % 3 + 1).alias("adults"),
-                F.when(key % 13 != 0, key % 4).alias("children"),
-                F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),
-                status.alias("booking_status"),
-                source.alias("source"),
-                F.col("o_orderdate").alias("created_at"),
-                F.date_add(placed, (key * 17 % 61).cast("int")).alias("updated_at"),
-            ),
+            self.raw("orders").withColumn("rooms", rooms),
             "bookings",
+            id="o_orderkey",
+            booking_reference="concat('BK', o_orderkey)",
+            # Guests with a key divisible by 25 never book; a few bookings
+            # lost their guest or their room.
+            customer_id="""CASE WHEN o_orderkey % 97 <> 0
+                THEN o_custkey + CASE WHEN o_custkey % 25 = 0 THEN 1 ELSE 0 END END""",
+            room_id="CASE WHEN o_orderkey % 89 <> 0 THEN o_orderkey * 7919 % (rooms - 1) END",
+            check_in_date=arrival,
+            check_out_date=f"date_add({arrival}, CAST(o_orderkey * 31 % 11 AS INT))",
+            adults="o_orderkey % 3 + 1",
+            children="CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 4 END",
+            total_amount="o_totalprice",
+            booking_status="""CASE WHEN o_orderkey % 10 IN (3, 7) THEN 'cancelled'
+                WHEN o_orderkey % 23 = 5 THEN 'no_show'
+                WHEN o_orderstatus = 'F' THEN 'completed'
+                WHEN o_orderstatus = 'O' THEN 'confirmed' ELSE 'pending' END""",
+            source="""CASE left(o_orderpriority, 1) WHEN '1' THEN 'direct'
+                WHEN '2' THEN 'booking_com' WHEN '3' THEN 'agoda'
+                WHEN '4' THEN 'airbnb' ELSE 'expedia' END""",
+            created_at="o_orderdate",
+            updated_at=f"date_add({placed}, CAST(o_orderkey * 17 % 61 AS INT))",
         )
 
     def ota_configurations(self) -> DataFrame:
-        ids = self.raw("supplier").select((F.col("s_suppkey") % 5 + 1).alias("id")).distinct()
-        key = F.col("id").cast("string")
         return _shaped(
-            ids.select(
-                "id",
-                _pick(CHANNELS, F.col("id")).alias("ota_name"),
-                F.concat(F.lit("user"), key).alias("api_username"),
-                F.concat(F.lit("https://channel"), key, F.lit(".example.com")).alias(
-                    "endpoint_url"
-                ),
-                F.concat(F.lit("H"), key).alias("hotel_id"),
-                (F.col("id") != 4).alias("is_active"),
-                F.lit(60).alias("sync_frequency"),
-                _day_plus("2024-01-01", -F.col("id")).alias("created_at"),
-            ),
+            self.raw("supplier").selectExpr("s_suppkey % 5 + 1 AS k").distinct(),
             "ota_configurations",
+            id="k",
+            ota_name=_pick(CHANNELS, "k"),
+            api_username="concat('user', k)",
+            endpoint_url="concat('https://channel', k, '.example.com')",
+            hotel_id="concat('H', k)",
+            is_active="k <> 4",
+            sync_frequency="60",
+            created_at=_day_plus("2024-01-01", "-k"),
         )
 
     def ota_sync_logs(self) -> DataFrame:
-        key = F.col("event_id")
-        status = (
-            F.when(F.col("event_type") == "error", "failed")
-            .when(F.col("event_type") == "signup", "partial")
-            .otherwise("success")
-        )
+        kinds = ("availability", "rates", "inventory", "bookings")
         return _shaped(
-            self.raw("events").select(
-                key.alias("id"),
-                (F.col("user_id") % 4 + 1).alias("ota_configuration_id"),
-                _pick(("availability", "rates", "inventory", "bookings"), key % 4 + 1).alias(
-                    "sync_type"
-                ),
-                status.alias("status"),
-                F.col("ts").alias("sync_started_at"),
-                (F.col("ts") + F.make_dt_interval(mins=(key % 7).cast("int"))).alias(
-                    "sync_completed_at"
-                ),
-                F.floor("value").alias("records_processed"),
-            ),
+            self.raw("events"),
             "ota_sync_logs",
+            id="event_id",
+            ota_configuration_id="user_id % 4 + 1",
+            sync_type=_pick(kinds, "event_id % 4 + 1"),
+            status="""CASE event_type WHEN 'error' THEN 'failed'
+                WHEN 'signup' THEN 'partial' ELSE 'success' END""",
+            sync_started_at="ts",
+            sync_completed_at="ts + make_dt_interval(0, 0, CAST(event_id % 7 AS INT))",
+            records_processed="floor(value)",
         )
 
     def settings(self) -> DataFrame:
-        key = F.col("event_id")
-        number = F.concat(
-            F.col("value").cast("decimal(10,2)").cast("string"),
-            F.when(key % 3 == 0, "abc").otherwise(""),
-        )
-        flag = _pick(("true", "TRUE", "false"), key % 3 + 1)
-        document = F.when(key % 3 == 0, "{broken").otherwise(F.col("props"))
-        kind = _pick(("number", "boolean", "json", "string"), key % 4 + 1)
-        value = (
-            F.when(kind == "number", number)
-            .when(kind == "boolean", flag)
-            .when(kind == "json", document)
-            .otherwise(F.col("event_type"))
-        )
+        kind = _pick(("number", "boolean", "json", "string"), "event_id % 4 + 1")
+        flag = _pick(("true", "TRUE", "false"), "event_id % 3 + 1")
+        value = f"""CASE event_id % 4
+            WHEN 0 THEN concat(CAST(CAST(value AS DECIMAL(10,2)) AS STRING),
+                               CASE WHEN event_id % 3 = 0 THEN 'abc' ELSE '' END)
+            WHEN 1 THEN {flag}
+            WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN '{{broken' ELSE props END
+            ELSE event_type END"""
+
         # The first rows are the nine default settings.
+        def default(position: int) -> str:
+            return _pick([row[position] for row in SETTINGS], "event_id + 1")
+
         return _shaped(
-            self.raw("events").select(
-                (key + 1).alias("id"),
-                F.coalesce(
-                    _pick([s[0] for s in SETTINGS], key + 1),
-                    F.concat(F.lit("pref_"), key.cast("string")),
-                ).alias("setting_key"),
-                F.coalesce(_pick([s[1] for s in SETTINGS], key + 1), value).alias(
-                    "setting_value"
-                ),
-                F.coalesce(_pick([s[2] for s in SETTINGS], key + 1), kind).alias("data_type"),
-                _pick([s[3] for s in SETTINGS], key + 1).alias("description"),
-            ),
+            self.raw("events"),
             "settings",
+            id="event_id + 1",
+            setting_key=f"coalesce({default(0)}, concat('pref_', event_id))",
+            setting_value=f"coalesce({default(1)}, {value})",
+            data_type=f"coalesce({default(2)}, {kind})",
+            description=default(3),
         )
 
     def currencies(self) -> DataFrame:
         per_nation = (
-            self.raw("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("rate"))
+            self.raw("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("guests"))
         )
         named = per_nation.join(
             self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")
         )
         return _shaped(
-            named.select(
-                (F.col("n_nationkey") + 1).alias("id"),
-                F.upper(F.substring("n_name", 1, 3)).alias("code"),
-                F.col("n_name").alias("name"),
-                F.col("rate").alias("exchange_rate"),
-                (F.col("n_nationkey") == 0).alias("is_default"),
-                F.lit(True).alias("is_active"),
-            ),
+            named,
             "currencies",
+            id="n_nationkey + 1",
+            code="upper(left(n_name, 3))",
+            name="n_name",
+            exchange_rate="guests",
+            is_default="n_nationkey = 0",
+            is_active="true",
         )
 
     def languages(self) -> DataFrame:
-        codes = F.array(*[F.lit(row[0]) for row in LANGUAGES])
-        found = self.raw("documents").select(F.col("lang").alias("code")).distinct()
-        known = found.select("code", F.array_position(codes, F.col("code")).alias("id"))
+        number = f"array_position({_list([row[0] for row in LANGUAGES])}, lang)"
         return _shaped(
-            known.select(
-                "id",
-                "code",
-                _pick([row[1] for row in LANGUAGES], F.nullif("id", F.lit(0))).alias("name"),
-                _pick([row[2] for row in LANGUAGES], F.nullif("id", F.lit(0))).alias(
-                    "native_name"
-                ),
-                (F.col("code") == "en").alias("is_default"),
-                F.lit(True).alias("is_active"),
-            ),
+            self.raw("documents").select("lang").distinct().selectExpr("lang", f"{number} AS k"),
             "languages",
+            id="k",
+            code="lang",
+            name=_pick([row[1] for row in LANGUAGES], "nullif(k, 0)"),
+            native_name=_pick([row[2] for row in LANGUAGES], "nullif(k, 0)"),
+            is_default="lang = 'en'",
+            is_active="true",
         )
 
     def users(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        username = F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("_")))
+        username = "lower(replace(s_name, '#', '_'))"
+        roles = ("admin", "manager", "staff", "staff", "owner")
         return _shaped(
-            self.raw("supplier").select(
-                (key + 1).alias("id"),
-                username.alias("username"),
-                F.concat(username, F.lit("@example.com")).alias("email"),
-                F.lit("Staff").alias("first_name"),
-                F.substring("s_name", 10, 9).alias("last_name"),
-                _pick(("admin", "manager", "staff", "staff", "owner"), key % 5 + 1).alias(
-                    "role"
-                ),
-                (key % 4 != 3).alias("is_active"),
-                _day_plus("1999-01-01", key % 97).alias("created_at"),
-            ),
+            self.raw("supplier"),
             "users",
+            id="s_suppkey + 1",
+            username=username,
+            email=f"concat({username}, '@example.com')",
+            first_name="'Staff'",
+            last_name="substring(s_name, 10, 9)",
+            role=_pick(roles, "s_suppkey % 5 + 1"),
+            is_active="s_suppkey % 4 <> 3",
+            created_at=_day_plus("1999-01-01", "s_suppkey % 97"),
         )
 
     def room_availability(self) -> DataFrame:
-        key = F.col("l_orderkey")
         return _shaped(
-            self.raw("lineitem").select(
-                (key * 8 + F.col("l_linenumber")).alias("id"),
-                # Some nights belong to rooms that no longer exist.
-                (F.col("l_partkey") + F.when(key % 101 == 0, 1_000_000_000).otherwise(0)).alias(
-                    "room_id"
-                ),
-                F.col("l_shipdate").cast("date").alias("date"),
-                (F.col("l_returnflag") != "R").alias("is_available"),
-                F.lit(1).alias("min_stay"),
-                F.lit(30).alias("max_stay"),
-            ),
+            self.raw("lineitem"),
             "room_availability",
+            id="l_orderkey * 8 + l_linenumber",
+            # Some nights belong to rooms that no longer exist.
+            room_id="l_partkey + CASE WHEN l_orderkey % 101 = 0 THEN 1000000000 ELSE 0 END",
+            date="l_shipdate",
+            is_available="l_returnflag <> 'R'",
+            min_stay="1",
+            max_stay="30",
         )
 
     def tables(self) -> Tables:
@@ -372,88 +297,70 @@ class StarSource:
 
     def booking_requests(self) -> DataFrame:
         """Pending bookings asked for again, on one room in ten."""
-        asked = self.bookings().where(F.col("booking_status") == "pending")
-        return asked.select(
-            F.col("id").alias("request_id"),
-            F.col("created_at").alias("requested_at"),
-            F.when(F.col("id") % 101 == 0, F.col("room_id") + 1_000_000_000)
-            .otherwise(F.col("room_id") - F.col("room_id") % 10)
-            .alias("room_id"),
+        return self.bookings().where("booking_status = 'pending'").selectExpr(
+            "id AS request_id",
+            "created_at AS requested_at",
+            """CASE WHEN id % 101 = 0 THEN room_id + 1000000000
+                    ELSE room_id - room_id % 10 END AS room_id""",
             "check_in_date",
             "check_out_date",
             "adults",
             "children",
-            F.concat(F.lit("guest"), (F.col("id") % 997).cast("string"), F.lit("@example.com"))
-            .alias("email"),
+            "concat('guest', id % 997, '@example.com') AS email",
         )
 
     def cancel_requests(self) -> DataFrame:
         """Every order asks to cancel; neighbours ask for the same booking."""
-        key = F.col("o_orderkey")
-        return self.raw("orders").select(
-            key.alias("request_id"),
-            F.col("o_orderdate").alias("requested_at"),
-            F.when(key % 97 == 0, F.concat(F.lit("NONE"), key.cast("string")))
-            .otherwise(F.concat(F.lit("BK"), (key - key % 2).cast("string")))
-            .alias("booking_reference"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS request_id",
+            "o_orderdate AS requested_at",
+            """CASE WHEN o_orderkey % 97 = 0 THEN concat('NONE', o_orderkey)
+                    ELSE concat('BK', o_orderkey - o_orderkey % 2) END AS booking_reference""",
         )
 
     def status_changes(self) -> DataFrame:
         """A change feed with repeats, unknown bookings and a bad status."""
-        key = F.col("event_id")
-        status = (
-            F.when(key % 50 == 49, "archived")
-            .when(F.col("event_type") == "view", "pending")
-            .when(F.col("event_type") == "click", "confirmed")
-            .when(F.col("event_type") == "purchase", "completed")
-            .when(F.col("event_type") == "error", "cancelled")
-            .otherwise("no_show")
-        )
-        booking = F.col("user_id") * 7 + key % 5
-        return self.raw("events").select(
-            key.alias("change_id"),
-            F.when(key % 97 == 0, booking + 1_000_000_000).otherwise(booking).alias("booking_id"),
-            status.alias("status"),
-            F.col("ts").alias("changed_at"),
+        return self.raw("events").selectExpr(
+            "event_id AS change_id",
+            """user_id * 7 + event_id % 5
+               + CASE WHEN event_id % 97 = 0 THEN 1000000000 ELSE 0 END AS booking_id""",
+            """CASE WHEN event_id % 50 = 49 THEN 'archived'
+                    WHEN event_type = 'view' THEN 'pending'
+                    WHEN event_type = 'click' THEN 'confirmed'
+                    WHEN event_type = 'purchase' THEN 'completed'
+                    WHEN event_type = 'error' THEN 'cancelled' ELSE 'no_show' END AS status""",
+            "ts AS changed_at",
         )
 
     def incoming_customers(self) -> DataFrame:
         """Guest details as typed in: known e-mails in capitals, new ones too."""
-        key, guest = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-        email = F.when(
-            key % 3 == 0, F.concat(F.lit("New"), guest, F.lit("@example.com"))
-        ).otherwise(F.concat(F.lit("GUEST"), guest, F.lit("@EXAMPLE.COM")))
-        return self.raw("orders").select(
-            key.alias("request_id"),
-            F.col("o_orderdate").alias("received_at"),
-            email.alias("email"),
-            F.col("o_orderpriority").alias("first_name"),
-            F.concat(F.lit("Guest "), guest).alias("last_name"),
-            F.concat(F.lit("+1444"), F.lpad((key % 10000).cast("string"), 4, "0")).alias("phone"),
-            F.lit(None).cast("string").alias("address"),
-            F.lit(None).cast("string").alias("city"),
-            F.lit("FRANCE").alias("country"),
-            F.lit(None).cast("string").alias("postal_code"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS request_id",
+            "o_orderdate AS received_at",
+            """CASE WHEN o_orderkey % 3 = 0 THEN concat('New', o_custkey, '@example.com')
+                    ELSE concat('GUEST', o_custkey, '@EXAMPLE.COM') END AS email""",
+            "o_orderpriority AS first_name",
+            "concat('Guest ', o_custkey) AS last_name",
+            "concat('+1444', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')) AS phone",
+            "CAST(NULL AS STRING) AS address",
+            "CAST(NULL AS STRING) AS city",
+            "'FRANCE' AS country",
+            "CAST(NULL AS STRING) AS postal_code",
         )
 
     def new_images(self) -> DataFrame:
-        key = F.col("event_id")
-        return self.raw("events").select(
-            key.alias("id"),
-            F.col("user_id").alias("room_id"),
-            F.concat(F.lit("new-"), key.cast("string")).alias("image_path"),
+        return self.raw("events").selectExpr(
+            "event_id AS id", "user_id AS room_id", "concat('new-', event_id) AS image_path"
         )
 
     def deliveries(self) -> DataFrame:
         """Outcome of every channel call: one per log row."""
-        return self.ota_sync_logs().select(
-            F.col("id").alias("delivery_id"),
+        return self.ota_sync_logs().selectExpr(
+            "id AS delivery_id",
             "ota_configuration_id",
-            (F.col("status") != "failed").alias("delivered"),
-            F.col("sync_completed_at").alias("completed_at"),
+            "status <> 'failed' AS delivered",
+            "sync_completed_at AS completed_at",
         )
 
     def access_log(self) -> DataFrame:
-        return self.raw("events").select(
-            F.col("user_id").alias("client_id"), F.col("ts")
-        )
+        return self.raw("events").selectExpr("user_id AS client_id", "ts")
