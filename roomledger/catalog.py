@@ -213,6 +213,7 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "revenue_by_date_year": _booked(reports.revenue_by_date, window=LAST_YEAR),
     "revenue_by_category": _booked(reports.revenue_by_category, window=ALL_TIME),
     "revenue_by_source": _booked(reports.revenue_by_source, window=ALL_TIME),
+    "revenue_report": _booked(reports.revenue_report, window=ALL_TIME),
     "occupancy_total_rooms": _booked(reports.occupancy_total_rooms),
     "occupancy_average": _booked(reports.occupancy_average, window=ALL_TIME),
     "occupancy_by_date": _booked(reports.occupancy_by_date, window=ALL_TIME),
@@ -225,6 +226,7 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     ),
     "bookings_by_date": _booked(reports.bookings_by_date, window=ALL_TIME),
     "bookings_by_source": _booked(reports.bookings_by_source, window=ALL_TIME),
+    "bookings_report": _booked(reports.bookings_report, window=ALL_TIME),
     "cancellation_timing": _booked(reports.cancellation_timing, window=ALL_TIME),
     "customer_summary": _booked(reports.customer_summary, window=ALL_TIME),
     "customers_by_country": _booked(reports.customers_by_country, window=ALL_TIME),

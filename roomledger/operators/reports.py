@@ -124,6 +124,48 @@ def revenue_by_source(t: Tables, window: ReportWindow) -> DataFrame:
     return grouped.orderBy(F.desc("revenue"), F.asc("source"))
 
 
+def revenue_report(t: Tables, window: ReportWindow) -> DataFrame:
+    """All four revenue sections from one scan of the bookings.
+
+    Grouping sets give the totals per day, room and source together; rooms
+    then fold into categories. ``section`` is overall, date, category or
+    source, ``label`` its key as text.
+    """
+    created = F.col("created_at")
+    day = month_label(created) if window.by_month() else F.to_date(created).cast("string")
+    chosen = t.bookings.where(window.created()).select(
+        day.alias("day"), "room_id", "source", "booking_status", "total_amount"
+    )
+    keys = [F.col("day"), F.col("room_id"), F.col("source")]
+    totals = chosen.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(
+        F.grouping_id().alias("absent"),
+        earned_revenue().alias("revenue"),
+        earned_count().alias("bookings"),
+        tally(F.col("booking_status") == "cancelled").alias("cancelled"),
+        F.count(F.lit(1)).alias("total"),
+    )
+    rooms = renamed(t.rooms, room_id="id", category_id="room_category_id")
+    names = renamed(t.room_categories, category_id="id", category_name="name")
+    # Bits of the absent keys: day 4, room 2, source 1.
+    by_day, by_room, by_source, overall = 3, 5, 6, 7
+    placed = totals.join(rooms, "room_id", "left").join(names, "category_id", "left")
+    section = (
+        F.when(F.col("absent") == overall, "overall")
+        .when(F.col("absent") == by_day, "date")
+        .when(F.col("absent") == by_room, "category")
+        .when(F.col("absent") == by_source, "source")
+    )
+    label = F.coalesce(
+        F.when(F.col("absent") == by_room, F.col("category_name")), F.col("day"), F.col("source")
+    )
+    return (
+        placed.where((F.col("absent") != by_room) | F.col("category_name").isNotNull())
+        .groupBy(section.alias("section"), label.alias("label"))
+        .agg(*[F.sum(n).alias(n) for n in ("revenue", "bookings", "cancelled", "total")])
+        .withColumn("avg_value", ratio(F.col("revenue"), F.col("bookings")))
+    )
+
+
 # Occupancy ----------------------------------------------------------------
 
 
@@ -280,6 +322,34 @@ def cancellation_timing(t: Tables, window: ReportWindow, source: str | None = No
     )
 
 
+def bookings_report(
+    t: Tables, window: ReportWindow, status: str | None = None, source: str | None = None
+) -> DataFrame:
+    """Summary, daily and per-source counts from one scan of the bookings."""
+    chosen = _booked(t, window, status, source).withColumn("day", F.to_date("created_at"))
+    keys = [F.col("day"), F.col("source")]
+    totals = chosen.groupingSets([[keys[0]], [keys[1]], []], *keys).agg(
+        F.grouping_id().alias("absent"),
+        F.count(F.lit(1)).alias("total_bookings"),
+        *status_tallies("pending", "confirmed", "cancelled", "completed", "no_show"),
+        earned_revenue().alias("total_revenue"),
+    )
+    # Bits of the absent keys: day 2, source 1.
+    section = (
+        F.when(F.col("absent") == 1, "date")
+        .when(F.col("absent") == 2, "source")
+        .otherwise("summary")
+    )
+    label = F.coalesce(F.col("day").cast("string"), F.col("source"))
+    return totals.select(
+        section.alias("section"),
+        label.alias("label"),
+        "total_bookings",
+        *("pending", "confirmed", "cancelled", "completed", "no_show"),
+        "total_revenue",
+    )
+
+
 # Customers ----------------------------------------------------------------
 
 

@@ -44,14 +44,14 @@ def _image_summary(images: DataFrame) -> DataFrame:
 
 
 def _amenity_lists(t: Tables) -> DataFrame:
-    """Amenities per room; a list is no longer than the amenity catalogue."""
+    """Distinct amenities per room: no list outgrows the amenity catalogue."""
     catalogue = renamed(
         t.amenities, _amenity="id", name="name", icon="icon", description="description"
     )
     pairs = t.room_amenities.join(catalogue, F.col("amenity_id") == F.col("_amenity"))
     item = F.struct(F.col("amenity_id").alias("id"), "name", "icon", "description")
     return pairs.groupBy(F.col("room_id").alias("_amenity_room")).agg(
-        F.array_sort(F.collect_list(item)).alias("amenities")
+        F.array_sort(F.collect_set(item)).alias("amenities")
     )
 
 

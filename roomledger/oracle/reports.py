@@ -15,6 +15,12 @@ SELECT {money("earned")} AS total_revenue, count(*) FILTER (WHERE earned) AS suc
   {mean("total_amount", "earned")} AS avg_booking_value,
   count(*) FILTER (WHERE booking_status = 'cancelled') AS cancelled_bookings,
   count(*) AS total_bookings FROM bookings WHERE """
+_PART = f"""{money("earned")} AS revenue, count(*) FILTER (WHERE earned) AS bookings,
+  count(*) FILTER (WHERE booking_status = 'cancelled') AS cancelled, count(*) AS total,
+  {mean("total_amount", "earned")} AS avg_value"""
+_COUNTS = f"""count(*) AS total_bookings,
+  {statuses("pending", "confirmed", "cancelled", "completed", "no_show")},
+  {money("earned")} AS total_revenue"""
 _SUMMARY = f"""
 SELECT count(*) AS total_bookings,
   {statuses("pending", "confirmed", "cancelled", "completed", "no_show")},
@@ -53,6 +59,28 @@ WHERE b.{_ALL} GROUP BY k.id, k.name""",
         "bookings",
         f"SELECT source, {_VALUE} FROM bookings WHERE {_ALL} GROUP BY source",
     ),
+    "revenue_report": (
+        "bookings rooms room_categories",
+        f"""
+SELECT 'overall' AS section, CAST(NULL AS VARCHAR) AS label, {_PART}
+FROM bookings WHERE {_ALL}
+UNION ALL SELECT 'date', CAST(CAST(created_at AS DATE) AS VARCHAR), {_PART}
+FROM bookings WHERE {_ALL} GROUP BY 2
+UNION ALL SELECT 'source', source, {_PART} FROM bookings WHERE {_ALL} GROUP BY source
+UNION ALL SELECT 'category', k.name, {_PART}
+FROM bookings b JOIN rooms r ON b.room_id = r.id
+  JOIN room_categories k ON r.room_category_id = k.id
+WHERE b.{_ALL} GROUP BY k.name""",
+    ),
+    "bookings_report": (
+        "bookings",
+        f"""
+SELECT 'summary' AS section, CAST(NULL AS VARCHAR) AS label, {_COUNTS}
+FROM bookings WHERE {_ALL}
+UNION ALL SELECT 'date', CAST(CAST(created_at AS DATE) AS VARCHAR), {_COUNTS}
+FROM bookings WHERE {_ALL} GROUP BY 2
+UNION ALL SELECT 'source', source, {_COUNTS} FROM bookings WHERE {_ALL} GROUP BY source""",
+    ),
     "occupancy_total_rooms": (
         "rooms",
         "SELECT count(*) AS total_rooms FROM rooms WHERE is_active",

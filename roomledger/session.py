@@ -15,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Deep pages sort on the executors instead of gathering on the driver.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Recording the Python line of every column expression costs more than
     # planning the query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
