@@ -21,6 +21,12 @@ RATES_JSON_CHANNELS = ("agoda",)
 OPERATIONS_JSON_CHANNELS = ("airbnb",)
 SUPPORTED = XML_CHANNELS + RATES_JSON_CHANNELS + OPERATIONS_JSON_CHANNELS
 
+# Elements of the xml messages. A list repeats its own tag.
+ARI_ROOT = "ari_update"
+ARI_ROOM = "rooms"
+EXPORT_ROOT = "ota_export"
+EXPORT_ATTRIBUTES = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" version="1.0"'
+
 # Constants of the channel messages.
 INVENTORY = 1
 MIN_STAY = 1
@@ -132,7 +138,7 @@ def channel_payload_xml(t: Tables, today: dt.date) -> DataFrame:
         ).alias("restrictions"),
     )
     return channel_room_status(t, today).select(
-        F.col("id").alias("room_id"), F.to_xml(element, {"rowTag": "room"}).alias("payload")
+        F.col("id").alias("room_id"), F.to_xml(element, {"rowTag": ARI_ROOM}).alias("payload")
     )
 
 
@@ -217,6 +223,7 @@ def channel_export_rooms(t: Tables, today: dt.date) -> DataFrame:
         F.col("price_per_night").alias("rate"),
         _flag("available", "unavailable").alias("availability"),
         "description",
+        F.lit("").alias("amenities"),  # the export leaves this element empty
     )
 
 

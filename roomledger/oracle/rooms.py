@@ -20,13 +20,13 @@ _EXPORT = " || ".join(
             "availability", "CASE WHEN is_available THEN 'available' ELSE 'unavailable' END"
         ),
         _element("description", "description"),
-        "chr(10) || '</room>'",
+        "chr(10) || '    <amenities></amenities>' || chr(10) || '</room>'",
     ]
 )
 
 _ARI = " || ".join(
     [
-        "'<room>'",
+        "'<rooms>'",
         _element("room_id", "id"),
         _element("room_name", "room_name"),
         _element("rate", "price_per_night"),
@@ -37,7 +37,7 @@ _ARI = " || ".join(
         _element("max_stay", "30", 8),
         _element("closed_to_arrival", "0", 8),
         _element("closed_to_departure", "0", 8),
-        "chr(10) || '    </restrictions>' || chr(10) || '</room>'",
+        "chr(10) || '    </restrictions>' || chr(10) || '</rooms>'",
     ]
 )
 

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roomledger.operators.channels import (
+    ARI_ROOT,
+    EXPORT_ATTRIBUTES,
+    EXPORT_ROOT,
     channel_export_rooms,
     channel_export_xml,
+    channel_payload_xml,
     hotel_of,
 )
 from roomledger.sources.tables import Tables
@@ -38,54 +42,68 @@ def write_csv(df: DataFrame, path: str) -> int:
 
 
 def write_channel_xml(t: Tables, today: dt.date, channel_id: int, path: str) -> None:
-    """Room elements under ``ota_export``, one per active room.
+    """Room elements under the export root, one per active room.
 
-    Files hold rooms, not one hotel-wide list, so they are written in
-    parallel; the hotel id rides on every room.
+    Files hold rooms, not one hotel-wide list, so each is a document of its
+    own and they are written in parallel; the hotel id rides on every room.
     """
     rooms = channel_export_rooms(t, today).withColumn("hotel_id", hotel_of(t, channel_id))
     rooms.write.mode("overwrite").format("xml").options(
-        rowTag="room", rootTag='ota_export version="1.0"'
+        rowTag="room", rootTag=f'{EXPORT_ROOT} version="1.0"'
     ).save(path)
 
 
-def hotel_xml_lines(t: Tables, today: dt.date, channel_id: int, hotel_name: str) -> DataFrame:
-    """The nested hotel document as text lines with their place in it."""
+def _escaped(value: Column) -> Column:
+    value = F.coalesce(value, F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(char), F.lit(entity))
+    return value
 
-    def attribute(value: Column) -> Column:
-        for char, entity in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
-            value = F.replace(value, F.lit(char), F.lit(entity))
-        return value
 
-    spark = t.rooms.sparkSession
-    name = F.to_xml(F.struct(F.lit(hotel_name).alias("_VALUE")), {"rowTag": "name"})
-    head = F.concat(
-        F.lit('<ota_export version="1.0"><hotel id="'),
-        attribute(F.coalesce(hotel_of(t, channel_id), F.lit(""))),
-        F.lit('">'),
-        name,
-        F.lit("<rooms>"),
-    )
-    tail = F.lit("</rooms></hotel></ota_export>")
-    frame = spark.range(1)
-    first = frame.select(F.lit(0).alias("part"), F.lit(0).alias("room_id"), head.alias("value"))
-    last = frame.select(F.lit(2).alias("part"), F.lit(0).alias("room_id"), tail.alias("value"))
-    rooms = channel_export_xml(t, today).select(
-        F.lit(1).alias("part"), "room_id", F.col("element").alias("value")
-    )
-    return first.unionByName(rooms).unionByName(last).orderBy("part", "room_id")
+def _write_document(head: Column, elements: DataFrame, tail: str, path: str) -> None:
+    """``head``, the (room_id, value) elements in order, and ``tail`` as text.
+
+    The part files, joined in the order of their names, are one document; no
+    task ever holds more than its own range of rooms.
+    """
+    frame = elements.sparkSession.range(1)
+
+    def edge(part: int, value: Column) -> DataFrame:
+        return frame.select(
+            F.lit(part).alias("part"), F.lit(0).alias("room_id"), value.alias("value")
+        )
+
+    body = elements.select(F.lit(1).alias("part"), "room_id", "value")
+    lines = edge(0, head).unionByName(body).unionByName(edge(2, F.lit(tail)))
+    ordered = lines.orderBy("part", "room_id").select("value")
+    ordered.write.mode("overwrite").text(path)
 
 
 def write_hotel_xml(
     t: Tables, today: dt.date, channel_id: int, hotel_name: str, path: str
 ) -> None:
-    """One document of the hotel with its rooms, as ordered text parts.
+    """The export of a hotel with its rooms nested in it, as ordered parts."""
+    head = F.concat(
+        F.lit(f'<{EXPORT_ROOT} {EXPORT_ATTRIBUTES}><hotel id="'),
+        _escaped(hotel_of(t, channel_id)),
+        F.lit('"><name>'),
+        _escaped(F.lit(hotel_name)),
+        F.lit("</name><rooms>"),
+    )
+    rooms = channel_export_xml(t, today).withColumnRenamed("element", "value")
+    _write_document(head, rooms, f"</rooms></hotel></{EXPORT_ROOT}>", path)
+
 
-    The parts, joined in the order of their names, are the document; no task
-    ever holds more than its own range of rooms.
+def write_ari_xml(t: Tables, today: dt.date, channel_id: int, path: str) -> None:
+    """The rate-and-availability message of a hotel, as ordered parts.
+
+    Credentials are never loaded; whoever delivers the message adds them.
     """
-    lines = hotel_xml_lines(t, today, channel_id, hotel_name)
-    lines.select("value").write.mode("overwrite").text(path)
+    head = F.concat(
+        F.lit(f"<{ARI_ROOT}><hotel_id>"), _escaped(hotel_of(t, channel_id)), F.lit("</hotel_id>")
+    )
+    rooms = channel_payload_xml(t, today).withColumnRenamed("payload", "value")
+    _write_document(head, rooms, f"</{ARI_ROOT}>", path)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import json
+from xml.etree import ElementTree
 
 import pytest
 
@@ -63,10 +64,14 @@ def test_an_empty_extract_is_an_error(hotel, tmp_path):
         files.write_csv(none, str(tmp_path / "none"))
 
 
+def _joined(path: str) -> str:
+    return "".join(open(p).read() for p in sorted(glob.glob(path + "/part-*")))
+
+
 def test_hotel_xml_reads_back(spark, hotel, tmp_path):
-    path = str(tmp_path / "hotel")
-    files.write_hotel_xml(hotel, TODAY, 1, "Sea & Sun", path)
-    text = "\n".join(open(p).read() for p in sorted(glob.glob(path + "/part-*")))
+    files.write_hotel_xml(hotel, TODAY, 1, "Sea & Sun", str(tmp_path / "hotel"))
+    text = _joined(str(tmp_path / "hotel"))
+    assert ElementTree.fromstring(text).tag == "ota_export"
     (tmp_path / "one.xml").write_text(text)
     back = spark.read.format("xml").options(rowTag="hotel").load(str(tmp_path / "one.xml")).first()
     assert (back["_id"], back["name"]) == ('H"1', "Sea & Sun")
@@ -74,6 +79,17 @@ def test_hotel_xml_reads_back(spark, hotel, tmp_path):
     assert got == [(1, 'A & "B"', "Suite", "unavailable"), (2, "Room 2", None, "available")]
 
 
+def test_ari_message_lists_the_rooms_in_order(hotel, tmp_path):
+    files.write_ari_xml(hotel, TODAY, 1, str(tmp_path / "ari"))
+    root = ElementTree.fromstring(_joined(str(tmp_path / "ari")))
+    assert root.tag == "ari_update" and root.findtext("hotel_id") == 'H"1'
+    got = [
+        (r.findtext("room_id"), r.findtext("availability"), r.findtext("restrictions/max_stay"))
+        for r in root.findall("rooms")
+    ]
+    assert got == [("1", "0", "30"), ("2", "1", "30")]
+
+
 def test_room_xml_is_written_in_parallel_files(spark, hotel, tmp_path):
     path = str(tmp_path / "rooms")
     files.write_channel_xml(hotel, TODAY, 1, path)
