@@ -176,6 +176,11 @@ def quality_overview(t: Tables, **extra: DataFrame) -> DataFrame:
     return _union([quality_counts(known[n], n) for n in CHECKED_TABLES if n in known])
 
 
+def _coded(names: list[str]) -> Column:
+    """The name a row's small ``code`` stands for."""
+    return F.element_at(F.array(*[F.lit(name) for name in names]), F.col("code") + 1)
+
+
 def uniqueness_violations(t: Tables) -> DataFrame:
     """Keys that occur more than once; text compares without case."""
     known = dict(t.items())
@@ -206,24 +211,21 @@ def orphan_rows(t: Tables) -> DataFrame:
     """References to missing parents; an unset reference is allowed.
 
     Children fold to one row per reference first, so a missing parent with
-    many children is one row in the anti join.
+    many children is one row in the anti join. All references share that one
+    join, told apart by a code.
     """
     known = dict(t.items())
-    parts = []
-    for child, column, parent in schema.REFERENCES:
-        used = (
-            known[child]
-            .where(F.col(column).isNotNull())
-            .groupBy(F.col(column).cast("bigint").alias("missing_id"))
-            .agg(F.count(F.lit(1)).alias("row_count"))
-        )
-        parents = known[parent].select(F.col("id").cast("bigint").alias("missing_id"))
-        parts.append(
-            used.join(parents, "missing_id", "left_anti").select(
-                F.lit(child).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                "missing_id",
-                "row_count",
-            )
-        )
-    return _union(parts)
+    used, held = [], []
+    for code, (child, column, parent) in enumerate(schema.REFERENCES):
+        marked = F.lit(code).alias("code")
+        reference = F.col(column).cast("bigint").alias("missing_id")
+        used.append(known[child].where(F.col(column).isNotNull()).select(marked, reference))
+        held.append(known[parent].select(marked, F.col("id").cast("bigint").alias("missing_id")))
+    counted = _union(used).groupBy("code", "missing_id").agg(F.count(F.lit(1)).alias("row_count"))
+    orphans = counted.join(_union(held), ["code", "missing_id"], "left_anti")
+    return orphans.select(
+        _coded([child for child, _, _ in schema.REFERENCES]).alias("table_name"),
+        _coded([column for _, column, _ in schema.REFERENCES]).alias("column_name"),
+        "missing_id",
+        "row_count",
+    )
