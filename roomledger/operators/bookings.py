@@ -258,7 +258,8 @@ def booking_conflicts(t: Tables) -> DataFrame:
     pairing them. For a stay ``[in, out)`` the colliding ones are those that
     begin before ``out`` less those that end by ``in``. Begins and ends are
     first counted per room and day, so a room with any number of bookings
-    reaches the running sums as one row per calendar day.
+    reaches the running sums as one row per calendar day. Stays that end
+    before they begin are left to the quality rules.
     """
     stays = t.bookings.where(
         status_in(BLOCKING) & F.col("room_id").isNotNull() & (F.col(CHECK_IN) <= F.col(CHECK_OUT))
