@@ -48,13 +48,17 @@ def load_tables(spark: SparkSession, path: str, file_format: str = "parquet") ->
 def jdbc_options(
     table: str, url: str, lower: int, upper: int, partitions: int, fetch_size: int = 10_000
 ) -> dict[str, str]:
-    """Reader options for a range-partitioned scan of a live table by its id."""
-    names = ", ".join(schema_of(table).fieldNames())
+    """Reader options for a scan of a live table in ranges of its id.
+
+    A table without an id is cut by its first column.
+    """
+    columns = schema_of(table).fieldNames()
+    names = ", ".join(columns)
     return {
         "url": url,
         # A column list instead of the table keeps secrets in the database.
         "dbtable": f"(SELECT {names} FROM {table}) src",
-        "partitionColumn": "id",
+        "partitionColumn": "id" if "id" in columns else columns[0],
         "lowerBound": str(lower),
         "upperBound": str(upper),
         "numPartitions": str(partitions),

@@ -177,3 +177,5 @@ def test_live_tables_are_read_by_id_ranges():
     options = jdbc_options("users", "jdbc:mysql://db/hotel", 1, 1000, 16)
     assert options["partitionColumn"] == "id" and options["numPartitions"] == "16"
     assert "password_hash" not in options["dbtable"]
+    pairs = jdbc_options("room_amenities", "jdbc:mysql://db/hotel", 1, 1000, 4)
+    assert pairs["partitionColumn"] == "room_id"

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from roomledger.operators import bookings, customers, reports
+from roomledger.operators import bookings, changes, customers, reports
 from roomledger.operators.reports import ReportWindow
 from roomledger.sources.layout import save_bucketed, write_clustered
 from roomledger.sources.schema import schema_of
@@ -152,3 +152,60 @@ def test_bucketed_bookings_join_without_a_shuffle_of_them(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS held")
         spark.sql("DROP TABLE IF EXISTS guests")
+
+
+@pytest.mark.parametrize("join", ["export", "history", "quotes", "cancel"])
+def test_a_hot_key_is_split_by_the_join(spark, join):
+    """With partition sizes scaled down, the hot side of the join is cut up."""
+    held = spark.range(60_000).selectExpr(
+        "id",
+        "concat('BK', id) AS booking_reference",
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 5000 END AS customer_id",
+        "CASE WHEN id % 3 = 0 THEN 11 ELSE id % 700 END AS room_id",
+        "DATE'2024-01-01' AS check_in_date",
+        "DATE'2024-01-03' AS check_out_date",
+        "'confirmed' AS booking_status",
+        "timestamp_ntz'2024-01-01 00:00:00' AS created_at",
+        "repeat('x', 20) AS special_requests",
+    )
+    people = spark.range(5000).selectExpr(
+        "id", "'a' AS first_name", "'b' AS last_name", "'c' AS email"
+    )
+    rooms = spark.range(700).selectExpr(
+        "id",
+        "concat('R', id) AS room_number",
+        "'r' AS room_name",
+        "CAST(90 AS DECIMAL(10,2)) AS price_per_night",
+        "1 AS room_category_id",
+    )
+    kinds = spark.range(3).selectExpr(
+        "CAST(id AS INT) AS id", "'k' AS name", "'d' AS description"
+    )
+    given = {"bookings": held, "customers": people, "rooms": rooms, "room_categories": kinds}
+    t = Tables(lambda name: given[name])
+    asked = spark.range(60_000).selectExpr(
+        "id AS request_id",
+        "timestamp_ntz'2024-01-01 00:00:00' AS requested_at",
+        "CASE WHEN id % 3 = 0 THEN 'BK5' ELSE concat('BK', id) END AS booking_reference",
+    )
+    scaled = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in scaled.items():
+        spark.conf.set(key, value)
+    try:
+        df = {
+            "export": lambda: bookings.with_guest_and_room(t.bookings, t),
+            "history": lambda: customers.customer_history(t),
+            "quotes": lambda: bookings.price_quotes(t),
+            "cancel": lambda: changes.cancel_bookings(asked, t, dt.datetime(2023, 1, 1)),
+        }[join]()
+        assert len(df.collect()) == 60_000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in scaled:
+            spark.conf.unset(key)
+    assert "skewed" in plan
