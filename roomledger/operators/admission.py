@@ -8,7 +8,9 @@ Only the first request for a given room and stay can ever be accepted: if it
 is, the later ones collide with it; if it is not, the booking that stopped it
 stops them too. Requests therefore fold to one row per room and stay before
 anything is shuffled, and all further work is bounded by the calendar instead
-of by the number of requests, however many of them want the same room.
+of by the number of requests, however many of them want the same room. For the
+same reason a stay that holds an earlier one of the same arrival is hopeless,
+which leaves a busy room a handful of stays per day.
 """
 
 from __future__ import annotations
@@ -60,6 +62,25 @@ def _screen(
     return requests.join(active, "room_id", "left").withColumn("_reason", reason)
 
 
+def _contenders(stays: DataFrame) -> DataFrame:
+    """Stays that may still win: shorter than all earlier ones of their arrival.
+
+    An earlier stay within this one either wins and collides with it, or loses
+    to something that collides with this one too.
+    """
+    earlier = (
+        Window.partitionBy("room_id", CHECK_IN)
+        .orderBy("rank")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    shortest = F.min(CHECK_OUT).over(earlier)
+    return (
+        stays.withColumn("_shortest", shortest)
+        .where(F.col("_shortest").isNull() | (F.col(CHECK_OUT) < F.col("_shortest")))
+        .drop("_shortest")
+    )
+
+
 def _taken_stays(stays: DataFrame, bookings: DataFrame, today: dt.date) -> DataFrame:
     """The stays that collide with an open booking of their room.
 
@@ -145,6 +166,7 @@ def admit_bookings(
         .groupBy(*STAY)
         .agg(F.min(F.struct("requested_at", "request_id")).alias("rank"))
     )
+    stays = _contenders(stays)
     free = stays.join(_taken_stays(stays.select(*STAY), bookings, today), STAY, "left_anti")
     judged = screened.join(_first_come(free), "request_id", "left")
     accepted = F.col("_admitted").isNotNull()
