@@ -13,13 +13,11 @@ from roomledger.functions.clock import (
     in_report_window,
     in_stats_period,
     month_label,
-    period_start,
     timestamp,
 )
 from roomledger.functions.measures import (
     BLOCKING,
     EARNED,
-    earned,
     earned_mean,
     earned_revenue,
     money_where,

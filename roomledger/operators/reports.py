@@ -33,7 +33,7 @@ from roomledger.functions.stays import nights
 from roomledger.operators.bookings import active_room_count
 from roomledger.operators.rooms import with_category
 from roomledger.plans.keyed import key_set, renamed
-from roomledger.plans.paging import bounded, fetch, page_of
+from roomledger.plans.paging import bounded, page_of
 from roomledger.sources.tables import Tables
 
 
