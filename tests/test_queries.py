@@ -5,12 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
-from roomledger import catalog
+from roomledger import catalog, oracle
 from tests.compare import database, differences
 from tests.conftest import STAR
 
-SQL = driver.oracle_sql()
-NAMES = sorted(driver.queries())
+SQL = oracle.statements()
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
