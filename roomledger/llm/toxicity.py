@@ -9,8 +9,8 @@ Training rows give labelled sentences. ``LANDMARKS`` units, those most typical o
 documents and the most frequent others, span the Nyström space; a sentence is the mean of
 its units there; a linear machine with squared hinge loss is fitted by Newton steps.
 Being linear, it scores units, and each distinct unit is scored once per worker. A
-document's score is a logistic function of the sum, the density and the maximum of its
-units' scores, fitted on the training documents.
+document's score is a logistic function of the sum and the density of its units' scores,
+fitted on the training documents.
 
 Training reads at most ``SAMPLE`` documents of each label, of at most ``LONGEST``
 characters each: one per hash value of the id, so any labelled row may be chosen.
@@ -44,6 +44,8 @@ LANDMARKS = 96
 DECAY = 0.6
 SPAN = 6
 POWER = 3
+#: At most so many typical landmarks are that similar to one another.
+OF_A_KIND, ALIKE = 4, 0.6
 LIMIT = 1_000_000
 ROWS_AT_ONCE = 1500
 ALPHABET = 64
@@ -112,7 +114,7 @@ class Model:
     landmarks: tuple[str, ...]
     weights: tuple[float, ...]  # of the kernels with the landmarks
     bias: float
-    logistic: tuple[float, ...]  # constant, sum, density, maximum
+    logistic: tuple[float, ...]  # constant, sum, density
     constant: float | None = None
 
 
@@ -160,8 +162,8 @@ def training_rows(docs, labels, id_col="doc_id", text_col="text", label_col="tox
     return [(found[i], by_id[i]) for i in sorted(found)]
 
 
-def _landmarks(rows: list[tuple[list[str], int]]) -> tuple[str, ...]:
-    """Units typical of toxic documents, then frequent ones. Copies count once."""
+def _landmarks(rows: list[tuple[list[str], int]], letters: str) -> tuple[str, ...]:
+    """Units typical of toxic documents, few of a kind, then frequent ones. Copies count once."""
     seen: set[tuple] = set()
     counts = (Counter(), Counter())
     sizes = [0, 0]
@@ -178,7 +180,13 @@ def _landmarks(rows: list[tuple[list[str], int]]) -> tuple[str, ...]:
         return np.log(toxic / clean) * np.sqrt(counts[1][u])
 
     frequent = [u for u, n in counts[1].items() if n >= 3 and len(u) > 2]
-    typical = sorted(frequent, key=lambda u: (-odds(u), u))[: 2 * LANDMARKS // 3]
+    ranked = sorted(frequent, key=lambda u: (-odds(u), u))[: 8 * LANDMARKS]
+    alike = Kernel(letters, tuple(ranked))(ranked) > ALIKE**POWER
+    chosen: list[int] = []
+    for i in range(len(ranked)):
+        if len(chosen) < 2 * LANDMARKS // 3 and alike[i, chosen].sum() < OF_A_KIND:
+            chosen.append(i)
+    typical = [ranked[i] for i in chosen]
     common = sorted(counts[0], key=lambda u: (-counts[0][u], u))
     rest = [u for u in common if u not in set(typical) and len(u) > 1]
     return tuple(typical + rest[: LANDMARKS - len(typical)])
@@ -214,10 +222,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _features(scores: np.ndarray) -> tuple[float, float, float, float]:
+def _features(scores: np.ndarray) -> tuple[float, float, float]:
     total = float(np.maximum(scores, 0).sum())
-    top = float(scores.max()) if len(scores) else 0.0
-    return 1.0, np.log1p(total), np.log1p(1000 * total / max(50, len(scores))), max(0.0, top)
+    return 1.0, np.log1p(10 * total), np.log1p(1000 * total / max(50, len(scores)))
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -228,7 +235,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     held = [(_units(text), label) for text, label in rows]
     letters = Counter(c for units, _ in held for u in units for c in u)
     letters = "".join(sorted(letters, key=lambda c: (-letters[c], c)))
-    landmarks = _landmarks(held)
+    landmarks = _landmarks(held, letters)
     kernel = Kernel(letters, landmarks)
     values, vectors = np.linalg.eigh(kernel(list(landmarks)).astype(float))
     good = values > 1e-6
@@ -287,7 +294,7 @@ class Scorer:
         for a, b in zip(ends[:-1], ends[1:]):
             own = scores[a:b]
             rows.append(_features(own[~np.isnan(own)]))
-        z = np.array(rows).reshape(-1, 4) @ np.array(self.model.logistic)
+        z = np.array(rows).reshape(-1, 3) @ np.array(self.model.logistic)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
