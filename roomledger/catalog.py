@@ -23,6 +23,7 @@ from roomledger.operators import (
     settings,
 )
 from roomledger.operators.reports import ReportWindow
+from roomledger.sinks import files
 from roomledger.sources.starmap import StarSource
 from roomledger.sources.tables import table_sizes
 
@@ -83,9 +84,8 @@ def _cascade(src: StarSource) -> DataFrame:
 
 
 def _admit(src: StarSource) -> DataFrame:
-    confirmed = src.bookings().where(F.col("booking_status") == "confirmed")
     return admission.admit_bookings(
-        src.booking_requests(), confirmed, src.rooms(), ADMISSION_AS_OF
+        src.booking_requests(), src.bookings(), src.rooms(), ADMISSION_AS_OF
     ).drop("email")
 
 
@@ -109,6 +109,14 @@ def _upsert(src: StarSource) -> DataFrame:
     )
 
 
+def _written_csv(src: StarSource) -> DataFrame:
+    """The lines that the csv sink writes, read back."""
+    extract = exports.export_bookings(src.tables(), ordered=False)
+    path = files.scratch_path(extract.sparkSession, "write_csv")
+    files.write_csv(extract, path)
+    return files.csv_text(extract.sparkSession, path)
+
+
 def _log_rows(src: StarSource) -> DataFrame:
     return channels.sync_log_rows(src.tables(), src.deliveries())
 
@@ -130,9 +138,7 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "export_bookings": _booked(exports.export_bookings),
     "export_customers": _booked(exports.export_customers),
     "export_revenue": _booked(exports.export_revenue),
-    "write_csv": lambda src: exports.csv_lines(
-        exports.export_bookings(src.tables(), ordered=False)
-    ),
+    "write_csv": _written_csv,
     "channel_export_xml": _booked(channels.channel_export_xml, today=TODAY),
     "channel_payload_xml": _booked(channels.channel_payload_xml, today=TODAY),
     "channel_payload_rates_json": _booked(
@@ -147,9 +153,11 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     ).select("id", "ota_name", "last_sync_at"),
     # Rooms
     "rooms_list": lambda src: _names(rooms.rooms_list(src.tables())),
-    "room_detail": lambda src: _names(rooms.room_detail(src.tables())),
+    "room_detail": lambda src: _names(rooms.room_detail(src.tables())).withColumn(
+        "images", F.array_join(F.transform("images", lambda i: i["image_path"]), ",")
+    ),
     "room_gallery": lambda src: rooms.room_gallery(src.tables()).select(
-        "id", "room_id", "image_path", "is_primary", "display_order"
+        "id", "room_id", "image_path", "is_primary", "display_order", "position"
     ),
     "room_search": lambda src: _names(
         rooms.room_search(src.tables(), *SEARCH_STAY, adults=2, children=1, today=TODAY)
@@ -263,6 +271,9 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "cancel_bookings_applied": _applied_cancellations,
     "apply_status_changes": _status_after_changes,
     "upsert_customers": _upsert,
+    "guests_without_email": lambda src: changes.guests_without_email(
+        src.incoming_customers()
+    ).select("request_id", "received_at", "email"),
     "deletable_customers": lambda src: changes.deletable_customers(src.tables()).select(
         "id", "email"
     ),

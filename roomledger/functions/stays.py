@@ -27,15 +27,7 @@ def in_house(today: dt.date) -> Column:
 
 
 def each_night(df: DataFrame, night: str = "night") -> DataFrame:
-    """One row per night; stays of no night give none."""
+    """One row per night of stays that were clipped before; stays of no night give none."""
     proper = df.where(F.col(CHECK_IN) < F.col(CHECK_OUT))
     last = F.date_sub(F.col(CHECK_OUT), 1)
     return proper.withColumn(night, F.explode(F.sequence(F.col(CHECK_IN), last)))
-
-
-def each_inner_day(df: DataFrame, inner: str = "inner_day") -> DataFrame:
-    """One row per day strictly between check-in and check-out."""
-    long = df.where(F.date_diff(F.col(CHECK_OUT), F.col(CHECK_IN)) >= 2)
-    first = F.date_add(F.col(CHECK_IN), 1)
-    last = F.date_sub(F.col(CHECK_OUT), 1)
-    return long.withColumn(inner, F.explode(F.sequence(first, last)))

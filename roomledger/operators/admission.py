@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from roomledger.functions.clock import day, timestamp
 from roomledger.functions.measures import BLOCKING, status_in
-from roomledger.functions.stays import CHECK_IN, CHECK_OUT, each_inner_day, each_night
+from roomledger.functions.stays import CHECK_IN, CHECK_OUT
 from roomledger.operators.bookings import TAX_RATE, quoted
 from roomledger.plans.keyed import renamed
 from roomledger.sources.schema import schema_of
@@ -30,6 +30,7 @@ from roomledger.sources.schema import schema_of
 STAY = ["room_id", CHECK_IN, CHECK_OUT]
 
 # Reasons, in the order in which they are tried.
+INVALID = "missing_or_invalid_field"
 BAD_DATES = "check_out_not_after_check_in"
 IN_PAST = "check_in_in_past"
 TOO_FAR = "check_in_too_far_ahead"
@@ -52,8 +53,15 @@ def _screen(
     too_far: Column = F.lit(False)
     if max_advance_days is not None:
         too_far = F.col(CHECK_IN) > day(today + dt.timedelta(days=max_advance_days))
+    incomplete = (
+        F.col("room_id").isNull()
+        | F.col(CHECK_IN).isNull()
+        | F.col(CHECK_OUT).isNull()
+        | (F.coalesce("adults", F.lit(0)) < 1)
+    )
     reason = (
-        F.when(F.col(CHECK_IN) >= F.col(CHECK_OUT), BAD_DATES)
+        F.when(incomplete, INVALID)
+        .when(F.col(CHECK_IN) >= F.col(CHECK_OUT), BAD_DATES)
         .when(F.col(CHECK_IN) < day(today), IN_PAST)
         .when(too_far, TOO_FAR)
         .when(F.col("max_occupancy").isNull(), NO_ROOM)
@@ -81,29 +89,29 @@ def _contenders(stays: DataFrame) -> DataFrame:
     )
 
 
-def _taken_stays(stays: DataFrame, bookings: DataFrame, today: dt.date) -> DataFrame:
-    """The stays that collide with an open booking of their room.
+def _free_stays(stays: DataFrame, bookings: DataFrame) -> DataFrame:
+    """The stays that collide with no open booking of their room.
 
-    Works on single nights, so a busy room is spread over its calendar. A
-    booking without nights has none to share, yet it blocks a stay that
-    begins before it and ends after it; those meet on the inner days.
+    A booking collides if it begins before the stay ends and ends after the
+    stay begins, so it is enough to know the latest end among the bookings
+    that begin before the stay ends: a running maximum over the days of a
+    room. Bookings fold to one row per room and first day before that, so
+    neither long stays nor busy rooms make rows.
     """
-    open_now = bookings.where(
-        status_in(BLOCKING) & F.col("room_id").isNotNull() & (F.col(CHECK_OUT) >= day(today))
-    ).select(*STAY)
-    blocked = each_night(open_now).select("room_id", "night").distinct()
-    by_night = each_night(stays).join(blocked, ["room_id", "night"], "left_semi")
-    pins = (
-        open_now.where(F.col(CHECK_OUT) <= F.col(CHECK_IN))
-        .groupBy("room_id", F.col(CHECK_OUT).alias("inner_day"))
-        .agg(F.min(CHECK_IN).alias("_pin_in"))
+    begins = (
+        bookings.where(status_in(BLOCKING) & F.col("room_id").isNotNull())
+        .groupBy("room_id", F.col(CHECK_IN).alias("day"))
+        .agg(F.max(CHECK_OUT).alias("held_until"))
     )
-    by_pin = (
-        each_inner_day(stays)
-        .join(pins, ["room_id", "inner_day"])
-        .where(F.col("_pin_in") < F.col(CHECK_OUT))
+    asked = stays.select("room_id", F.col(CHECK_OUT).alias("day"), CHECK_IN, "rank")
+    # On one day a stay that ends stands before a booking that begins.
+    line = Window.partitionBy("room_id").orderBy("day", F.desc_nulls_last("rank.request_id"))
+    until = F.max("held_until").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    placed = asked.unionByName(begins, allowMissingColumns=True).withColumn("_until", until)
+    free = F.col("_until").isNull() | (F.col("_until") <= F.col(CHECK_IN))
+    return placed.where(F.col("rank").isNotNull() & free).select(
+        "room_id", CHECK_IN, F.col("day").alias(CHECK_OUT), "rank"
     )
-    return by_night.select(*STAY).unionByName(by_pin.select(*STAY)).distinct()
 
 
 def _first_come(stays: DataFrame) -> DataFrame:
@@ -157,7 +165,8 @@ def admit_bookings(
     """Each request with ``accepted``, the reason if not, and its price.
 
     ``requests`` needs request_id (unique), requested_at, room_id, the stay,
-    adults and children; other columns pass through.
+    adults and children; other columns pass through. Rows with a missing or
+    impossible field are refused first.
     """
     today = as_of.date()
     screened = _screen(requests, rooms, today, max_advance_days)
@@ -166,8 +175,7 @@ def admit_bookings(
         .groupBy(*STAY)
         .agg(F.min(F.struct("requested_at", "request_id")).alias("rank"))
     )
-    stays = _contenders(stays)
-    free = stays.join(_taken_stays(stays.select(*STAY), bookings, today), STAY, "left_anti")
+    free = _free_stays(_contenders(stays), bookings)
     judged = screened.join(_first_come(free), "request_id", "left")
     accepted = F.col("_admitted").isNotNull()
     priced = quoted(judged, tax_rate)

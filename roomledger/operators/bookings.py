@@ -256,12 +256,18 @@ def booking_conflicts(t: Tables) -> DataFrame:
     pairing them. For a stay ``[in, out)`` the colliding ones are those that
     begin before ``out`` less those that end by ``in``. Begins and ends are
     first counted per room and day, so a room with any number of bookings
-    reaches the running sums as one row per calendar day. Stays that end
-    before they begin are left to the quality rules.
+    reaches the running sums as one row per calendar day.
+
+    A stay that ends before it begins collides with those that hold it. Both
+    sides of that comparison are folded to distinct stays of a room first.
     """
-    stays = t.bookings.where(
-        status_in(BLOCKING) & F.col("room_id").isNotNull() & (F.col(CHECK_IN) <= F.col(CHECK_OUT))
+    every = t.bookings.where(
+        status_in(BLOCKING)
+        & F.col("room_id").isNotNull()
+        & F.col(CHECK_IN).isNotNull()
+        & F.col(CHECK_OUT).isNotNull()
     ).select("id", "room_id", CHECK_IN, CHECK_OUT)
+    stays = every.where(F.col(CHECK_IN) <= F.col(CHECK_OUT))
     one, none = F.lit(1), F.lit(0)
     empty = F.col(CHECK_IN) == F.col(CHECK_OUT)
     marks = stays.select(
@@ -307,10 +313,43 @@ def booking_conflicts(t: Tables) -> DataFrame:
     others = F.when(
         empty, F.col("begun") - F.col("ended") + F.col("empties")
     ).otherwise(F.col("begun") - F.col("ended") - 1)
+    plain = placed.select("id", "room_id", CHECK_IN, CHECK_OUT, others.cast("bigint").alias("_plain"))
+    inverted = every.where(F.col(CHECK_IN) > F.col(CHECK_OUT)).withColumn(
+        "_plain", F.lit(0).cast("bigint")
+    )
+    stay = ["room_id", CHECK_IN, CHECK_OUT]
     return (
-        placed.withColumn("conflict_count", others.cast("bigint"))
+        plain.unionByName(inverted)
+        .join(_held_inverted(every), stay, "left")
+        .withColumn("conflict_count", F.col("_plain") + F.coalesce("_more", F.lit(0)))
         .where("conflict_count > 0")
-        .select("id", "room_id", CHECK_IN, CHECK_OUT, "conflict_count")
+        .select("id", *stay, "conflict_count")
+    )
+
+
+def _held_inverted(stays: DataFrame) -> DataFrame:
+    """Collisions of each distinct stay that involve a stay of negative length."""
+    folded = stays.groupBy("room_id", CHECK_IN, CHECK_OUT).agg(F.count(F.lit(1)).alias("n"))
+    back = renamed(
+        folded.where(F.col(CHECK_IN) > F.col(CHECK_OUT)),
+        room_id="room_id",
+        back_in=CHECK_IN,
+        back_out=CHECK_OUT,
+        back_n="n",
+    )
+    held = folded.join(back, "room_id").where(
+        (F.col(CHECK_IN) < F.col("back_out")) & (F.col("back_in") < F.col(CHECK_OUT))
+    )
+    sides = F.array(
+        F.struct(F.col(CHECK_IN), F.col(CHECK_OUT), F.col("back_n").alias("n")),
+        F.struct(
+            F.col("back_in").alias(CHECK_IN), F.col("back_out").alias(CHECK_OUT), F.col("n")
+        ),
+    )
+    return (
+        held.select("room_id", F.explode(sides).alias("s"))
+        .groupBy("room_id", f"s.{CHECK_IN}", f"s.{CHECK_OUT}")
+        .agg(F.sum("s.n").alias("_more"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roomledger.functions.clock import day, first_whole_day, timestamp
 from roomledger.functions.measures import BLOCKING, status_in
 from roomledger.plans.keyed import key_set, renamed
-from roomledger.plans.numbering import number_within
+from roomledger.plans.numbering import number_rows, number_within
 from roomledger.sources.schema import BOOKING_STATUSES
 from roomledger.sources.tables import Tables
 
@@ -29,7 +29,8 @@ def cancel_bookings(
 
     Of several requests for one booking the earliest decides; once it has
     cancelled, the others find the booking cancelled. Whole hours to the
-    midnight of the arrival day count, and a no-show may be cancelled.
+    midnight of the arrival day count, and a no-show may be cancelled. A
+    request without a reference asks for an unknown booking.
     """
     known = (
         t.bookings.join(
@@ -52,13 +53,14 @@ def cancel_bookings(
         .when(F.col("check_in_date") < deadline, TOO_LATE)
     )
     verdicts = asked.join(known, "booking_reference", "left").select(
-        "booking_reference",
+        F.col("booking_reference").alias("_asked"),
         F.col("_first.request_id").alias("_first_id"),
         refusal.alias("_refusal"),
     )
     first = F.col("request_id") == F.col("_first_id")
     reason = F.coalesce("_refusal", F.when(~first, ALREADY))
-    return requests.join(verdicts, "booking_reference").select(
+    same = F.col("booking_reference").eqNullSafe(F.col("_asked"))
+    return requests.join(verdicts, same).select(
         *requests.columns, reason.isNull().alias("cancelled"), reason.alias("reason")
     )
 
@@ -143,39 +145,37 @@ def apply_special_requests(
     ).drop("_key", "_wanted")
 
 
+def has_email() -> Column:
+    return F.coalesce(F.trim("email") != "", F.lit(False))
+
+
+def guests_without_email(incoming: DataFrame) -> DataFrame:
+    """Incoming details that cannot be matched; ``upsert_customers`` leaves them out."""
+    return incoming.where(~has_email())
+
+
 def upsert_customers(incoming: DataFrame, customers: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Guests after incoming details, matched on e-mail without case.
 
     A known guest takes the latest name and phone only. A new one is stored
     as first seen, with the latest name and phone; new ids continue after the
-    highest known id in the order of the first request.
+    highest known id in the order of the first request. Details without an
+    e-mail are in ``guests_without_email`` instead.
     """
     order = F.struct("received_at", "request_id")
-    seen = incoming.groupBy(F.lower("email").alias("_email")).agg(
+    seen = incoming.where(has_email()).groupBy(F.lower("email").alias("_email")).agg(
         F.min_by(
             F.struct("email", "address", "city", "country", "postal_code", "request_id"), order
         ).alias("_first"),
         F.max_by(F.struct("first_name", "last_name", "phone"), order).alias("_last"),
     )
-    held = customers.withColumn("_email", F.lower("email"))
-    known = held.join(seen.select("_email", "_last"), "_email", "left")
-    touched = F.col("_last").isNotNull()
-    kept = known.select(
-        *[
-            F.when(touched, F.col(f"_last.{name}")).otherwise(F.col(name)).alias(name)
-            if name in ("first_name", "last_name", "phone")
-            else F.when(touched, timestamp(as_of)).otherwise(F.col(name)).alias(name)
-            if name == "updated_at"
-            else F.col(name)
-            for name in customers.columns
-        ],
-        F.when(touched, "update").otherwise("keep").alias("action"),
-    )
-    fresh = seen.join(held.select("_email"), "_email", "left_anti").select(
-        F.lit(0).alias("_all"), F.col("_first.request_id").alias("_request"), "_first", "_last"
-    )
+    held = customers.select(F.struct(*customers.columns).alias("_held"), F.lower("email").alias("_key"))
+    met = held.join(seen, F.col("_key") == F.col("_email"), "full")
+    known, touched = F.col("_held").isNotNull(), F.col("_last").isNotNull()
+    order_key = F.when(~known, F.col("_first.request_id"))
+    numbered = number_rows(met, order_key, "_number")
     highest = customers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_within(fresh, "_all", "_request", "_number")
+    now = timestamp(as_of)
     values = {
         "id": highest + F.col("_number"),
         **{n: F.col(f"_last.{n}") for n in ("first_name", "last_name", "phone")},
@@ -183,17 +183,19 @@ def upsert_customers(incoming: DataFrame, customers: DataFrame, as_of: dt.dateti
             n: F.col(f"_first.{n}")
             for n in ("email", "address", "city", "country", "postal_code")
         },
-        "created_at": timestamp(as_of),
-        "updated_at": timestamp(as_of),
+        "created_at": now,
+        "updated_at": now,
     }
-    added = numbered.select(
-        *[
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in customers.schema.fields
-        ],
-        F.lit("insert").alias("action"),
-    )
-    return kept.unionByName(added)
+    moved = {n: values[n] for n in ("first_name", "last_name", "phone", "updated_at")}
+
+    def value(field) -> Column:
+        old = F.col("_held")[field.name]
+        new = values.get(field.name, F.lit(None)).cast(field.dataType)
+        kept = F.when(touched, moved[field.name]).otherwise(old) if field.name in moved else old
+        return F.when(known, kept).otherwise(new).alias(field.name)
+
+    action = F.when(~known, "insert").when(touched, "update").otherwise("keep")
+    return numbered.select(*[value(f) for f in customers.schema.fields], action.alias("action"))
 
 
 # Deletions ------------------------------------------------------------------

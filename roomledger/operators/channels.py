@@ -21,6 +21,14 @@ RATES_JSON_CHANNELS = ("agoda",)
 OPERATIONS_JSON_CHANNELS = ("airbnb",)
 SUPPORTED = XML_CHANNELS + RATES_JSON_CHANNELS + OPERATIONS_JSON_CHANNELS
 
+# The name that the messages of a channel carry.
+SHOWN_NAMES = {
+    "booking.com": "Booking.com",
+    "booking_com": "Booking.com",
+    "agoda": "Agoda",
+    "airbnb": "Airbnb",
+}
+
 # Elements of the xml messages. A list repeats its own tag.
 ARI_ROOT = "ari_update"
 ARI_ROOM = "rooms"
@@ -241,18 +249,22 @@ def sync_log_rows(t: Tables, deliveries: DataFrame) -> DataFrame:
     """Log rows for channel calls of active channels.
 
     A failed call still counts every active room as processed; a channel
-    without a message form fails with none. ``moves_clock`` tells whether the
-    call sets the last sync time of its channel.
+    without a message form fails with none. A call without a start time is
+    taken to have started when it ended. ``moves_clock`` tells whether the
+    call sets the last sync time of its channel; the other columns have the
+    names and types of the stored log.
     """
     active = renamed(
         t.ota_configurations.where("is_active"), ota_configuration_id="id", ota_name="ota_name"
     )
     supported = F.lower("ota_name").isin(*SUPPORTED)
-    done = F.col("delivered")
+    done = F.coalesce("delivered", F.lit(False))
+    names = F.create_map(*[F.lit(x) for pair in SHOWN_NAMES.items() for x in pair])
+    shown = names[F.lower("ota_name")]
     message = (
         F.when(~supported, F.concat(F.lit("Unsupported OTA: "), F.col("ota_name")))
-        .when(done, F.concat(F.col("ota_name"), F.lit(" ARI sync completed successfully")))
-        .otherwise(F.concat(F.col("ota_name"), F.lit(" sync failed")))
+        .when(done, F.concat(shown, F.lit(" ARI sync completed successfully")))
+        .otherwise(F.concat(shown, F.lit(" sync failed")))
     )
     return deliveries.join(active, "ota_configuration_id").select(
         F.col("delivery_id").alias("id"),
@@ -260,8 +272,12 @@ def sync_log_rows(t: Tables, deliveries: DataFrame) -> DataFrame:
         F.lit("availability").alias("sync_type"),
         F.when(supported & done, "success").otherwise("failed").alias("status"),
         message.alias("message"),
+        F.coalesce("started_at", "completed_at").alias("sync_started_at"),
         F.col("completed_at").alias("sync_completed_at"),
-        F.when(supported, active_room_count(t)).otherwise(F.lit(0)).alias("records_processed"),
+        F.when(supported, active_room_count(t))
+        .otherwise(F.lit(0))
+        .cast("int")
+        .alias("records_processed"),
         supported.alias("moves_clock"),
     )
 

@@ -105,18 +105,21 @@ def customer_history(t: Tables, customer_id: int | None = None) -> DataFrame:
 
 
 def customer_stats(t: Tables, customer_id: int | None = None) -> DataFrame:
-    """Bookings per status and completed spend of each guest with bookings.
+    """Bookings per status and completed spend of each guest, zeros without bookings.
 
     Only bookings whose room exists count, as in the history.
     """
     known = _of(t.bookings, customer_id).join(
         t.rooms.select(F.col("id").alias("room_id")), "room_id", "left_semi"
     )
-    return known.groupBy("customer_id").agg(
+    folded = known.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_bookings"),
         completed_spend().alias("total_spent"),
         *status_tallies("pending", "confirmed", "cancelled", "completed", suffix="_bookings"),
     )
+    guests = t.customers.select(F.col("id").alias("customer_id"))
+    every = _of(guests, customer_id).join(folded, "customer_id", "left")
+    return every.na.fill(0)
 
 
 def customers_overview(t: Tables, as_of: dt.datetime, period: str = "month") -> DataFrame:

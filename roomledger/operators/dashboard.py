@@ -61,10 +61,34 @@ def dashboard_customers(t: Tables, as_of: dt.datetime) -> DataFrame:
     )
 
 
+# What each alert asks for.
+ALERT_ACTIONS = {
+    "rooms": "Upload images for these rooms",
+    "bookings": "Follow up on pending bookings",
+    "occupancy": "Consider promotional campaigns",
+    "ota": "Check OTA configurations and retry sync",
+}
+
+
+def alert_rows(
+    t: Tables, category: str, as_of: dt.datetime, logs_as_of: dt.datetime | None = None
+) -> DataFrame:
+    """The rows an alert of ``system_alerts`` is about."""
+    if category == "rooms":
+        return rooms_without_images(t)
+    if category == "bookings":
+        return stale_pending(t, as_of)
+    if category == "occupancy":
+        return current_occupancy(t, as_of.date())
+    if category == "ota":
+        return failed_syncs(t, logs_as_of or as_of)
+    raise ValueError(f"no alert is called {category}")
+
+
 def system_alerts(t: Tables, as_of: dt.datetime, logs_as_of: dt.datetime | None = None) -> DataFrame:
-    """One row per alert rule that fires, with the number of things affected.
+    """One row per alert rule that fires: how many things are affected and what to do.
 
-    ``logs_as_of`` dates the channel rule when the logs run on another clock.
+    The affected rows are those of ``alert_rows``. ``logs_as_of`` dates the channel rule when the logs run on another clock.
     """
 
     def alert(df: DataFrame, kind: str, category: str, message) -> DataFrame:
@@ -73,6 +97,7 @@ def system_alerts(t: Tables, as_of: dt.datetime, logs_as_of: dt.datetime | None
             F.lit(category).alias("category"),
             message.alias("message"),
             F.col("affected").cast("bigint").alias("affected"),
+            F.lit(ALERT_ACTIONS[category]).alias("action"),
         )
 
     def counted(df: DataFrame) -> DataFrame:

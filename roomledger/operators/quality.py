@@ -98,10 +98,26 @@ def _request_rules() -> Rules:
     return [
         ("room_id_range", _range("room_id", 1)),
         *_stay_rules(),
+        ("first_name_length", _length("first_name", 2, 100)),
+        ("last_name_length", _length("last_name", 2, 100)),
         ("email_format", _pattern("email", EMAIL)),
+        ("phone_format", _pattern("phone", PHONE, required=False)),
+        ("special_requests_length", _length("special_requests", 0, 500, required=False)),
     ]
 
 
+def _present(*names: str) -> Rules:
+    return [(f"{n}_present", F.coalesce(F.trim(n) == "", F.lit(True))) for n in names]
+
+
+def _channel_rules() -> Rules:
+    return _present("ota_name", "endpoint_url")
+
+
+def _coded_rules() -> Rules:
+    return _present("code", "name")
+
+
 def _customer_rules() -> Rules:
     return [
         ("first_name_length", _length("first_name", 2, 100)),
@@ -142,6 +158,9 @@ _RULES = {
     "booking_requests": _request_rules,
     "customers": _customer_rules,
     "ota_sync_logs": _log_rules,
+    "ota_configurations": _channel_rules,
+    "currencies": _coded_rules,
+    "languages": _coded_rules,
     "settings": _setting_rules,
 }
 

@@ -160,9 +160,15 @@ def revenue_report(t: Tables, window: ReportWindow) -> DataFrame:
     )
     return (
         placed.where((F.col("absent") != by_room) | F.col("category_name").isNotNull())
-        .groupBy(section.alias("section"), label.alias("label"))
+        .groupBy(
+            section.alias("section"),
+            # Categories may share a name; they are told apart by id.
+            F.when(F.col("absent") == by_room, F.col("category_id")).alias("_category"),
+            label.alias("label"),
+        )
         .agg(*[F.sum(n).alias(n) for n in ("revenue", "bookings", "cancelled", "total")])
         .withColumn("avg_value", ratio(F.col("revenue"), F.col("bookings")))
+        .drop("_category")
     )
 
 
@@ -304,16 +310,21 @@ def bookings_by_source(
     )
 
 
-def cancellation_timing(t: Tables, window: ReportWindow, source: str | None = None) -> DataFrame:
-    """Cancelled bookings by days from the last change to the arrival."""
-    ahead = F.date_diff(F.col("check_in_date"), F.to_date("updated_at"))
-    # The labels of the cancellation lead times.
-    timing = (
+def _timing(ahead: Column) -> Column:
+    """How long before the arrival a booking was cancelled. The labels."""
+    return (
         F.when(ahead >= 7, "7+ days before")
         .when(ahead.between(1, 6), "1-6 days before")
         .when(ahead == 0, "Same day")
         .otherwise("After check-in")
     )
+
+
+def cancellation_timing(t: Tables, window: ReportWindow, source: str | None = None) -> DataFrame:
+    """Cancelled bookings by days from the last change to the arrival."""
+    ahead = F.date_diff(F.col("check_in_date"), F.to_date("updated_at"))
+    # The labels of the cancellation lead times.
+    timing = _timing(ahead)
     return (
         _booked(t, window, "cancelled", source)
         .groupBy(timing.alias("cancellation_timing"))
@@ -325,28 +336,43 @@ def cancellation_timing(t: Tables, window: ReportWindow, source: str | None = No
 def bookings_report(
     t: Tables, window: ReportWindow, status: str | None = None, source: str | None = None
 ) -> DataFrame:
-    """Summary, daily and per-source counts from one scan of the bookings."""
-    chosen = _booked(t, window, status, source).withColumn("day", F.to_date("created_at"))
-    keys = [F.col("day"), F.col("source")]
-    totals = chosen.groupingSets([[keys[0]], [keys[1]], []], *keys).agg(
+    """Summary with means, daily, per-source and per-cancellation counts from one scan."""
+    ahead = F.date_diff(F.col("check_in_date"), F.to_date("updated_at"))
+    chosen = _booked(t, window, status, source).select(
+        F.to_date("created_at").alias("day"),
+        "source",
+        F.when(F.col("booking_status") == "cancelled", _timing(ahead)).alias("timing"),
+        "booking_status",
+        "total_amount",
+        nights().alias("_nights"),
+        (F.col("adults") + F.coalesce("children", F.lit(0))).alias("_party"),
+    )
+    keys = [F.col("day"), F.col("source"), F.col("timing")]
+    totals = chosen.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(
         F.grouping_id().alias("absent"),
+        F.avg("_nights").alias("avg_nights"),
+        F.avg("_party").alias("avg_party"),
         F.count(F.lit(1)).alias("total_bookings"),
         *status_tallies("pending", "confirmed", "cancelled", "completed", "no_show"),
         earned_revenue().alias("total_revenue"),
     )
-    # Bits of the absent keys: day 2, source 1.
+    # Bits of the absent keys: day 4, source 2, timing 1.
+    by_timing = F.col("absent") == 6
     section = (
-        F.when(F.col("absent") == 1, "date")
-        .when(F.col("absent") == 2, "source")
+        F.when(F.col("absent") == 3, "date")
+        .when(F.col("absent") == 5, "source")
+        .when(by_timing, "cancellation")
         .otherwise("summary")
     )
-    label = F.coalesce(F.col("day").cast("string"), F.col("source"))
-    return totals.select(
+    label = F.coalesce(F.col("day").cast("string"), F.col("source"), F.col("timing"))
+    return totals.where(~by_timing | F.col("timing").isNotNull()).select(
         section.alias("section"),
         label.alias("label"),
         "total_bookings",
         *("pending", "confirmed", "cancelled", "completed", "no_show"),
         "total_revenue",
+        "avg_nights",
+        "avg_party",
     )
 
 

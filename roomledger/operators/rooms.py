@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomledger.functions.clock import day, in_stats_period
@@ -23,6 +23,10 @@ from roomledger.plans.keyed import key_set, renamed
 from roomledger.sources.tables import Tables
 
 
+# Images in the detail of a room: the bound of its list.
+IMAGES_SHOWN = 100
+
+
 def with_category(rooms: DataFrame, categories: DataFrame) -> DataFrame:
     """Rooms with the name and text of their category, null without one."""
     named = renamed(
@@ -82,26 +86,50 @@ def rooms_list(
 
 
 def room_detail(t: Tables, room_id: int | None = None) -> DataFrame:
-    """One room (or all) with category and amenities; see ``room_gallery``."""
+    """One room (or all) with category, amenities and images.
+
+    ``images`` holds the first ``IMAGES_SHOWN`` images in order and
+    ``image_count`` tells how many there are; ``room_gallery`` has all of them.
+    """
     rooms = t.rooms if room_id is None else t.rooms.where(F.col("id") == room_id)
-    amenities = _amenity_lists(t)
+    amenities, gallery = _amenity_lists(t), room_gallery(t, room_id, IMAGES_SHOWN)
+    shown = F.struct("position", "id", "image_path", "image_alt", "is_primary")
+    images = gallery.groupBy(F.col("room_id").alias("_image_room")).agg(
+        F.array_sort(F.collect_list(shown)).alias("images")
+    )
+    counts = _image_summary(t.room_images).select(
+        F.col("_image_room").alias("_counted_room"), "image_count"
+    )
     return (
         with_category(rooms, t.room_categories)
         .join(amenities, F.col("id") == F.col("_amenity_room"), "left")
-        .drop("_amenity_room")
+        .join(images, F.col("id") == F.col("_image_room"), "left")
+        .join(counts, F.col("id") == F.col("_counted_room"), "left")
+        .withColumn("image_count", F.coalesce("image_count", F.lit(0)))
+        .drop("_amenity_room", "_image_room", "_counted_room")
     )
 
 
-def room_gallery(t: Tables, room_id: int | None = None) -> DataFrame:
-    """Images of one room, primary first, then display order (or of all rooms).
+def room_gallery(
+    t: Tables, room_id: int | None = None, most: int | None = None
+) -> DataFrame:
+    """Images of one room (or of all), primary first, then display order.
 
-    Images come as rows: a room may own more of them than one list should hold.
+    Images come as rows: a room may own more of them than one list should
+    hold. ``position`` counts them per room; with ``most``, only the first
+    ones of each room are kept, which a task does for its own rows before
+    anything is shuffled.
     """
-    if room_id is None:
-        return t.room_images
-    return t.room_images.where(F.col("room_id") == room_id).orderBy(
+    images = t.room_images
+    if room_id is not None:
+        images = images.where(F.col("room_id") == room_id)
+    order = Window.partitionBy("room_id").orderBy(
         F.desc("is_primary"), F.asc("display_order"), F.asc("id")
     )
+    placed = images.withColumn("position", F.row_number().over(order))
+    if most is not None:
+        placed = placed.where(F.col("position") <= most)
+    return placed if room_id is None else placed.orderBy("position")
 
 
 def room_search(

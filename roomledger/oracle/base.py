@@ -90,7 +90,8 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                 THEN o_orderkey * 7919 % ((SELECT count(*) FROM part) - 1) END AS room_id,
            CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS check_in_date,
            CAST(o_orderdate AS DATE)
-             + CAST(o_orderkey % 60 + o_orderkey * 31 % 11 AS INTEGER) AS check_out_date,
+             + CAST(o_orderkey % 60 + CASE WHEN o_orderkey % 211 = 0 THEN -3
+                                           ELSE o_orderkey * 31 % 11 END AS INTEGER) AS check_out_date,
            CAST(o_orderkey % 3 + 1 AS INTEGER) AS adults,
            CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey % 4 AS INTEGER) END AS children,
            CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount,

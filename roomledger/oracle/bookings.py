@@ -158,16 +158,19 @@ failing AS (SELECT count(DISTINCT c.id) AS n
             FROM ota_sync_logs l JOIN ota_configurations c ON l.ota_configuration_id = c.id
             WHERE l.status = 'failed' AND l.sync_started_at >= TIMESTAMP '2024-01-30')
 SELECT 'warning' AS type, 'rooms' AS category,
-       n || ' active rooms have no images' AS message, n AS affected FROM bare WHERE n > 0
+       n || ' active rooms have no images' AS message, n AS affected,
+       'Upload images for these rooms' AS action FROM bare WHERE n > 0
 UNION ALL
-SELECT 'warning', 'bookings', n || ' pending bookings are over 24 hours old', n
+SELECT 'warning', 'bookings', n || ' pending bookings are over 24 hours old', n,
+       'Follow up on pending bookings'
 FROM stale WHERE n > 0
 UNION ALL
 SELECT 'info', 'occupancy', 'Current occupancy is ' || t // 10 || '.' || t % 10 || '%',
-       occupied_rooms
+       occupied_rooms, 'Consider promotional campaigns'
 FROM tenths WHERE occupied_rooms * 100 < 30 * total_rooms
 UNION ALL
-SELECT 'error', 'ota', 'OTA sync failures detected', n FROM failing WHERE n > 0""",
+SELECT 'error', 'ota', 'OTA sync failures detected', n,
+       'Check OTA configurations and retry sync' FROM failing WHERE n > 0""",
     ),
     "activity_log": (
         "bookings customers rooms",
@@ -194,6 +197,9 @@ SELECT booking_reference, b.created_at, check_in_date, check_out_date, adults, c
     "write_csv": (
         "bookings customers rooms",
         f"""
+SELECT 'booking_reference,created_at,check_in_date,check_out_date,adults,children,total_amount,'
+  || 'booking_status,source,customer_name,customer_email,room_number,room_name' AS line
+UNION ALL
 SELECT booking_reference || ',' || strftime(b.created_at, '%Y-%m-%d %H:%M:%S') || ','
   || check_in_date || ',' || check_out_date || ',' || adults || ','
   || coalesce(CAST(children AS VARCHAR), '') || ',' || total_amount || ','

@@ -2,7 +2,9 @@ _RESULTS = """
 , results AS (
   SELECT l.id, l.ota_configuration_id, c.ota_name, l.status <> 'failed' AS delivered,
          lower(c.ota_name) IN ('booking.com', 'booking_com', 'agoda', 'airbnb') AS supported,
-         l.sync_completed_at
+         CASE lower(c.ota_name) WHEN 'agoda' THEN 'Agoda' WHEN 'airbnb' THEN 'Airbnb'
+              ELSE 'Booking.com' END AS shown,
+         l.sync_started_at, l.sync_completed_at
   FROM ota_sync_logs l JOIN ota_configurations c ON l.ota_configuration_id = c.id
   WHERE c.is_active)"""
 _STATS = """
@@ -42,10 +44,10 @@ GROUP BY c.id, ota_name""",
 SELECT id, ota_configuration_id, 'availability' AS sync_type,
   CASE WHEN supported AND delivered THEN 'success' ELSE 'failed' END AS status,
   CASE WHEN NOT supported THEN 'Unsupported OTA: ' || ota_name
-       WHEN delivered THEN ota_name || ' ARI sync completed successfully'
-       ELSE ota_name || ' sync failed' END AS message,
-  sync_completed_at,
-  CASE WHEN supported THEN (SELECT count(*) FROM rooms WHERE is_active) ELSE 0 END
+       WHEN delivered THEN shown || ' ARI sync completed successfully'
+       ELSE shown || ' sync failed' END AS message,
+  sync_started_at, sync_completed_at,
+  CAST(CASE WHEN supported THEN (SELECT count(*) FROM rooms WHERE is_active) ELSE 0 END AS INTEGER)
     AS records_processed,
   supported AS moves_clock
 FROM results""",

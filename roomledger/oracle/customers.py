@@ -25,14 +25,14 @@ SELECT {BOOKING_COLUMNS}, r.room_name, r.room_number, r.category_name
 FROM bookings b JOIN rooms_named r ON b.room_id = r.id WHERE b.customer_id IS NOT NULL""",
     ),
     "customer_stats": (
-        "bookings rooms",
+        "customers bookings rooms",
         f"""
-SELECT customer_id, count(*) AS total_bookings,
+SELECT g.id AS customer_id, count(b.id) AS total_bookings,
   CAST(coalesce(sum(total_amount) FILTER (WHERE booking_status = 'completed'), 0) AS DOUBLE)
     AS total_spent,
   {statuses("pending", "confirmed", "cancelled", "completed", suffix="_bookings")}
-FROM bookings b JOIN rooms r ON b.room_id = r.id
-WHERE customer_id IS NOT NULL GROUP BY customer_id""",
+FROM customers g LEFT JOIN (SELECT * FROM bookings WHERE room_id IN (SELECT id FROM rooms)) b
+  ON b.customer_id = g.id GROUP BY g.id""",
     ),
     "customers_overview": (
         "customers",

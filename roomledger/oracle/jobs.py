@@ -9,7 +9,8 @@ _CANCEL = """
 asked AS (
   SELECT o_orderkey AS request_id, o_orderdate AS requested_at,
     CASE WHEN o_orderkey % 97 = 0 THEN 'NONE' || o_orderkey
-         ELSE 'BK' || (o_orderkey - o_orderkey % 2) END AS booking_reference
+         WHEN o_orderkey % 89 <> 0 THEN 'BK' || (o_orderkey - o_orderkey % 2)
+    END AS booking_reference
   FROM orders),
 verdicts AS (
   SELECT a.*, CASE
@@ -28,11 +29,17 @@ _REQUESTS = """
 asked AS (
   SELECT id AS request_id, created_at AS requested_at,
     CASE WHEN id % 101 = 0 THEN room_id + 1000000000 ELSE room_id - room_id % 10 END AS room_id,
-    check_in_date, check_out_date, adults, children,
-    'guest' || (id % 997) || '@example.com' AS email
-  FROM bookings WHERE booking_status = 'pending')"""
+    CASE WHEN id % 503 <> 0 THEN check_in_date END AS check_in_date,
+    CASE WHEN id % 509 <> 0 THEN check_out_date END AS check_out_date,
+    CASE WHEN id % 521 <> 0 THEN adults END AS adults, children,
+    CASE WHEN id % 83 = 0 THEN 'G' ELSE 'Guest' END AS first_name,
+    CASE WHEN id % 79 <> 0 THEN 'No ' || id END AS last_name,
+    'guest' || (id % 997) || '@example.com' AS email,
+    CASE WHEN id % 73 = 0 THEN '12' ELSE '+15550100' END AS phone,
+    repeat('x', CAST(id % 506 AS INTEGER)) AS special_requests
+  FROM bookings)"""
 
-# Table -> rule -> condition of a row that breaks it.
+# Table -> rule -> condition of a row that breaks it.
 _RULES = {
     "users": {
         "username_length": "username IS NULL OR length(username) NOT BETWEEN 3 AND 50",
@@ -72,9 +79,13 @@ _RULES = {
         "check_in_date_format": "check_in_date IS NULL",
         "check_out_date_format": "check_out_date IS NULL",
         "check_out_after_check_in": "check_out_date <= check_in_date",
-        "adults_range": "adults NOT BETWEEN 1 AND 20",
+        "adults_range": "adults IS NULL OR adults NOT BETWEEN 1 AND 20",
         "children_range": "children NOT BETWEEN 0 AND 20",
+        "first_name_length": "first_name IS NULL OR length(first_name) NOT BETWEEN 2 AND 100",
+        "last_name_length": "last_name IS NULL OR length(last_name) NOT BETWEEN 2 AND 100",
         "email_format": "NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s.]{2,}$')",
+        "phone_format": "NOT regexp_matches(phone, '^\\+?[0-9]{7,15}$')",
+        "special_requests_length": "length(special_requests) > 500",
     },
     "customers": {
         "first_name_length": "length(first_name) NOT BETWEEN 2 AND 100",
@@ -90,6 +101,18 @@ _RULES = {
         "sync_type_domain": "sync_type NOT IN ('availability', 'rates', 'inventory', 'bookings')",
         "status_domain": "status NOT IN ('success', 'failed', 'partial')",
     },
+    "ota_configurations": {
+        "ota_name_present": "coalesce(trim(ota_name), '') = ''",
+        "endpoint_url_present": "coalesce(trim(endpoint_url), '') = ''",
+    },
+    "currencies": {
+        "code_present": "coalesce(trim(code), '') = ''",
+        "name_present": "coalesce(trim(name), '') = ''",
+    },
+    "languages": {
+        "code_present": "coalesce(trim(code), '') = ''",
+        "name_present": "coalesce(trim(name), '') = ''",
+    },
     "settings": {
         "setting_key_present": "setting_key IS NULL OR length(setting_key) NOT BETWEEN 1 AND 100",
         "setting_value_present": "setting_value IS NULL",
@@ -180,14 +203,15 @@ SQL = {
 ,{_REQUESTS},
 screened AS (
   SELECT a.*, price_per_night, CASE
+    WHEN room_id IS NULL OR check_in_date IS NULL OR check_out_date IS NULL
+      OR coalesce(adults, 0) < 1 THEN 'missing_or_invalid_field'
     WHEN check_in_date >= check_out_date THEN 'check_out_not_after_check_in'
     WHEN check_in_date < DATE '1997-01-01' THEN 'check_in_in_past'
     WHEN r.id IS NULL THEN 'room_missing_or_inactive'
     WHEN adults + coalesce(children, 0) > max_occupancy THEN 'guests_exceed_capacity'
     WHEN EXISTS (SELECT 1 FROM bookings b
-                 WHERE b.room_id = a.room_id AND b.booking_status = 'confirmed'
-                   AND NOT (b.check_out_date <= a.check_in_date
-                            OR b.check_in_date >= a.check_out_date))
+                 WHERE b.room_id = a.room_id AND b.is_open
+                   AND a.check_in_date < b.check_out_date AND b.check_in_date < a.check_out_date)
       THEN 'room_not_available' END AS reason
   FROM asked a LEFT JOIN rooms r ON r.id = a.room_id AND r.is_active),
 queue AS (
@@ -209,7 +233,7 @@ judged AS (
          {_STAY.format("s")} AS stay, s.price_per_night * {_STAY.format("s")} AS base
   FROM screened s LEFT JOIN walk w ON w.request_id = s.request_id)
 SELECT request_id, requested_at, room_id, check_in_date, check_out_date, adults, children,
-  accepted, CASE WHEN NOT accepted THEN coalesce(reason, 'room_not_available') END AS reason,
+  first_name, last_name, phone, special_requests, accepted, CASE WHEN NOT accepted THEN coalesce(reason, 'room_not_available') END AS reason,
   CASE WHEN accepted THEN stay END AS nights,
   CASE WHEN accepted THEN CAST(base AS DOUBLE) END AS subtotal,
   CASE WHEN accepted THEN CAST(round(base * 0.10, 2) AS DOUBLE) END AS tax_amount,
@@ -256,7 +280,8 @@ FROM bookings b LEFT JOIN final f ON f.booking_id = b.id""",
   SELECT o_orderkey AS request_id, o_orderdate AS received_at, o_orderpriority AS first_name,
     'Guest ' || o_custkey AS last_name,
     '+1444' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS phone,
-    CASE WHEN o_orderkey % 3 = 0 THEN 'New' || o_custkey || '@example.com'
+    CASE WHEN o_orderkey % 71 = 0 THEN NULL WHEN o_orderkey % 67 = 0 THEN ' '
+         WHEN o_orderkey % 3 = 0 THEN 'New' || o_custkey || '@example.com'
          ELSE 'GUEST' || o_custkey || '@EXAMPLE.COM' END AS email
   FROM orders),
 ranked AS (
@@ -264,7 +289,7 @@ ranked AS (
     row_number() OVER (PARTITION BY lower(email) ORDER BY received_at, request_id) AS turn,
     row_number() OVER (PARTITION BY lower(email)
                        ORDER BY received_at DESC, request_id DESC) AS back
-  FROM typed),
+  FROM typed WHERE trim(email) <> ''),
 merged AS (
   SELECT f.match, f.email, f.request_id, l.first_name, l.last_name, l.phone
   FROM ranked f JOIN ranked l ON f.match = l.match AND f.turn = 1 AND l.back = 1)
@@ -279,6 +304,13 @@ UNION ALL
 SELECT (SELECT max(id) FROM customers) + row_number() OVER (ORDER BY request_id),
   first_name, last_name, email, phone, 'FRANCE', TIMESTAMP '2001-06-15 12:00:00', 'insert'
 FROM merged WHERE match NOT IN (SELECT lower(email) FROM customers)""",
+    ),
+    "guests_without_email": (
+        "",
+        """
+SELECT o_orderkey AS request_id, o_orderdate AS received_at,
+  CASE WHEN o_orderkey % 71 <> 0 THEN ' ' END AS email
+FROM orders WHERE o_orderkey % 71 = 0 OR o_orderkey % 67 = 0""",
     ),
     "deletable_customers": (
         "customers bookings",
@@ -310,7 +342,8 @@ WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.room_id = r.id AND b.is_open)
     ),
     "deletable_languages": ("languages", "SELECT id, code FROM languages WHERE NOT is_default"),
     "quality_report": (
-        "users rooms bookings customers ota_sync_logs settings",
+        "users rooms bookings customers ota_sync_logs ota_configurations currencies languages "
+        "settings",
         f""",{_REQUESTS.replace("asked AS", "booking_requests AS")}
 {_rule_counts()}""",
     ),

@@ -21,6 +21,8 @@ _PART = f"""{money("earned")} AS revenue, count(*) FILTER (WHERE earned) AS book
 _COUNTS = f"""count(*) AS total_bookings,
   {statuses("pending", "confirmed", "cancelled", "completed", "no_show")},
   {money("earned")} AS total_revenue"""
+_MEANS = """CAST(avg(nights) AS DOUBLE) AS avg_nights,
+  avg(adults + coalesce(children, 0)) AS avg_party"""
 _SUMMARY = f"""
 SELECT count(*) AS total_bookings,
   {statuses("pending", "confirmed", "cancelled", "completed", "no_show")},
@@ -70,16 +72,23 @@ UNION ALL SELECT 'source', source, {_PART} FROM bookings WHERE {_ALL} GROUP BY s
 UNION ALL SELECT 'category', k.name, {_PART}
 FROM bookings b JOIN rooms r ON b.room_id = r.id
   JOIN room_categories k ON r.room_category_id = k.id
-WHERE b.{_ALL} GROUP BY k.name""",
+WHERE b.{_ALL} GROUP BY k.id, k.name""",
     ),
     "bookings_report": (
         "bookings",
         f"""
-SELECT 'summary' AS section, CAST(NULL AS VARCHAR) AS label, {_COUNTS}
+SELECT 'summary' AS section, CAST(NULL AS VARCHAR) AS label, {_COUNTS}, {_MEANS}
 FROM bookings WHERE {_ALL}
-UNION ALL SELECT 'date', CAST(CAST(created_at AS DATE) AS VARCHAR), {_COUNTS}
+UNION ALL SELECT 'date', CAST(CAST(created_at AS DATE) AS VARCHAR), {_COUNTS}, {_MEANS}
 FROM bookings WHERE {_ALL} GROUP BY 2
-UNION ALL SELECT 'source', source, {_COUNTS} FROM bookings WHERE {_ALL} GROUP BY source""",
+UNION ALL SELECT 'source', source, {_COUNTS}, {_MEANS}
+FROM bookings WHERE {_ALL} GROUP BY source
+UNION ALL SELECT 'cancellation',
+  CASE WHEN check_in_date - CAST(updated_at AS DATE) >= 7 THEN '7+ days before'
+       WHEN check_in_date - CAST(updated_at AS DATE) >= 1 THEN '1-6 days before'
+       WHEN check_in_date = CAST(updated_at AS DATE) THEN 'Same day'
+       ELSE 'After check-in' END, {_COUNTS}, {_MEANS}
+FROM bookings WHERE {_ALL} AND booking_status = 'cancelled' GROUP BY 2""",
     ),
     "occupancy_total_rooms": (
         "rooms",

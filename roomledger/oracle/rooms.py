@@ -52,14 +52,23 @@ FROM rooms_named LEFT JOIN image_facts i ON id = i.room_id
 WHERE is_active""",
     ),
     "room_detail": (
-        "rooms_named amenity_names",
+        "rooms_named amenity_names room_images",
         f"""
-SELECT {ROOM_COLUMNS}, category_name, category_description, amenities
-FROM rooms_named LEFT JOIN amenity_names a ON id = a.room_id""",
+, pictures AS (
+  SELECT room_id, count(*) AS n,
+    string_agg(image_path, ',' ORDER BY is_primary DESC, display_order, id) AS paths
+  FROM room_images GROUP BY room_id)
+SELECT {ROOM_COLUMNS}, category_name, category_description, amenities,
+  paths AS images, coalesce(n, 0) AS image_count
+FROM rooms_named LEFT JOIN amenity_names a ON id = a.room_id
+  LEFT JOIN pictures p ON id = p.room_id""",
     ),
     "room_gallery": (
         "room_images",
-        "SELECT id, room_id, image_path, is_primary, display_order FROM room_images",
+        """
+SELECT id, room_id, image_path, is_primary, display_order, CAST(row_number() OVER (
+  PARTITION BY room_id ORDER BY is_primary DESC, display_order, id) AS INTEGER) AS position
+FROM room_images""",
     ),
     "room_search": (
         "rooms_named amenity_names image_facts bookings",

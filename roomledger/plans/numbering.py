@@ -1,24 +1,65 @@
-"""Exact row numbers inside groups of any size.
+"""Exact row numbers over whole tables and inside groups of any size.
 
-``row_number`` over a hot group sorts the whole group in one task. Here each
-group is cut into id ranges of fixed width, numbered range by range, and
-shifted by the count of the ranges before it. A task never holds more than
-``width`` rows of a group, and the result equals the plain window.
+``row_number`` over a hot group sorts the whole group in one task. Here rows are
+cut into ranges of the ordering id at its quantiles, numbered range by range, and
+shifted by the counts of the ranges before. The ranges hold about the same number
+of rows however the ids are spread, and the result equals the plain window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RANGE_WIDTH = 100_000
+RANGES_AT_LEAST = 8
+
+
+def _ranges(spark: SparkSession) -> int:
+    return max(RANGES_AT_LEAST, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _ranged(df: DataFrame, key: str, ranges: int | None) -> tuple[DataFrame, int]:
+    """``df`` with its range ``_range`` of ``key``, -1 for null keys, and the number of ranges.
+
+    Ids are compared as doubles here: ids too large for one share a range in order.
+    """
+    near = df.withColumn("_near", F.col(key).cast("double"))
+    parts = ranges or _ranges(df.sparkSession)
+    cuts = near.approxQuantile("_near", [i / parts for i in range(1, parts)], 0.5 / parts)
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    if len(splits) < 3:
+        splits.insert(1, 0.0)
+    cut = Bucketizer(splits=splits, inputCol="_near", outputCol="_range", handleInvalid="keep")
+    ranged = cut.transform(near).withColumn("_range", F.col("_range").cast("int"))
+    ranged = ranged.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(F.col("_range")))
+    return ranged.drop("_near"), len(splits) - 1
+
+
+def number_rows(df: DataFrame, key: Column, alias: str, ranges: int | None = None) -> DataFrame:
+    """Position of each row of the table by the unique ``key``, from 1; null where it is null.
+
+    One count per range reaches the driver.
+    """
+    ranged, parts = _ranged(df.withColumn("_key_", key), "_key_", ranges)
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    before, pairs = 0, []
+    for part in range(parts):
+        pairs += [F.lit(part), F.lit(before).cast("bigint")]
+        before += counts.get(part, 0)
+    local = F.row_number().over(Window.partitionBy("_range").orderBy("_key_"))
+    numbered = ranged.where("_range >= 0").withColumn(
+        alias, (local + F.create_map(*pairs)[F.col("_range")]).cast("bigint")
+    )
+    others = ranged.where("_range < 0").withColumn(alias, F.lit(None).cast("bigint"))
+    return numbered.unionByName(others).drop("_range", "_key_")
 
 
 def number_within(
-    df: DataFrame, group: str, unique_id: str, alias: str, width: int = RANGE_WIDTH
+    df: DataFrame, group: str, unique_id: str, alias: str, ranges: int | None = None
 ) -> DataFrame:
     """Position of each row in its group by ``unique_id``, counted from 1."""
-    ranged = df.withColumn("_range", F.floor(F.col(unique_id) / F.lit(width)).cast("bigint"))
+    ranged, _ = _ranged(df, unique_id, ranges)
     before = (
         ranged.groupBy(group, "_range")
         .agg(F.count(F.lit(1)).alias("_rows"))

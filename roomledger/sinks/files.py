@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.operators.channels import (
@@ -16,9 +18,13 @@ from roomledger.operators.channels import (
     channel_payload_xml,
     hotel_of,
 )
+from roomledger.sources.schema import schema_of
 from roomledger.sources.tables import Tables
 
 
+CSV_TIME = "yyyy-MM-dd HH:mm:ss"
+
+
 class NoData(ValueError):
     """An extract that has no rows."""
 
@@ -26,19 +32,39 @@ class NoData(ValueError):
 def write_csv(df: DataFrame, path: str) -> int:
     """Csv with a header; returns the number of rows, raises ``NoData`` for none.
 
-    Rows are counted while they are written, so the plan runs once. Values
+    An extract without rows is refused before anything is written, so the one
+    stored before it stays. Rows are counted while they are written. Values
     that hold a comma, a quote or a line break are quoted, quotes doubled,
     nulls empty.
     """
+    if df.isEmpty():
+        raise NoData(f"no rows for {path}")
     seen = Observation("csv")
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     observed.write.mode("overwrite").options(
-        header="true", quote='"', escape='"', nullValue="", emptyValue=""
+        header="true",
+        quote='"',
+        escape='"',
+        nullValue="",
+        emptyValue="",
+        timestampFormat=CSV_TIME,
+        timestampNTZFormat=CSV_TIME,
     ).csv(path)
-    rows = seen.get["rows"]
-    if not rows:
-        raise NoData(f"no rows for {path}")
-    return rows
+    return seen.get["rows"]
+
+
+def scratch_path(spark: SparkSession, job: str) -> str:
+    """A new path in the shared folder of the session, of this machine where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{job}-{uuid.uuid4().hex}"
+
+
+def csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a written extract, ``line``; the header, which every part has, comes once."""
+    lines = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "line")
+    head = lines.limit(1)
+    body = lines.join(F.broadcast(head), "line", "left_anti")
+    return head.unionByName(body)
 
 
 def write_channel_xml(t: Tables, today: dt.date, channel_id: int, path: str) -> None:
@@ -112,5 +138,6 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def append_sync_log(log_rows: DataFrame, path: str) -> None:
-    """Adds the rows of a sync run to the stored log."""
-    log_rows.drop("moves_clock").write.mode("append").parquet(path)
+    """Adds the rows of a sync run to the stored log, in its declared columns and types."""
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of("ota_sync_logs").fields]
+    log_rows.select(*typed).write.mode("append").parquet(path)

@@ -162,7 +162,9 @@ class StarSource:
                 THEN o_custkey + CASE WHEN o_custkey % 25 = 0 THEN 1 ELSE 0 END END""",
             room_id="CASE WHEN o_orderkey % 89 <> 0 THEN o_orderkey * 7919 % (rooms - 1) END",
             check_in_date=arrival,
-            check_out_date=f"date_add({arrival}, CAST(o_orderkey * 31 % 11 AS INT))",
+            # A few stays end before they begin.
+            check_out_date=f"""date_add({arrival}, CAST(CASE WHEN o_orderkey % 211 = 0 THEN -3
+                ELSE o_orderkey * 31 % 11 END AS INT))""",
             adults="o_orderkey % 3 + 1",
             children="CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 4 END",
             total_amount="o_totalprice",
@@ -296,17 +298,21 @@ class StarSource:
     # Job inputs -----------------------------------------------------------
 
     def booking_requests(self) -> DataFrame:
-        """Pending bookings asked for again, on one room in ten."""
-        return self.bookings().where("booking_status = 'pending'").selectExpr(
+        """Every booking asked for again, on one room in ten; some fields are missing."""
+        return self.bookings().selectExpr(
             "id AS request_id",
             "created_at AS requested_at",
             """CASE WHEN id % 101 = 0 THEN room_id + 1000000000
                     ELSE room_id - room_id % 10 END AS room_id""",
-            "check_in_date",
-            "check_out_date",
-            "adults",
+            "CASE WHEN id % 503 <> 0 THEN check_in_date END AS check_in_date",
+            "CASE WHEN id % 509 <> 0 THEN check_out_date END AS check_out_date",
+            "CASE WHEN id % 521 <> 0 THEN adults END AS adults",
             "children",
+            "CASE WHEN id % 83 = 0 THEN 'G' ELSE 'Guest' END AS first_name",
+            "CASE WHEN id % 79 <> 0 THEN concat('No ', id) END AS last_name",
             "concat('guest', id % 997, '@example.com') AS email",
+            "CASE WHEN id % 73 = 0 THEN '12' ELSE '+15550100' END AS phone",
+            "repeat('x', CAST(id % 506 AS INT)) AS special_requests",
         )
 
     def cancel_requests(self) -> DataFrame:
@@ -315,7 +321,8 @@ class StarSource:
             "o_orderkey AS request_id",
             "o_orderdate AS requested_at",
             """CASE WHEN o_orderkey % 97 = 0 THEN concat('NONE', o_orderkey)
-                    ELSE concat('BK', o_orderkey - o_orderkey % 2) END AS booking_reference""",
+                    WHEN o_orderkey % 89 <> 0 THEN concat('BK', o_orderkey - o_orderkey % 2)
+               END AS booking_reference""",
         )
 
     def status_changes(self) -> DataFrame:
@@ -337,7 +344,8 @@ class StarSource:
         return self.raw("orders").selectExpr(
             "o_orderkey AS request_id",
             "o_orderdate AS received_at",
-            """CASE WHEN o_orderkey % 3 = 0 THEN concat('New', o_custkey, '@example.com')
+            """CASE WHEN o_orderkey % 71 = 0 THEN NULL WHEN o_orderkey % 67 = 0 THEN ' '
+                    WHEN o_orderkey % 3 = 0 THEN concat('New', o_custkey, '@example.com')
                     ELSE concat('GUEST', o_custkey, '@EXAMPLE.COM') END AS email""",
             "o_orderpriority AS first_name",
             "concat('Guest ', o_custkey) AS last_name",
@@ -359,6 +367,7 @@ class StarSource:
             "id AS delivery_id",
             "ota_configuration_id",
             "status <> 'failed' AS delivered",
+            "sync_started_at AS started_at",
             "sync_completed_at AS completed_at",
         )
 

@@ -7,10 +7,11 @@ session.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from roomledger.operators.changes import apply_status_changes, latest_changes
 from roomledger.operators.channels import request_rate, sync_health
@@ -18,6 +19,7 @@ from roomledger.operators.channels import request_rate, sync_health
 CHANGE_SCHEMA = "change_id bigint, booking_id bigint, status string, changed_at timestamp"
 LOG_SCHEMA = """id bigint, ota_configuration_id bigint, status string,
                 sync_started_at timestamp, records_processed int"""
+DONE_SCHEMA = "path string, merged array<string>"
 ACCESS_SCHEMA = "client_id bigint, ts timestamp"
 
 
@@ -35,20 +37,46 @@ def read_feed(spark: SparkSession, path: str, schema: str, max_files: int = 1000
     )
 
 
+def create_store(spark: SparkSession, store: str) -> None:
+    """An empty change store, unless there is one."""
+    spark.createDataFrame([], DONE_SCHEMA).write.mode("ignore").parquet(f"{store}/done")
+
+
+def _publish(spark: SparkSession, store: str, path: str, merged: list[str]) -> None:
+    """Makes a written folder part of the store, in place of the merged ones, at once."""
+    row = spark.createDataFrame([(path, merged)], DONE_SCHEMA)
+    row.coalesce(1).write.mode("append").parquet(f"{store}/done")
+
+
+def finished(spark: SparkSession, store: str) -> list[str]:
+    """Folders of the store: one per batch since the last compaction, and its result."""
+    rows = spark.read.schema(DONE_SCHEMA).parquet(f"{store}/done").collect()
+    merged = {path for row in rows for path in row["merged"]}
+    return sorted({row["path"] for row in rows} - merged)
+
+
 def collect_status_changes(
     changes: DataFrame, store: str, checkpoint: str | None = None, **trigger
 ) -> StreamingQuery:
     """Keeps the change store of ``current_bookings`` up to date.
 
     A batch adds one row per booking it touches, in a folder named by the
-    batch, so a replayed batch overwrites itself and nothing else. The
-    booking table is never rewritten by the stream.
+    stream's own id, which a new checkpoint changes, and the batch; a replayed
+    batch overwrites itself and nothing else. A folder counts once it has been
+    published. The booking table is never rewritten by the stream.
     """
-
-    progress = checkpoint or f"{checkpoint_root(changes.sparkSession)}/status_changes"
+    spark = changes.sparkSession
+    progress = checkpoint or f"{checkpoint_root(spark)}/status_changes"
+    create_store(spark, store)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        latest_changes(batch).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        session = batch.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the stream has no id")
+        path = f"run={stream}/batch={batch_id}"
+        latest_changes(batch).write.mode("overwrite").parquet(f"{store}/{path}")
+        _publish(session, store, path, [])
 
     return (
         changes.writeStream.foreachBatch(keep)
@@ -59,16 +87,31 @@ def collect_status_changes(
 
 
 def stored_changes(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(CHANGE_SCHEMA).parquet(store)
+    """All changes kept; a path that holds no store is an error."""
+    paths = [f"{store}/{path}" for path in finished(spark, store)]
+    if not paths:
+        return spark.createDataFrame([], CHANGE_SCHEMA)
+    return spark.read.schema(CHANGE_SCHEMA).parquet(*paths)
+
+
+def compact_changes(spark: SparkSession, store: str) -> None:
+    """Folds the finished batches into one folder with one row per booking.
+
+    Batches that finish meanwhile are left for the next time. The merged
+    folders are no longer read and may be deleted once no reader uses them.
+    """
+    merged = finished(spark, store)
+    if len(merged) < 2:
+        return
+    path = f"compacted={uuid.uuid4().hex}"
+    kept = spark.read.schema(CHANGE_SCHEMA).parquet(*[f"{store}/{p}" for p in merged])
+    latest_changes(kept).write.parquet(f"{store}/{path}")
+    _publish(spark, store, path, merged)
 
 
 def current_bookings(bookings: DataFrame, store: str) -> DataFrame:
     """Bookings as of the last finished batch of the change stream."""
-    try:
-        changes = stored_changes(bookings.sparkSession, store)
-    except AnalysisException:
-        return bookings  # no batch yet
-    return apply_status_changes(bookings, changes)
+    return apply_status_changes(bookings, stored_changes(bookings.sparkSession, store))
 
 
 def request_rate_stream(

@@ -81,7 +81,7 @@ def test_reasons_in_order(spark, make_tables):
         6: "accepted",
         7: "room_missing_or_inactive",
         8: "accepted",
-        9: "room_missing_or_inactive",
+        9: "missing_or_invalid_field",
     }
 
 

@@ -178,7 +178,7 @@ def test_images_follow_the_highest_order(spark, make_tables):
 def test_numbering_by_ranges_equals_a_plain_window(spark):
     rows = [(i % 3 if i % 2 else 0, i * 7 % 1009) for i in range(1000)]
     df = spark.createDataFrame(rows, "g bigint, id bigint")
-    got = {(g, i): n for g, i, n in rows_of(number_within(df, "g", "id", "n", width=50))}
+    got = {(g, i): n for g, i, n in rows_of(number_within(df, "g", "id", "n", ranges=20))}
     seen: dict[int, int] = {}
     for g, i in sorted(rows):
         seen[g] = seen.get(g, 0) + 1
@@ -244,7 +244,9 @@ def test_raw_dates_are_checked_as_text(spark):
     raw = spark.createDataFrame(
         [(1, "2024-06-20", "2024-06-22"), (1, "20/06/2024", "2024-06-22")],
         "room_id bigint, check_in_date string, check_out_date string",
-    ).withColumns({"adults": F.lit(1), "children": F.lit(0), "email": F.lit("a@b.org")})
+    ).withColumns({"adults": F.lit(1), "children": F.lit(0), "email": F.lit("a@b.org"),
+        "first_name": F.lit("Ann"), "last_name": F.lit("Lee"), "phone": F.lit(None).cast("string"),
+        "special_requests": F.lit("")})
     got = [r[0] for r in rows_of(quality.quality_report(raw, "booking_requests"), "violations")]
     assert got == [[], ["check_in_date_format"]]
 

@@ -8,11 +8,11 @@ from xml.etree import ElementTree
 import pytest
 
 from roomledger.operators import channels
-from roomledger.operators.exports import csv_lines, export_bookings
+from roomledger.operators.exports import export_bookings
 from roomledger.sinks import files
 from roomledger.sources.schema import TABLE_NAMES, schema_of
 from roomledger.sources.seed import seed_dims
-from roomledger.sources.tables import jdbc_options, load_tables, table_sizes
+from roomledger.sources.tables import Tables, jdbc_options, load_tables, table_sizes
 from tests.conftest import rows_of
 from tests.test_traps import guest, room, stay
 
@@ -55,13 +55,19 @@ def test_csv_quotes_only_where_needed(spark, tmp_path):
         str(tmp_path / "out"), header=True, multiLine=True, escape='"', schema=df.schema
     )
     assert sorted(rows_of(back), key=str) == sorted(rows_of(df), key=str)
-    assert rows_of(csv_lines(df))[0] == ('"a,b","say ""x""",,2024-06-01',)
+    assert rows_of(files.csv_text(spark, str(tmp_path / "out")))[0] == ("one,two,n,d",)
 
 
 def test_an_empty_extract_is_an_error(hotel, tmp_path):
     none = export_bookings(hotel).where("adults > 99")
     with pytest.raises(files.NoData):
         files.write_csv(none, str(tmp_path / "none"))
+    # The extract stored before stays.
+    held = str(tmp_path / "held")
+    rows = files.write_csv(export_bookings(hotel), held)
+    with pytest.raises(files.NoData):
+        files.write_csv(none, held)
+    assert none.sparkSession.read.csv(held, header=True).count() == rows > 0
 
 
 def _joined(path: str) -> str:
@@ -129,9 +135,12 @@ def test_json_documents(spark, hotel, tmp_path):
 
 def test_sync_results_are_logged_and_move_the_clock(spark, hotel, tmp_path):
     calls = spark.createDataFrame(
-        [(i, i, i != 2, dt.datetime(2024, 6, 15, 10, i)) for i in range(1, 6)],
+        [
+            (i, i, i != 2, dt.datetime(2024, 6, 15, 9) if i > 1 else None, dt.datetime(2024, 6, 15, 10, i))
+            for i in range(1, 6)
+        ],
         "delivery_id bigint, ota_configuration_id bigint, delivered boolean, "
-        "completed_at timestamp_ntz",
+        "started_at timestamp_ntz, completed_at timestamp_ntz",
     )
     results = channels.sync_log_rows(hotel, calls)
     names = ("ota_configuration_id", "status", "records_processed")
@@ -148,6 +157,15 @@ def test_sync_results_are_logged_and_move_the_clock(spark, hotel, tmp_path):
     files.append_sync_log(results, log)
     files.append_sync_log(results, log)
     assert spark.read.parquet(log).count() == 8
+    # The stored log has the declared types and is read by every log operator.
+    stored = spark.read.schema(schema_of("ota_sync_logs")).parquet(log)
+    kept = Tables(lambda name: stored if name == "ota_sync_logs" else getattr(hotel, name))
+    day = dt.datetime(2024, 6, 15, 12)
+    assert stored.where("sync_started_at IS NULL OR records_processed IS NULL").count() == 0
+    assert sorted(r[1] for r in rows_of(channels.failed_syncs(kept, day))) == [2, 2]
+    assert channels.sync_logs(kept).count() == 8
+    assert sum(r[0] for r in rows_of(channels.sync_stats(kept, day), "total_syncs")) == 8
+    assert sum(r[0] for r in rows_of(channels.sync_health(kept.ota_sync_logs), "total_syncs")) == 8
     assert "api_key" not in hotel.ota_configurations.columns
 
 

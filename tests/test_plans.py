@@ -69,7 +69,7 @@ def test_pages_are_cut_without_a_full_sort(spark, name):
     assert "TakeOrderedAndProject" in plan_of(catalog.run(name, spark, STAR))
 
 
-@pytest.mark.parametrize("name", ["booking_conflicts", "admit_bookings", "availability_calendar"])
+@pytest.mark.parametrize("name", ["booking_conflicts", "availability_calendar"])
 def test_stays_meet_on_room_and_day(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

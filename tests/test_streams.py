@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from roomledger.operators.changes import apply_status_changes
@@ -28,9 +29,12 @@ def test_status_changes(spark, tmp_path):
     _split(changes.withColumn("part", F.col("change_id") % 3), str(tmp_path / "in"))
     feed = feeds.read_feed(spark, str(tmp_path / "in"), feeds.CHANGE_SCHEMA, max_files=1)
     store = str(tmp_path / "store")
+    with pytest.raises(AnalysisException):
+        feeds.current_bookings(src.bookings(), store)
+    feeds.create_store(spark, store)
     assert feeds.current_bookings(src.bookings(), store).count() == src.bookings().count()
     feeds.collect_status_changes(feed, store, str(tmp_path / "cp"), **ONCE).awaitTermination()
-    assert spark.read.parquet(store).select("batch_id").distinct().count() == 3
+    assert len(feeds.finished(spark, store)) == 3
     streamed = feeds.current_bookings(src.bookings(), store)
     batch = apply_status_changes(src.bookings(), src.status_changes())
     names = ("id", "booking_status", "updated_at")
@@ -38,6 +42,22 @@ def test_status_changes(spark, tmp_path):
     # A second run finds nothing new and changes nothing.
     feeds.collect_status_changes(feed, store, str(tmp_path / "cp"), **ONCE).awaitTermination()
     assert sorted(rows_of(streamed, *names)) == sorted(rows_of(batch, *names))
+    # A new checkpoint starts at batch 0 again and overwrites nothing.
+    (tmp_path / "in2").mkdir()
+    later = feeds.batch_column(src.status_changes()).where("change_id < 50").selectExpr(
+        "change_id + 1000000 AS change_id", "booking_id", "'no_show' AS status",
+        "changed_at + INTERVAL 100 YEARS AS changed_at",
+    )
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+    second = feeds.read_feed(spark, str(tmp_path / "in2"), feeds.CHANGE_SCHEMA)
+    feeds.collect_status_changes(second, store, str(tmp_path / "cp2"), **ONCE).awaitTermination()
+    assert len(feeds.finished(spark, store)) == 4
+    every = feeds.batch_column(src.status_changes()).unionByName(later)
+    wanted = sorted(rows_of(apply_status_changes(src.bookings(), every), *names))
+    assert sorted(rows_of(feeds.current_bookings(src.bookings(), store), *names)) == wanted
+    feeds.compact_changes(spark, store)
+    assert len(feeds.finished(spark, store)) == 1
+    assert sorted(rows_of(feeds.current_bookings(src.bookings(), store), *names)) == wanted
 
 
 def _closed(spark, tmp_path, df, schema, windows_of, time_column):
