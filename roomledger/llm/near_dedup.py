@@ -5,19 +5,25 @@
 2. Documents with equal sets form a class; the smallest id of a class stands for it
    from here on, so copies never meet each other again.
 3. Representatives that share a band form a bucket. Each is paired with its bucket's
-   smallest id only. The similarity of a pair is estimated from the bit counts of the
-   packed signatures, corrected for values that agree by chance; pairs whose estimate
-   lies more than ``SIGMAS`` standard deviations below the threshold are dropped, the
-   others are decided on full sets.
-4. Decided links are joined to components. A bucket that still holds several components
-   may hide links between them: there, all rows outside the largest component meet
-   all rows of the bucket, in blocks of ``BLOCK`` rows, and pairs of different
-   components are estimated. First the ``FIRST`` best partners of a row per component are
+   smallest id only, first in ``EARLY`` bands, then in all. The similarity of a pair is
+   estimated from the bit counts of the packed signatures, corrected for values that
+   agree by chance; pairs whose estimate lies more than ``SIGMAS`` standard deviations
+   below the threshold are dropped, the others are decided on full sets.
+4. Decided links are joined to components, and buckets within one component are done.
+   A bucket that still holds several components may hide links between them: there, all
+   rows outside the largest component meet all rows of the bucket, in blocks of
+   ``BLOCK`` rows, and pairs of different components are estimated, each in the first
+   band that it shares. First the ``FIRST`` best partners of a row per component are
    decided on full sets, then, where components are still apart, all the rest. Links
    within a component change nothing and are not looked for. So every candidate pair is
    decided or already connected; none is capped.
 
-A link at the threshold shares no band with probability below 3e-7.
+Full sets are made anew from the texts of the documents in question. A bitmap of
+``FILTER_BITS`` bits of their hashed ids, broadcast to the scan, keeps most other texts
+out of that exchange; it is a filter only, the join on the id decides.
+
+A link at the threshold shares no band with probability below 3e-7, and is below the
+estimate's bound with probability below 3e-7.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing; a text
 of fewer words than a shingle is one shingle; repeated rows are members of one class;
@@ -43,10 +49,13 @@ from roomledger.llm.tokens import strings
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
+#: Signatures hold more minima than the bands use.
+HASHES = 2 * BANDS * ROWS
 BITS = 2
 LONGS = HASHES * BITS // 64
-SIGMAS = 6.0
+SIGMAS = 5.0
+EARLY = 2
+FILTER_BITS = 1 << 25
 BLOCK = 256
 FIRST = 3
 SPREAD = 256
@@ -123,7 +132,7 @@ def _signed(batches):
             part = batch.slice(low, ROWS_AT_ONCE)
             sets = shingle_sets(part.column(1))
             lowest = np.array([minima(s) for s in sets], np.uint32).reshape(-1, HASHES)
-            keyed = (lowest.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND_PLACES).sum(axis=2)
+            keyed = (lowest[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND_PLACES).sum(axis=2)
             bands = _mixed(_mixed(keyed) + _BAND_SEEDS).view(np.int64)
             planes = [np.packbits((lowest >> np.uint32(b)) & 1, axis=1) for b in range(BITS)]
             bits = np.ascontiguousarray(np.hstack(planes)).view(np.int64)
@@ -219,10 +228,31 @@ def _decided(percent, batches):
         yield pa.RecordBatch.from_arrays(kept.columns, schema=schema)
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with these ids, one for each id."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bitmap")
+    )
+    # at most FILTER_BITS / 32768 rows of 4 KB
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    there = F.expr("_byte % (_bit * 2) >= _bit")
+    near = (
+        texts.withColumn("_bucket", F.bitmap_bucket_number(place))
+        .join(F.broadcast(bitmaps), "_bucket")
+        .withColumn("_byte", byte.cast("int"))
+        .withColumn("_bit", F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int"))
+        .where(there)
+        .select("doc_id", "text")
+    )
+    return near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    read = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    read = _texts_of(texts, ids)
     sets = stored(read.mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
@@ -230,6 +260,50 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return stored(held.mapInArrow(functools.partial(_decided, percent), "a long, b long"), "links")
 
 
+class _Groups:
+    """Representatives and the components found so far."""
+
+    def __init__(self, chosen: DataFrame) -> None:
+        self.chosen = chosen
+        none = chosen.sparkSession.createDataFrame([], "node long, component long")
+        self.parts = none
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component ``part`` of their ``rep``."""
+        joined = rows.join(self.parts, F.col("rep") == F.col("node"), "left")
+        part = F.coalesce("component", "rep").alias("part")
+        return joined.select(*rows.columns, part)
+
+    def connect(self, links: DataFrame) -> None:
+        """Joins the components that the links connect."""
+        ends = []
+        for end in ("a", "b"):
+            known = self.parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            links = links.join(known, end, "left")
+            ends.append(F.coalesce(f"of_{end}", end).alias(end))
+        new = components(links.select(*ends))
+        moved = self.parts.join(
+            new.select(F.col("node").alias("component"), F.col("component").alias("_now")),
+            "component",
+            "left",
+        ).select("node", F.coalesce("_now", "component").alias("component"))
+        fresh = new.join(self.parts.select("node"), "node", "left_anti")
+        self.parts = stored(moved.unionByName(fresh), "components")
+
+
+def _mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows (band, rep, part, ...) whose bucket holds several components, with the
+    bucket's ``head``, its component ``of_head`` and ``members``."""
+    buckets = rows.groupBy("band").agg(
+        F.min("part").alias("_low"),
+        F.max("part").alias("_high"),
+        F.min("rep").alias("head"),
+        F.min_by("part", "rep").alias("of_head"),
+        F.count(F.lit(1)).alias("members"),
+    )
+    return rows.join(buckets.where("_low < _high").drop("_low", "_high"), "band")
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
@@ -241,38 +315,28 @@ def near_groups(
     same = [known[c] == classes[c] for c in _SET] + [known["doc_id"] == classes["rep"]]
     chosen = known.join(classes, same, "left_semi").dropDuplicates(["doc_id"])
     chosen = stored(chosen.select(F.col("doc_id").alias("rep"), "bands", "bits"), "representatives")
-    banded = chosen.select(F.explode("bands").alias("band"), "rep")
-    heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members"))
-    # members of buckets with two rows or more; each bucket with its smallest id
-    bucketed = stored(banded.join(heads.where("members > 1"), "band"), "buckets")
-    bits = chosen.select("rep", "bits")
-    floor = lowest_estimate(percent)
-
-    stars = bucketed.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    near = (
-        stars.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("one")), "a")
-        .join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("other")), "b")
-        .where(estimate(F.col("one"), F.col("other")) >= floor)
-    )
-    tried = stored(near.select("a", "b"), "pairs")
-    links = _links(tried, texts, percent)
-    parts = components(links)
-
+    groups, floor, tried = _Groups(chosen), lowest_estimate(percent), None
+
+    def decide(pairs: DataFrame) -> None:
+        nonlocal tried
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        if not pairs.isEmpty():
+            links = _links(pairs, texts, percent)
+            if not links.isEmpty():
+                groups.connect(links)
+
+    early = groups.labelled(chosen.select("rep", F.explode(F.slice("bands", 1, EARLY)).alias("band")))
+    decide(_stars(_mixed_buckets(early), chosen, floor))
+    # buckets that one component holds now stay so
+    every = groups.labelled(chosen.select("rep", "bands")).select("rep", "part", F.explode("bands").alias("band"))
+    bucketed = stored(_mixed_buckets(every), "buckets")
+    decide(_stars(bucketed, chosen, floor))
+    bucketed = bucketed.select("band", "rep")
     for first in (FIRST, None):
-        apart = _apart(bucketed, bits, parts, floor)
-        untried = apart.join(tried, ["a", "b"], "left_anti")
-        if first:
-            best = Window.partitionBy("a", "of_b").orderBy(F.desc("estimate"), "b")
-            untried = untried.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= first)
-        more = stored(untried.select("a", "b").distinct(), "pairs")
-        if more.isEmpty():
-            break
-        found = _links(more, texts, percent)
-        tried = tried.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            parts = components(links)
+        decide(_apart(groups.labelled(bucketed), chosen, floor, first))
 
+    parts = groups.parts
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
         *_SET, F.coalesce("component", "rep").alias("component_id")
     )
@@ -289,22 +353,28 @@ def near_groups(
     return found.union(alone).withColumn("kept", kept)
 
 
-def _apart(bucketed: DataFrame, bits: DataFrame, parts: DataFrame, floor: float) -> DataFrame:
-    """``(a, b, of_b, estimate)``: similar signatures of a bucket in different components.
+def _stars(rows: DataFrame, chosen: DataFrame, floor: float) -> DataFrame:
+    """``(a, b)``: the head of a mixed bucket and a row of another component, if similar."""
+    pairs = rows.where("part <> of_head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    bits = chosen.select("rep", "bits")
+    return (
+        pairs.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("one")), "a")
+        .join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("other")), "b")
+        .where(estimate(F.col("one"), F.col("other")) >= floor)
+        .select("a", "b")
+    )
+
+
+def _apart(rows: DataFrame, chosen: DataFrame, floor: float, first: int | None) -> DataFrame:
+    """``(a, b)``, a < b: similar signatures of a bucket in different components.
 
-    ``of_b`` is the component of ``b``. Rows outside a bucket's largest component go to
-    every block of the bucket, the others to their own.
+    Rows outside a bucket's largest component go to every block of the bucket, the
+    others to their own. With ``first``, only the best pairs of a row and a component.
     """
-    part = F.coalesce("component", "rep").alias("part")
-    rows = bucketed.where("members > 2").join(parts, F.col("rep") == F.col("node"), "left")
-    rows = rows.select("band", "rep", "members", part)
-    sizes = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    # counts and components packed into one sortable pair per bucket
-    largest = sizes.groupBy("band").agg(
-        F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")
-    )
-    open_ = largest.where("parts > 1").select("band", F.col("top.part").alias("main"))
-    held = stored(rows.join(open_, "band").join(bits, "rep"), "apart")
+    held = _mixed_buckets(rows).drop("head", "of_head")
+    sizes = held.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    held = stored(held.join(largest, "band").join(chosen, "rep"), "apart")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     targets = held.select(
         "band",
@@ -312,6 +382,7 @@ def _apart(bucketed: DataFrame, bits: DataFrame, parts: DataFrame, floor: float)
         F.col("rep").alias("b"),
         F.col("part").alias("of_b"),
         F.col("bits").alias("other"),
+        F.col("bands").alias("bands_b"),
         "main",
     )
     askers = held.where("part <> main").select(
@@ -320,21 +391,22 @@ def _apart(bucketed: DataFrame, bits: DataFrame, parts: DataFrame, floor: float)
         F.col("rep").alias("a"),
         F.col("part").alias("of_a"),
         F.col("bits").alias("one"),
+        F.col("bands").alias("bands_a"),
     )
     similar = estimate(F.col("one"), F.col("other"))
+    shared = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
+    first_shared = F.element_at("bands_a", F.array_position(shared, True).cast("int"))
     pairs = (
         askers.join(targets, ["band", "block"])
         # two rows outside the largest component would meet twice
         .where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .where(similar >= floor)
+        .where((similar >= floor) & (first_shared == F.col("band")))
+        .select("a", "b", "of_b", similar.alias("estimate"))
     )
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return pairs.select(
-        low.alias("a"),
-        high.alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("of_b")).otherwise(F.col("of_a")).alias("of_b"),
-        similar.alias("estimate"),
-    ).dropDuplicates(["a", "b"])
+    if first:
+        best = Window.partitionBy("a", "of_b").orderBy(F.desc("estimate"), "b")
+        pairs = pairs.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= first)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def drop_near_copies(
