@@ -1,11 +1,11 @@
 """Exact top-k inner products by the threshold algorithm.
 
 Candidates are dealt into blocks. A block sorts its rows once per dimension; a query reads
-the lists from the end where its component gains most, a few entries of every list at
-a time, scores the rows it meets for the first time in full, and stops as soon as the
-best score an unread row could have (the sum over dimensions of the query's component
-times the value last read) is below its k-th score. The k-th score is carried from block
-to block of a task. A query's answers of all blocks are merged by score and id.
+the lists from the end where its component gains most, a stretch of every list at a
+time (``STEP`` entries, then as many again as were read), scores the rows it meets for
+the first time in full, and stops as soon as the best score an unread row could have
+(the sum over dimensions of the query's component times the value last read) is below
+its k-th score, or no row is left. The answers of all blocks are merged by score and id.
 
 Queries and candidates are dealt out in groups and blocks of bounded size, so a task
 never holds more than one of each; the queries are a stated share of the rows.
@@ -32,7 +32,7 @@ from roomledger.llm.common import ship, stored
 K = 10
 BLOCK_ROWS = 4096
 GROUP_QUERIES = 4096
-STEP = 16
+STEP = 32
 
 FOUND = "query_id long, vec_id long, score long"
 _ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -56,27 +56,32 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
 
-    def top(self, query: np.ndarray, own: int, k: int, least: list[tuple[int, int]]):
-        """The k best ``(score, -id)`` of ``least`` and this block, best first."""
-        best = list(least)
+    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """The k best ``(score, -id)`` of this block, best first."""
+        best: list[tuple[int, int]] = []
         n, used = len(self.ids), np.flatnonzero(query)
         weights = query[used]
         if not len(used):
-            scores = np.zeros(n, np.int64)
-            return self._merge(best, scores, np.arange(n), own, k)
-        # entry t of each list, read from the end where the product is largest
-        lists = np.where(weights > 0, self.order[::-1, used], self.order[:, used])
-        seen = np.zeros(n, bool)
-        for at in range(0, n, STEP):
-            part = lists[at : at + STEP]
-            new = np.unique(part[~seen[part]])
+            return self._merge(best, np.zeros(n, np.int64), np.arange(n), own, k)
+        rising, falling = used[weights < 0], used[weights > 0]
+        seen, unread, at = np.zeros(n, bool), n, 0
+        while unread:
+            upto = min(n, max(STEP, 2 * at))
+            met = np.zeros(n, bool)
+            # lists are read from the end where the product is largest
+            met[self.order[at:upto, rising]] = True
+            met[self.order[n - upto : n - at, falling]] = True
+            new = np.flatnonzero(met & ~seen)
             seen[new] = True
+            unread -= len(new)
             best = self._merge(best, self.rows[new] @ query, new, own, k)
-            bound = int((self.rows[part[-1], used] * weights).sum())
+            bound = int(self.rows[self.order[upto - 1, rising], rising] @ query[rising])
+            bound += int(self.rows[self.order[n - upto, falling], falling] @ query[falling])
             if len(best) == k and best[-1][0] > bound:
                 break
+            at = upto
         return best
 
     def _merge(self, best, scores, places, own, k):
@@ -108,7 +113,7 @@ def _answer(k: int, queries: pa.Table, candidates: pa.Table) -> pa.Table:
     rows: list[tuple[int, int, int]] = []
     asked = _matrix(queries.column("vector"), width)
     for query_id, query in zip(queries.column("query_id").to_pylist(), asked):
-        rows += [(query_id, -i, score) for score, i in held.top(query, query_id, k, [])]
+        rows += [(query_id, -i, score) for score, i in held.top(query, query_id, k)]
     columns = list(zip(*rows)) or [(), (), ()]
     return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
