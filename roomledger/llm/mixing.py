@@ -134,13 +134,13 @@ def schedule(
         cycles, rest = divmod(-(-sizes[s] // block), share)
         horizon = min(horizon, cycles * length + at[s, rest])
     part = spark.createDataFrame(
-        [(s, found.get(s, 0)) for s in sizes], "source string, _of long"
+        [(s, found.get(s)) for s in sizes], "source string, _of long"
     )
     cycles = F.floor(F.col("block") / F.col("_of"))
     since = cycles * F.lit(length)
     return (
         placed.join(F.broadcast(part), "source")
-        .withColumn("_in_cycle", F.when(F.col("_of") > 0, F.pmod("block", F.col("_of"))))
+        .withColumn("_in_cycle", F.pmod("block", F.col("_of")))
         .join(F.broadcast(plan), ["source", "_in_cycle"], "left")
         .select(
             "doc_id",
