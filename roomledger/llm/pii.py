@@ -49,7 +49,7 @@ HIDDEN = 16
 SAMPLE = 1024
 LONGEST = 20_000
 TRAINING_WINDOWS = 3000
-EPOCHS = 8
+STEPS, BATCH, RATE = 400, 32, 0.02
 ROWS_AT_ONCE = 2000
 WINDOWS_AT_ONCE = 4096
 
@@ -325,7 +325,7 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c for c, _ in chosen]), np.array([t for _, t in chosen])
 
 
-def train(texts: list[str], epochs: int = EPOCHS) -> dict[str, np.ndarray] | None:
+def train(texts: list[str], steps: int = STEPS) -> dict[str, np.ndarray] | None:
     """Weights fitted with Adam to the windows of ``texts``; None where they hold no span."""
     codes, tags = training_windows(texts)
     if not tags.any():
@@ -333,21 +333,21 @@ def train(texts: list[str], epochs: int = EPOCHS) -> dict[str, np.ndarray] | Non
     network = Network()
     first = {k: np.zeros_like(v) for k, v in network.w.items()}
     second = {k: np.zeros_like(v) for k, v in network.w.items()}
-    rng, step = np.random.default_rng(7), 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(codes))
-        for low in range(0, len(order), 64):
-            part = order[low : low + 64]
-            _, grads = network.gradients(codes[part], tags[part])
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            step += 1
-            rate = 0.01 * (0.5 if epoch >= epochs // 2 else 1.0)
-            for k, g in grads.items():
-                g = g * min(1.0, 5.0 / (norm + 1e-9))
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                lean = first[k] / (1 - 0.9**step)
-                network.w[k] = network.w[k] - rate * lean / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    rng, order = np.random.default_rng(7), np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < min(BATCH, len(codes)):
+            order = rng.permutation(len(codes))
+        part, order = order[:BATCH], order[BATCH:]
+        _, grads = network.gradients(codes[part], tags[part])
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        # the last third goes in small steps
+        rate = RATE * (0.25 if step > 2 * steps // 3 else 1.0)
+        for k, g in grads.items():
+            g = g * min(1.0, 5.0 / (norm + 1e-9))
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            lean = first[k] / (1 - 0.9**step)
+            network.w[k] = network.w[k] - rate * lean / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return network.w
 
 
