@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,16 @@ EXCERPTS = 64
 EXCERPT = 600
 WIDTH = 512
 ROWS_AT_ONCE = 1500
+LETTERS = 200
 UNKNOWN = "und"
-#: Bits per character above which a text is in none of the languages: letters drawn at
-#: random need more, text of a learned language much less.
-FOREIGN_BITS = 7.0
+#: Phrases per character from which on a text is in none of the languages: its phrases are
+#: not even two letters long. Letters that no training text holds reach 1, letters drawn at
+#: random about 0.4, text of a learned language 0.2.
+FOREIGN_RATE = 0.5
 
-PREDICTED = "doc_id long, lang_pred string, score double, bits double"
+PREDICTED = "doc_id long, lang_pred string, score double, rate double"
 _ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())]
+    [("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rate", pa.float64())]
 )
 
 
@@ -81,10 +84,14 @@ def excerpts(
 
 
 class Codes:
-    """Letters as small numbers: 0 for all that separates words, 1 for unlearned letters."""
+    """Letters as small numbers: 0 for all that separates words, 1 for unlearned letters.
+
+    At most ``LETTERS`` letters, the most frequent, have numbers of their own.
+    """
 
     def __init__(self, texts: list[str]) -> None:
-        self.letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
+        counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
+        self.letters = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS])
         top = max(map(ord, self.letters), default=0) + 1
         self.table = np.zeros(top, np.uint8)
         for c in range(top):
@@ -181,7 +188,7 @@ class CrossParser:
         return count
 
     def __call__(self, texts: list[str]) -> list[tuple[str, float, float]]:
-        """``(language, score, bits per character)`` of each text."""
+        """``(language, score, phrases per character)`` of each text."""
         coded = [self.codes(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         letters = np.array([bool((c > 0).any()) for c in coded])
@@ -205,7 +212,7 @@ class CrossParser:
             each = bits[:, i]
             best = int(each.argmin())
             weights = np.exp2(each[best] - each)
-            found.append((self.languages[best], float(1 / weights.sum()), float(each[best])))
+            found.append((self.languages[best], float(1 / weights.sum()), float(each[best] / self.logs[best])))
         return found
 
 
@@ -220,8 +227,8 @@ def _predict(training, batches):
         for low in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(low, ROWS_AT_ONCE)
             texts = strings(pc.fill_null(part.column(1), ""))
-            languages, scores, bits = zip(*parser(list(texts)))
-            columns = [pa.array(languages), pa.array(scores), pa.array(bits)]
+            languages, scores, rates = zip(*parser(list(texts)))
+            columns = [pa.array(languages), pa.array(scores), pa.array(rates)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=_ARROW)
 
 
@@ -232,7 +239,7 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, bits."""
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, rate (phrases per character)."""
     ship(docs.sparkSession)
     if training is None:
         training = excerpts(docs, id_col, text_col, lang_col)
@@ -240,7 +247,7 @@ def identify(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     found = read.mapInArrow(functools.partial(_predict, training), PREDICTED)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rate")
 
 
 def _recognised(training, batches):
@@ -249,7 +256,7 @@ def _recognised(training, batches):
         for low in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(low, ROWS_AT_ONCE)
             texts = strings(pc.fill_null(part.column("_lang_text"), ""))
-            kept = [lang != UNKNOWN and bits < FOREIGN_BITS for lang, _, bits in parser(list(texts))]
+            kept = [lang != UNKNOWN and rate < FOREIGN_RATE for lang, _, rate in parser(list(texts))]
             yield part.drop_columns(["_lang_text"]).filter(pa.array(kept, pa.bool_()))
 
 
