@@ -26,7 +26,7 @@ from roomledger.functions.measures import (
 from roomledger.functions.stays import CHECK_IN, CHECK_OUT, in_house, nights, overlaps
 from roomledger.operators.rooms import with_category
 from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, fetch, page_count, page_of
+from roomledger.plans.paging import bounded, fetch, older_than, page_count, page_of
 from roomledger.sources.tables import Tables
 
 TAX_RATE = "0.10"
@@ -51,9 +51,13 @@ def _rooms_by_category(t: Tables, *extra: str) -> DataFrame:
     )
 
 
-def with_guest_and_room(bookings: DataFrame, t: Tables) -> DataFrame:
-    """Bookings that have both a guest and a room, with their names."""
-    return bookings.join(_guests(t), "customer_id").join(_rooms(t), "room_id")
+def with_guest_and_room(bookings: DataFrame, t: Tables, rows: int | None = None) -> DataFrame:
+    """Bookings that have both a guest and a room, with their names.
+
+    At most ``rows`` bookings are known to be few and are broadcast to both tables.
+    """
+    few = (lambda df: df) if rows is None else (lambda df: bounded(df, rows))
+    return few(bookings.join(_guests(t), "customer_id")).join(_rooms(t), "room_id")
 
 
 def booking_lookup(t: Tables, reference: str | None = None) -> DataFrame:
@@ -104,10 +108,15 @@ def _known(bookings: DataFrame, t: Tables, trusted: bool = False) -> DataFrame:
 
 
 def _newest_page(
-    t: Tables, filters: list[Column], page: int, limit: int, trusted: bool
+    t: Tables,
+    filters: list[Column],
+    page: int,
+    limit: int,
+    trusted: bool,
+    after: tuple | None = None,
 ) -> DataFrame:
     """The wide rows of one page, newest first; at most ``limit`` rows."""
-    bookings = t.bookings
+    bookings = t.bookings.where(older_than(after))
     for condition in filters:
         bookings = bookings.where(condition)
     keys = _known(bookings.select("id", "created_at", "customer_id", "room_id"), t, trusted)
@@ -124,16 +133,22 @@ def bookings_page(
     page: int = 1,
     limit: int = 50,
     trusted: bool = False,
+    after: tuple[dt.datetime, int] | None = None,
 ) -> DataFrame:
     """One page of the filtered bookings, newest first.
 
-    The dates bound the check-in day, both ends included.
+    The dates bound the check-in day, both ends included. ``after`` is the
+    creation time and id of the last row shown: pages are then counted from
+    there, and the next one is page 1.
     """
     chosen = _filters(status, room_id, date_from, date_to)
-    rows = _newest_page(t, chosen, page, limit, trusted)
+    rows = _newest_page(t, chosen, page, limit, trusted, after)
+    named = bounded(rows.join(_guests(t, "phone"), "customer_id"), limit)
+    placed = named.join(_rooms(t, "room_category_id"), "room_id")
+    categories = renamed(t.room_categories, room_category_id="id", category_name="name")
     return (
-        rows.join(_guests(t, "phone"), "customer_id")
-        .join(_rooms_by_category(t), "room_id")
+        placed.join(categories, "room_category_id", "left")
+        .drop("room_category_id")
         .orderBy(F.desc("created_at"), F.desc("id"))
     )
 
@@ -196,7 +211,7 @@ def current_occupancy(t: Tables, today: dt.date) -> DataFrame:
 
 
 def recent_bookings(t: Tables, n: int = 10, trusted: bool = False) -> DataFrame:
-    newest = with_guest_and_room(_newest_page(t, [], 1, n, trusted), t)
+    newest = with_guest_and_room(_newest_page(t, [], 1, n, trusted), t, n)
     return newest.orderBy(F.desc("created_at"), F.desc("id"))
 
 

@@ -12,7 +12,7 @@ from roomledger.functions.measures import tally
 from roomledger.operators.bookings import active_room_count
 from roomledger.operators.rooms import channel_room_status
 from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, fetch, page_of
+from roomledger.plans.paging import bounded, fetch, older_than, page_of
 from roomledger.sources.tables import Tables
 
 # Channel names in lower case and the message form each takes.
@@ -66,9 +66,18 @@ def _names(t: Tables) -> DataFrame:
     return renamed(t.ota_configurations, ota_configuration_id="id", ota_name="ota_name")
 
 
-def sync_logs(t: Tables, ota_id: int | None = None, page: int = 1, limit: int = 50) -> DataFrame:
-    """One page of the sync log with channel names, newest first."""
-    logs = t.ota_sync_logs
+def sync_logs(
+    t: Tables,
+    ota_id: int | None = None,
+    page: int = 1,
+    limit: int = 50,
+    after: tuple[dt.datetime, int] | None = None,
+) -> DataFrame:
+    """One page of the sync log with channel names, newest first.
+
+    ``after`` is the start and id of the last row shown; the next page is page 1 then.
+    """
+    logs = t.ota_sync_logs.where(older_than(after, "sync_started_at"))
     if ota_id is not None:
         logs = logs.where(F.col("ota_configuration_id") == ota_id)
     keys = logs.select("id", "ota_configuration_id", "sync_started_at").join(

@@ -16,7 +16,7 @@ from roomledger.functions.stays import CHECK_IN, nights
 from roomledger.operators.reports import booking_totals, spent_or_zero, with_totals
 from roomledger.operators.rooms import with_category
 from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, page_count, page_of
+from roomledger.plans.paging import bounded, older_than, page_count, page_of
 from roomledger.sources.tables import Tables
 
 
@@ -64,9 +64,14 @@ def _page_with_totals(guests: DataFrame, t: Tables, page: int, limit: int) -> Da
 
 
 def customers_page(
-    t: Tables, search: str | None = None, page: int = 1, limit: int = 50
+    t: Tables,
+    search: str | None = None,
+    page: int = 1,
+    limit: int = 50,
+    after: tuple[dt.datetime, int] | None = None,
 ) -> DataFrame:
-    return _page_with_totals(_matching(t, search), t, page, limit)
+    """One page of guests, newest first; ``after`` seeks as in ``bookings_page``."""
+    return _page_with_totals(_matching(t, search).where(older_than(after)), t, page, limit)
 
 
 def customers_page_count(t: Tables, search: str | None = None, limit: int = 50) -> DataFrame:

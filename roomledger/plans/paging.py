@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 10_000
 
 
+def older_than(after: tuple | None, time: str = "created_at", key: str = "id") -> Column:
+    """Rows that follow the last row ``(time, id)`` of a page in newest-first order.
+
+    A page sought by it costs as much as the first one, however deep it is, where an
+    offset has to move all rows before it through one task.
+    """
+    if after is None:
+        return F.lit(True)
+    moment, last = after
+    return (F.col(time) < F.lit(moment)) | ((F.col(time) == F.lit(moment)) & (F.col(key) < last))
+
+
 def page_of(df: DataFrame, order: list[Column], page: int = 1, limit: int = 50) -> DataFrame:
     if page < 1 or limit < 1:
         raise ValueError("page and limit count from 1")
