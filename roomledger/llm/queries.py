@@ -118,6 +118,56 @@ WITH rows AS (
 SELECT conv_id, n_turns, sha256(read) AS turns_sha256, length(learned) AS loss_chars,
        sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM whole""",
+    # the cycle of 2,048 slots holds for up to 128 sources
+    "op6_source_mixing": f"""
+WITH RECURSIVE rows AS (
+    SELECT doc_id, coalesce(source, '') AS source,
+           row_number() OVER (PARTITION BY coalesce(source, '')
+                              ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place
+    FROM documents
+), sizes AS (
+    SELECT source, count(*) AS n, pow(count(*), {mixing.POWER}) AS w FROM rows GROUP BY source
+), wanted AS (
+    SELECT *, (2048 - count(*) OVER ()) * w / sum(w) OVER () AS exact FROM sizes
+), ranked AS (
+    SELECT *, 1 + CAST(floor(exact) AS BIGINT) AS whole,
+           row_number() OVER (ORDER BY floor(exact) - exact, source) AS turn
+    FROM wanted
+), shares AS (
+    SELECT source, n, whole + CASE WHEN turn <= 2048 - sum(whole) OVER () THEN 1 ELSE 0 END AS q,
+           row_number() OVER (ORDER BY source) AS i
+    FROM ranked
+), lists AS (SELECT list(CAST(q AS BIGINT) ORDER BY i) AS q FROM shares),
+walk AS (
+    SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS block,
+           list_transform(q, lambda x: CAST(0 AS BIGINT)) AS done FROM lists
+    UNION ALL
+    SELECT slot, i, done[i], list_transform(range(1, len(done) + 1),
+                                            lambda j: done[j] + CASE WHEN j = i THEN 1 ELSE 0 END)
+    FROM (
+        SELECT w.slot + 1 AS slot, w.done, list_min(list_filter(list_transform(
+            range(1, len(w.done) + 1),
+            lambda j: CASE WHEN w.done[j] < l.q[j] AND w.done[j] * 2048 // l.q[j] <= w.slot + 1
+                THEN {{'due': ((w.done[j] + 1) * 2048 + l.q[j] - 1) // l.q[j], 'heavy': -l.q[j], 'j': j}}
+                END), lambda e: e IS NOT NULL)).j AS i
+        FROM walk w, lists l WHERE w.slot < 2047)
+), plan AS (
+    SELECT s.source, s.q, w.block, w.slot FROM walk w JOIN shares s ON s.i = w.i
+), placed AS (
+    SELECT r.doc_id, r.source, r.place // {mixing.BLOCK} AS block, r.place % {mixing.BLOCK} AS position,
+           s.q, 2048 * (r.place // {mixing.BLOCK} // s.q) AS since
+    FROM rows r JOIN shares s ON s.source = r.source
+), horizon AS (
+    SELECT min(2048 * (((n + {mixing.BLOCK} - 1) // {mixing.BLOCK}) // s.q) + p.slot) AS ends
+    FROM shares s JOIN plan p ON p.source = s.source
+      AND p.block = ((n + {mixing.BLOCK} - 1) // {mixing.BLOCK}) % s.q
+)
+SELECT d.doc_id, d.source, CAST(d.block AS BIGINT) AS block, CAST(d.position AS INTEGER) AS position,
+       CAST(since + d.block % d.q * 2048 // d.q AS BIGINT) AS release,
+       CAST(since + ((d.block % d.q + 1) * 2048 + d.q - 1) // d.q AS BIGINT) AS deadline,
+       CAST(since + p.slot AS BIGINT) AS slot,
+       since + p.slot < (SELECT ends FROM horizon) AS in_mix
+FROM placed d JOIN plan p ON p.source = d.source AND p.block = d.block % d.q""",
     "op7_exact_dedup": f"""
 WITH d AS (
     SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS plain
