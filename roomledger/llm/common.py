@@ -68,6 +68,44 @@ def documents(
     )
 
 
+#: Bits of the bitmaps below: 1,024 rows of 4 KB at most, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def _filter_place(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(FILTER_BITS))
+
+
+def marked(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``id_col`` is not among ``ids.doc_id``.
+
+    A bitmap of the hashed ids is broadcast to the scan. It is a filter with a proven
+    size, so that most rows need no exchange; whoever uses it joins the rest on the id.
+    """
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(_filter_place("doc_id")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(_filter_place("doc_id"))).alias("_bitmap")
+    )
+    at = F.bitmap_bit_position(_filter_place(id_col))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    bit = F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")
+    there = F.pmod(byte.cast("int"), bit * 2) >= bit
+    return (
+        rows.withColumn("_bucket", F.bitmap_bucket_number(_filter_place(id_col)))
+        .join(F.broadcast(bitmaps), "_bucket", "left")
+        .withColumn("_maybe", F.coalesce(there, F.lit(False)))
+        .drop("_bucket", "_bitmap")
+    )
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids.doc_id``; only rows in doubt are exchanged."""
+    held = marked(rows, ids, id_col)
+    doubtful = held.where("_maybe").drop("_maybe")
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone"))
+    return held.where(~F.col("_maybe")).drop("_maybe").unionByName(doubtful.join(gone, same, "left_anti"))
+
+
 def crc_of(column: str) -> Column:
     """crc32 of the decimal text of an id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

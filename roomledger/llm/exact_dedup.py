@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import documents, stored
+from roomledger.llm.common import documents, stored, without
 
 BUDGET = 96 << 20
 FANOUT = 16
@@ -234,7 +234,6 @@ def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET
 ) -> DataFrame:
     """The rows of ``docs`` whose id stays. Rows that repeat an id stay together."""
-    kept = exact_groups(docs, id_col, text_col, budget).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_kept_id"))
-    return docs.join(kept, same, "left_semi")
+    groups = exact_groups(docs, id_col, text_col, budget)
+    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
+    return without(docs, stored(gone.select("doc_id"), "exact-gone"), id_col)

@@ -5,22 +5,23 @@
 2. Documents with equal sets form a class; the smallest id of a class stands for it
    from here on, so copies never meet each other again.
 3. Representatives that share a band form a bucket. Each is paired with its bucket's
-   smallest id only, first in ``EARLY`` bands, then in all. The similarity of a pair is
+   smallest id only, first in ``EARLY`` bands, then in all, where a row keeps the
+   ``FIRST`` smallest ids that share most bands with it. The similarity of a pair is
    estimated from the bit counts of the packed signatures, corrected for values that
    agree by chance; pairs whose estimate lies more than ``SIGMAS`` standard deviations
    below the threshold are dropped, the others are decided on full sets.
 4. Decided links are joined to components, and buckets within one component are done.
    A bucket that still holds several components may hide links between them: there, all
    rows outside the largest component meet all rows of the bucket, in blocks of
-   ``BLOCK`` rows, and pairs of different components are estimated, each in the first
-   band that it shares. First the ``FIRST`` best partners of a row per component are
-   decided on full sets, then, where components are still apart, all the rest. Links
-   within a component change nothing and are not looked for. So every candidate pair is
-   decided or already connected; none is capped.
+   ``BLOCK`` rows. Rows without a similar signature of another component drop out; the
+   others are compared on full sets within the block, each pair in the first band that
+   it shares, and only links leave it. Links within a component change nothing and are
+   not looked for. So every candidate pair is decided or already connected; none is
+   capped, and no list of candidate pairs is made of a bucket.
 
 Full sets are made anew from the texts of the documents in question. A bitmap of
-``FILTER_BITS`` bits of their hashed ids, broadcast to the scan, keeps most other texts
-out of that exchange; it is a filter only, the join on the id decides.
+their hashed ids, broadcast to the scan, keeps most other texts out of that exchange; it
+is a filter only, the join on the id decides.
 
 A link at the threshold shares no band with probability below 3e-7, and is below the
 estimate's bound with probability below 3e-7.
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import documents, stored
+from roomledger.llm.common import documents, marked, stored, without
 from roomledger.llm.tokens import strings
 
 WORDS = 5
@@ -55,7 +56,6 @@ BITS = 2
 LONGS = HASHES * BITS // 64
 SIGMAS = 5.0
 EARLY = 2
-FILTER_BITS = 1 << 25
 BLOCK = 256
 FIRST = 3
 SPREAD = 256
@@ -176,18 +176,26 @@ def lowest_estimate(percent: int = PERCENT) -> float:
     return similarity - SIGMAS * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node either points to one lower node or is pointed to."""
+    ends = edges.select("a", (F.col("a") > F.col("b")).cast("int").alias("up"), F.lit(1).alias("out"))
+    ends = ends.union(edges.select("b", F.lit(1), F.lit(0)))
+    nodes = ends.groupBy("a").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n"), F.min("up").alias("up"))
+    return nodes.where("up = 0 OR out > 1 OR (out = 1 AND n > 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of the nodes of ``edges`` (a, b): the smallest node reachable.
 
     Large-star and small-star rounds; every round is written to the shared folder.
     """
-    now, seen = stored(edges.select("a", "b").where("a <> b").distinct(), "edges"), None
-    while True:
+    now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    while not _is_star_forest(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.distinct()
         # each row now points down: the small star of a row is its own lower neighbours
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -197,10 +205,6 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         now = stored(small, "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     top = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return stored(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(top), "components")
 
@@ -230,22 +234,7 @@ def _decided(percent, batches):
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``texts`` with these ids, one for each id."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bitmaps = ids.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bitmap")
-    )
-    # at most FILTER_BITS / 32768 rows of 4 KB
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    there = F.expr("_byte % (_bit * 2) >= _bit")
-    near = (
-        texts.withColumn("_bucket", F.bitmap_bucket_number(place))
-        .join(F.broadcast(bitmaps), "_bucket")
-        .withColumn("_byte", byte.cast("int"))
-        .withColumn("_bit", F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int"))
-        .where(there)
-        .select("doc_id", "text")
-    )
+    near = marked(texts, ids).where("_maybe").select("doc_id", "text")
     return near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
@@ -332,9 +321,9 @@ def near_groups(
     every = groups.labelled(chosen.select("rep", "bands")).select("rep", "part", F.explode("bands").alias("band"))
     bucketed = stored(_mixed_buckets(every), "buckets")
     decide(_stars(bucketed, chosen, floor))
-    bucketed = bucketed.select("band", "rep")
-    for first in (FIRST, None):
-        decide(_apart(groups.labelled(bucketed), chosen, floor, first))
+    links = _apart(groups.labelled(bucketed.select("band", "rep")), chosen, texts, floor, percent)
+    if not links.isEmpty():
+        groups.connect(links)
 
     parts = groups.parts
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
@@ -355,7 +344,10 @@ def near_groups(
 
 def _stars(rows: DataFrame, chosen: DataFrame, floor: float) -> DataFrame:
     """``(a, b)``: the head of a mixed bucket and a row of another component, if similar."""
-    pairs = rows.where("part <> of_head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = rows.where("part <> of_head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b"))
+    most = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    pairs = shared.agg(F.count(F.lit(1)).alias("n")).withColumn("_place", F.row_number().over(most))
+    pairs = pairs.where(F.col("_place") <= FIRST).select("a", "b")
     bits = chosen.select("rep", "bits")
     return (
         pairs.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("one")), "a")
@@ -365,48 +357,84 @@ def _stars(rows: DataFrame, chosen: DataFrame, floor: float) -> DataFrame:
     )
 
 
-def _apart(rows: DataFrame, chosen: DataFrame, floor: float, first: int | None) -> DataFrame:
-    """``(a, b)``, a < b: similar signatures of a bucket in different components.
+def _apart(rows: DataFrame, chosen: DataFrame, texts: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links (a, b) between rows of a bucket in different components.
 
-    Rows outside a bucket's largest component go to every block of the bucket, the
-    others to their own. With ``first``, only the best pairs of a row and a component.
+    Rows outside a bucket's largest component ask, all rows are asked. Both are cut into
+    blocks, and every block of askers meets every block of the asked.
     """
     held = _mixed_buckets(rows).drop("head", "of_head")
     sizes = held.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    held = stored(held.join(largest, "band").join(chosen, "rep"), "apart")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    targets = held.select(
-        "band",
-        F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"),
-        F.col("rep").alias("b"),
-        F.col("part").alias("of_b"),
-        F.col("bits").alias("other"),
-        F.col("bands").alias("bands_b"),
-        "main",
-    )
-    askers = held.where("part <> main").select(
-        "band",
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-        F.col("rep").alias("a"),
-        F.col("part").alias("of_a"),
-        F.col("bits").alias("one"),
-        F.col("bands").alias("bands_a"),
+    largest = sizes.groupBy("band").agg(
+        F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main")
     )
-    similar = estimate(F.col("one"), F.col("other"))
+    held = stored(held.join(largest, "band").join(chosen, "rep"), "apart")
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+    def dealt(n: Column) -> Column:
+        return F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    asked, asking = F.col("members"), F.col("members") - F.col("n_main")
+    targets = held.withColumn("block", dealt(asked)).select(
+        "band", "block", every(asking).alias("group"), F.col("rep").alias("b"),
+        F.col("part").alias("of_b"), F.col("bits").alias("other"), F.col("bands").alias("bands_b"),
+    )
+    askers = held.where("part <> main").withColumn("group", dealt(asking)).select(
+        "band", every(asked).alias("block"), "group", F.col("rep").alias("a"),
+        F.col("part").alias("of_a"), F.col("bits").alias("one"), F.col("bands").alias("bands_a"),
+    )
     shared = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
-    first_shared = F.element_at("bands_a", F.array_position(shared, True).cast("int"))
-    pairs = (
-        askers.join(targets, ["band", "block"])
-        # two rows outside the largest component would meet twice
-        .where((F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .where((similar >= floor) & (first_shared == F.col("band")))
-        .select("a", "b", "of_b", similar.alias("estimate"))
+    met = ["band", "block", "group"]
+    left, right = askers.alias("l"), targets.alias("r")
+    similar = (
+        functools.reduce(Column.__and__, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in met])
+        & (F.col("of_a") != F.col("of_b"))
+        & (estimate(F.col("one"), F.col("other")) >= floor)
+        & (F.element_at("bands_a", F.array_position(shared, True).cast("int")) == F.col("l.band"))
+    )
+    ask = stored(left.join(right, similar, "left_semi").select(*met, "a", "of_a", "bands_a"), "apart")
+    hold = stored(right.join(left, similar, "left_semi").select(*met, "b", "of_b", "bands_b"), "apart")
+    ids = ask.select(F.col("a").alias("doc_id")).union(hold.select("b")).distinct()
+    sets = stored(_texts_of(texts, ids).mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
+    ask = ask.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a")
+    hold = hold.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other")), "b")
+    found = (
+        ask.groupBy(*met)
+        .cogroup(hold.groupBy(*met))
+        .applyInArrow(functools.partial(_linked, percent), "a long, b long")
     )
-    if first:
-        best = Window.partitionBy("a", "of_b").orderBy(F.desc("estimate"), "b")
-        pairs = pairs.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= first)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stored(found.distinct(), "links")
+
+
+def _linked(percent: int, ask: pa.Table, hold: pa.Table) -> pa.Table:
+    """One link of each asker to each component, if there is one."""
+    found: list[tuple[int, int]] = []
+    if ask.num_rows and hold.num_rows:
+        band = ask.column("band")[0].as_py()
+        names, parts = hold.column("b").to_numpy(), hold.column("of_b").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in hold.column("other")]
+        sizes = np.array([len(x) for x in sets])
+        # one long list of all shingles: an asker's overlaps are counted in one pass
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        bands = np.array(hold.column("bands_b").to_pylist(), np.int64)
+        asking = zip(ask.column("a").to_pylist(), ask.column("of_a").to_pylist(), ask.column("one"), ask.column("bands_a"))
+        for a, of_a, one, own in asking:
+            own_bands = np.array(own.as_py(), np.int64)
+            common = bands == own_bands
+            here = (own_bands[common.argmax(axis=1)] == band) & common.any(axis=1) & (parts != of_a)
+            x = np.frombuffer(one.as_buffer(), "<u8")
+            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+            overlap = np.bincount(owner, x[at] == flat, len(sets))
+            good = here & (100 * overlap >= percent * (len(x) + sizes - overlap))
+            _, first = np.unique(parts[good], return_index=True)
+            found += [(a, int(b)) for b in names[good][first]]
+    columns = list(zip(*found)) or [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
 def drop_near_copies(
@@ -414,5 +442,5 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of ``docs`` that stand for their group; rows that repeat an id stay together."""
     groups = near_groups(docs, id_col, text_col, percent)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("bigint") == F.col("_dropped_id"), "left_anti")
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    return without(docs, stored(gone, "near-gone"), id_col)
