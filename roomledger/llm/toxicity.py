@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from roomledger.llm.common import crc_of, documents
 from roomledger.llm.tokens import strings
 
-SAMPLE = 1500
-LONGEST = 20_000
+SAMPLE = 800
+LONGEST = 8000
 LANDMARKS = 96
 DECAY = 0.6
 SPAN = 6
@@ -242,7 +242,11 @@ def train(rows: list[tuple[str, int]]) -> Model:
     to_space = vectors[:, good] / np.sqrt(values[good])
     vocabulary = sorted({u for units, _ in held for u in units})
     index = {u: i for i, u in enumerate(vocabulary)}
-    space = kernel(vocabulary) @ to_space
+    # the kernels themselves are kept for a stretch of units at a time
+    to_space = to_space.astype(np.float32)
+    parts = [kernel(vocabulary[i : i + 8192]) @ to_space for i in range(0, len(vocabulary), 8192)]
+    space = np.concatenate(parts)
+    del parts
     x, y, cost = [], [], []
     for text, label in rows:
         sentences = [s for s in (_units(p) for p in SENTENCE.split(text)) if s]
@@ -250,10 +254,11 @@ def train(rows: list[tuple[str, int]]) -> Model:
             x.append(space[[index[u] for u in units if u in index]].mean(axis=0))
             y.append(2 * label - 1)
             cost.append(1 / len(sentences))
-    x, y = np.nan_to_num(np.array(x)), np.array(y, float)
-    w = _squared_hinge(np.hstack([10 * x, np.ones((len(x), 1))]), y, np.array(cost))
+    x = np.nan_to_num(np.array(x, np.float32))
+    x = np.hstack([10 * x, np.ones((len(x), 1), np.float32)])
+    w = _squared_hinge(x, np.array(y, float), np.array(cost))
     weights = to_space @ (10 * w[:-1])
-    unit_scores = kernel(vocabulary) @ weights
+    unit_scores = space @ (10 * w[:-1])
     # the sentence machine's zero, for a unit: what hardly any unit of a clean text reaches
     clean = np.concatenate([unit_scores[[index[u] for u in units]] for units, label in held if not label and units])
     bias = float(np.quantile(clean, 0.995))
