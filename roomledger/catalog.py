@@ -74,13 +74,7 @@ def _primary_images(src: StarSource) -> DataFrame:
 
 def _cascade(src: StarSource) -> DataFrame:
     t = src.tables()
-    rows = [
-        children.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count"
-        )
-        for name, children in changes.room_cascade(t, changes.deletable_rooms(t)).items()
-    ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return changes.room_cascade_counts(t, changes.deletable_rooms(t))
 
 
 def _admit(src: StarSource) -> DataFrame:

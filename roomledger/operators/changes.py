@@ -221,15 +221,39 @@ def deletable_languages(t: Tables) -> DataFrame:
     return t.languages.where(~F.col("is_default"))
 
 
+CHILDREN_OF_ROOMS = ("room_images", "room_amenities", "room_availability")
+
+
 def room_cascade(t: Tables, rooms: DataFrame) -> dict[str, DataFrame]:
     """Rows that go with the given rooms: images, amenities, availability."""
     gone = rooms.select(F.col("id").alias("room_id"))
     return {
-        name: getattr(t, name).join(gone, "room_id", "left_semi")
-        for name in ("room_images", "room_amenities", "room_availability")
+        name: getattr(t, name).join(gone, "room_id", "left_semi") for name in CHILDREN_OF_ROOMS
     }
 
 
+def room_cascade_counts(t: Tables, rooms: DataFrame) -> DataFrame:
+    """How many rows of each child table go with the given rooms.
+
+    The rooms are found once: the children meet them together, as one row per
+    table and room.
+    """
+    children = [
+        getattr(t, name).select(F.lit(code).alias("code"), "room_id")
+        for code, name in enumerate(CHILDREN_OF_ROOMS)
+    ]
+    used = children[0].unionByName(children[1]).unionByName(children[2])
+    folded = used.groupBy("code", "room_id").agg(F.count(F.lit(1)).alias("n"))
+    going = folded.join(rooms.select(F.col("id").alias("room_id")), "room_id", "left_semi")
+    sums = going.agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("code") == code, F.col("n"))), F.lit(0)).alias(name)
+            for code, name in enumerate(CHILDREN_OF_ROOMS)
+        ]
+    )
+    return sums.unpivot([], list(CHILDREN_OF_ROOMS), "table_name", "row_count")
+
+
 # Flags and order --------------------------------------------------------------
 
 
