@@ -60,12 +60,30 @@ def _cut(path: str, capacity: int, with_ids: bool, batches):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     held = ids[at : at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(held) // 4, zlib.crc32(held))
-                    for column, value in zip(out, (*row, held if with_ids else None)):
+                    kept = _narrow(held) if with_ids else None
+                    for column, value in zip(out, (*row, kept)):
                         column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(out, _PIECES_ARROW.types)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_PIECES_ARROW)
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Two bytes per id where they suffice, for the way through the exchange; a first byte
+    tells which it is."""
+    held = np.frombuffer(ids, "<u4")
+    return b"\2" + held.astype("<u2").tobytes() if held.max(initial=0) < 1 << 16 else b"\4" + ids
+
+
+def _widened(batches):
+    for batch in batches:
+        place = batch.schema.get_field_index("ids")
+        wide = [
+            np.frombuffer(x[1:], f"<u{x[0]}").astype("<u4").tobytes()
+            for x in batch.column(place).to_pylist()
+        ]
+        yield batch.set_column(place, "ids", pa.array(wide, pa.binary()))
+
+
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
@@ -241,7 +259,7 @@ def pack(
     )
     ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank")
     since = F.col("_rank") - F.col("_from")
-    return (
+    placed = (
         ranked.join(
             F.broadcast(places),
             (F.col("length") == F.col("_length"))
@@ -252,3 +270,4 @@ def pack(
         .withColumn("offset", F.col("_offset") + F.pmod(since, F.col("_copies")) * F.col("length"))
         .drop("_rank", *places.columns)
     )
+    return placed.mapInArrow(_widened, placed.schema) if with_ids else placed

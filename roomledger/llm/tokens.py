@@ -72,8 +72,9 @@ def gathered(pool: list[bytes], codes: np.ndarray, ends: np.ndarray):
 class WordIds:
     """Ids of whole texts under a vocabulary that drops white space."""
 
-    #: Kept words; beyond it the cache starts anew.
-    LIMIT = 1_000_000
+    #: Kept words; beyond it the cache starts anew. Workers keep it between tasks, so it
+    #: must leave room for what other stages do in the same worker.
+    LIMIT = 300_000
 
     def __init__(self, path: str) -> None:
         self.whole = library(path)
