@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import documents, stored, without
+from roomledger.llm.common import discard, documents, stored, without
 
 BUDGET = 96 << 20
 FANOUT = 16
@@ -207,9 +207,16 @@ def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    local = stored(
+    return _answered(_local_groups(docs, id_col, text_col, budget), budget)
+
+
+def _local_groups(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
+    return stored(
         documents(docs, id_col, text_col).mapInArrow(partial(_within_task, budget), LOCAL), "exact-local"
     )
+
+
+def _answered(local: DataFrame, budget: int) -> DataFrame:
     answers = (
         local.where("first")
         .select("doc_id", "block", "grp", "size", "content", "digest")
@@ -234,6 +241,9 @@ def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET
 ) -> DataFrame:
     """The rows of ``docs`` whose id stays. Rows that repeat an id stay together."""
-    groups = exact_groups(docs, id_col, text_col, budget)
+    local = _local_groups(docs, id_col, text_col, budget)
+    groups = _answered(local, budget)
     gone = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
-    return without(docs, stored(gone.select("doc_id"), "exact-gone"), id_col)
+    gone = stored(gone.select("doc_id"), "exact-gone")
+    discard(local)
+    return without(docs, gone, id_col)

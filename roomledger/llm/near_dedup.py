@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import documents, marked, stored, without
+from roomledger.llm.common import discard, documents, marked, stored, without
 from roomledger.llm.tokens import strings
 
 WORDS = 5
@@ -246,7 +246,9 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
     held = pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "one", "other")
-    return stored(held.mapInArrow(functools.partial(_decided, percent), "a long, b long"), "links")
+    links = stored(held.mapInArrow(functools.partial(_decided, percent), "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 class _Groups:
@@ -321,9 +323,11 @@ def near_groups(
     every = groups.labelled(chosen.select("rep", "bands")).select("rep", "part", F.explode("bands").alias("band"))
     bucketed = stored(_mixed_buckets(every), "buckets")
     decide(_stars(bucketed, chosen, floor))
+    # what was tried, and the buckets below, are not needed for the result
     links = _apart(groups.labelled(bucketed.select("band", "rep")), chosen, texts, floor, percent)
     if not links.isEmpty():
         groups.connect(links)
+    discard(bucketed, chosen, links)
 
     parts = groups.parts
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
@@ -399,6 +403,7 @@ def _apart(rows: DataFrame, chosen: DataFrame, texts: DataFrame, floor: float, p
     )
     ask = stored(left.join(right, similar, "left_semi").select(*met, "a", "of_a", "bands_a"), "apart")
     hold = stored(right.join(left, similar, "left_semi").select(*met, "b", "of_b", "bands_b"), "apart")
+    tables = (held, ask, hold)
     ids = ask.select(F.col("a").alias("doc_id")).union(hold.select("b")).distinct()
     sets = stored(_texts_of(texts, ids).mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
     ask = ask.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a")
@@ -408,7 +413,9 @@ def _apart(rows: DataFrame, chosen: DataFrame, texts: DataFrame, floor: float, p
         .cogroup(hold.groupBy(*met))
         .applyInArrow(functools.partial(_linked, percent), "a long, b long")
     )
-    return stored(found.distinct(), "links")
+    links = stored(found.distinct(), "links")
+    discard(*tables, sets)
+    return links
 
 
 def _linked(percent: int, ask: pa.Table, hold: pa.Table) -> pa.Table:
