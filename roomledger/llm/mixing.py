@@ -161,15 +161,21 @@ def mixed(
     id_col: str = "doc_id",
     source_col: str = "source",
     block: int = BLOCK,
+    whole: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` in the mixture, in schedule order within each of its partitions.
 
     Documents scheduled after the first source has run out are left out: from there on
-    the target weights cannot be kept.
+    the target weights cannot be kept. With ``whole`` every row that has a slot stays, and
+    later slots keep the ratios of the sources that remain. Rows that repeat an id in a
+    source stay together, at the first of their places.
     """
-    order = schedule(docs, weights, id_col, source_col, block).where("in_mix")
-    chosen = order.select(
-        F.col("doc_id").alias("_mix_id"), "slot", "position"
-    ).dropDuplicates(["_mix_id"])
+    order = schedule(docs, weights, id_col, source_col, block)
+    order = order.where("slot IS NOT NULL" if whole else "in_mix")
+    chosen = order.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(
+        F.min(F.struct("slot", "position")).alias("_mix_at")
+    )
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_mix_id"))
-    return docs.join(chosen, same).orderBy("slot", "position").drop("_mix_id", "slot", "position")
+    same &= F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_mix_source")
+    placed = docs.join(chosen, same).orderBy("_mix_at.slot", "_mix_at.position")
+    return placed.drop("_mix_id", "_mix_source", "_mix_at")

@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from roomledger.llm import chat_format, mixing, topk
 
 VECTORS = "vec_id long, embedding array<float>, label int, rank int, score string"
@@ -129,3 +130,14 @@ def test_mixed_keeps_the_mixture_whole(docs_of):
     kept = mixing.mixed(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == wanted
     assert mixing.mixed(docs_of([])).count() == 0 == mixing.schedule(docs_of([])).count()
+
+
+def test_stage_keeps_documents_after_the_smallest_source(docs_of):
+    rows = [(i, "t", "en", "a" if i % 4 else "b") for i in range(2000)] + [(5000, "t", "en", None)]
+    rows += [(5, "t", "en", "b"), (None, "t", "en", "a")]
+    docs = docs_of(rows).repartition(3)
+    kept = corpus_pipeline.mix_sources(None, docs, "").collect()
+    assert sorted(map(repr, ((r.doc_id, r.source) for r in kept))) == sorted(repr((r[0], r[3])) for r in rows)
+    slots = {(r.doc_id, r.source): (r.slot, r.position) for r in mixing.schedule(docs).collect()}
+    order = [slots[r.doc_id, r.source or ""] for r in kept]
+    assert order == sorted(order) and not all(r.in_mix for r in mixing.schedule(docs).collect())
