@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string kernel machine with Nyström landmarks.
 
 Units are case-folded words without marks, with a begin sign, and runs of single letters
-(``i d i o t``) joined. The kernel of two units compares their subsequences of three
+(``i d i o t``) joined. What has no blank for more than ``WORD`` characters is broken up at
+its marks and into overlapping stretches; all of it is scored. The kernel of two units compares their subsequences of three
 characters, weighted by ``DECAY`` per character of their span (up to ``SPAN``), so
 inserted characters and gaps lower it gradually; it is normalised and raised to ``POWER``.
 
@@ -49,6 +50,9 @@ OF_A_KIND, ALIKE = 4, 0.6
 LIMIT = 1_000_000
 ROWS_AT_ONCE = 1500
 ALPHABET = 64
+#: Longer chunks are broken up, into stretches of a usual word that overlap by ``SPAN``:
+#: wider ones hide a word among its neighbours.
+WORD, STRETCH, STEP = 40, 10, 4
 
 MARKS = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<!\w)\w(?:[ .*_-]{1,2}\w(?!\w)){2,}")
@@ -68,8 +72,32 @@ def joined_letters(text: str) -> str:
     return f"{text} {' '.join(found)}" if found else text
 
 
-def unit_of(chunk: str) -> str:
-    return MARKS.sub("", chunk)[:40]
+def units_of(chunk: str) -> list[str]:
+    """The chunk without marks as one unit, if it is of a word's length. Otherwise its
+    parts between marks, parts of one or two letters joined with such neighbours, and
+    long parts as overlapping stretches, so that every character is in a unit."""
+    whole = MARKS.sub("", chunk)
+    if len(whole) <= WORD:
+        return [whole] if whole else []
+    parts: list[str] = []
+    joined = False  # whether the last part may grow
+    for part in MARKS.split(chunk):
+        if not part:
+            continue
+        short = len(part) <= 2
+        if short and joined and len(parts[-1]) + len(part) <= WORD:
+            parts[-1] += part
+        else:
+            parts.append(part)
+        joined = short
+    units = []
+    for part in parts:
+        if len(part) <= WORD:
+            units.append(part)
+        else:
+            last = len(part) - STRETCH
+            units += [part[min(i, last) :][:STRETCH] for i in range(0, last + STEP, STEP)]
+    return units
 
 
 class Triples:
@@ -193,7 +221,7 @@ def _landmarks(rows: list[tuple[list[str], int]], letters: str) -> tuple[str, ..
 
 
 def _units(text: str) -> list[str]:
-    return [u for c in joined_letters(text.lower()).split() if (u := unit_of(c))]
+    return [u for c in joined_letters(text.lower()).split() for u in units_of(c)]
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -278,27 +306,32 @@ class Scorer:
         self.weights = np.array(model.weights, np.float32)
         self.known: dict[str, float] = {}
 
-    def units(self, chunks: np.ndarray) -> np.ndarray:
-        """Scores of case-folded words; NaN where nothing is left of one."""
+    def units(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the units of case-folded chunks, and each chunk's number of units."""
         if len(self.known) > LIMIT:
             self.known = {}
-        found = [unit_of(c) for c in chunks]
-        new = list({u for u in found if u and u not in self.known})
+        found = [units_of(c) for c in chunks]
+        new = list({u for units in found for u in units if u not in self.known})
         if new:
             self.known.update(zip(new, (self.kernel(new) @ self.weights - self.model.bias).tolist()))
-        return np.array([self.known[u] if u else np.nan for u in found], float)
+        scores = np.array([self.known[u] for units in found for u in units], float)
+        return scores, np.array([len(units) for units in found], np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.kernel is None:
             return np.full(len(texts), self.model.constant)
         words = pc.utf8_split_whitespace(pa.array([joined_letters(t.lower()) for t in texts], pa.string()))
         coded = words.values.dictionary_encode()
-        scores = self.units(strings(coded.dictionary))[coded.indices.to_numpy()]
-        ends = words.offsets.to_numpy()
+        scores, sizes = self.units(strings(coded.dictionary))
+        chunks = coded.indices.to_numpy()
+        each, firsts = sizes[chunks], (np.cumsum(sizes) - sizes)[chunks]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        # the units of all chunks, one after the other
+        scores = scores[np.repeat(firsts - upto[:-1], each) + np.arange(upto[-1])]
+        ends = upto[words.offsets.to_numpy()]
         rows = []
         for a, b in zip(ends[:-1], ends[1:]):
-            own = scores[a:b]
-            rows.append(_features(own[~np.isnan(own)]))
+            rows.append(_features(scores[a:b]))
         z = np.array(rows).reshape(-1, 3) @ np.array(self.model.logistic)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 

@@ -229,3 +229,22 @@ def test_toxicity_cases(spark, docs_of):
     assert toxicity.toxicity(docs_of([]), labels).count() == 0
     clean = labels.where("toxic = 0")
     assert {r.score for r in toxicity.toxicity(docs_of(rows), clean).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("mark", ["_", "-", "/", ",", "..", ""])
+def test_chunks_without_blanks_are_scored_whole(spark, docs_of, mark):
+    rows = [(i, f"word{i % 7} and more. {'you idiot scum' if i % 3 == 0 else 'you are kind'} here") for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    mild = mark.join(["word", "and", "more", "kind", "here"] * 4)
+    made = [(100, mild), (101, mild + mark + mark.join(["you", "idiot", "scum"])), (102, mild + mark + mild)]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs_of(rows + made), labels).collect()}
+    assert got[101] > got[100] and got[101] > got[102]
+    for text in (t for _, t in made):
+        units, plain = toxicity.units_of(text), toxicity.MARKS.sub("", text)
+        assert all(len(u) <= toxicity.WORD for u in units)
+        # every stretch of SPAN characters between marks is in a unit
+        for part in toxicity.MARKS.split(text):
+            spans = [part[i : i + toxicity.SPAN] for i in range(max(1, len(part) - toxicity.SPAN + 1))]
+            assert all(any(x in u for u in units) for x in spans)
+        assert set("".join(units)) == set(plain)
+    assert toxicity.units_of("sc*um") == ["scum"] and toxicity.units_of("--") == []
