@@ -7,8 +7,8 @@ Grammar of a formatted conversation::
 
 A turn ends at the first ``</turn>`` that has no backslash before it, and its text starts
 after the first ``": "``. The parser takes one backslash off every ``###`` and
-``</turn>`` that has one or more, which is all it does to a text. Every turn is
-rendered plainly and parsed; where that does not give the turn back, the text gets one
+``</turn>`` that has one or more, and does not take a text that holds one without a
+backslash (it reads null). Every turn is rendered plainly and parsed; where that does not give the turn back, the text gets one
 backslash before every ``###`` and ``</turn>`` (after those it has) and is rendered and
 parsed again. As escaping adds exactly what parsing takes off, the second round is always
 identical; ``faithful`` in the result is the comparison itself.
@@ -44,6 +44,11 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2")
 
 
+def controlled(text: Column) -> Column:
+    """Whether the text holds a control string without a backslash before it."""
+    return F.regexp_replace(text, ESCAPED, "\n").rlike(CONTROLS)
+
+
 def role_escaped(role: Column) -> Column:
     once = F.replace(role, F.lit("\\"), F.lit("\\b"))
     return F.replace(F.replace(once, F.lit("\n"), F.lit("\\n")), F.lit(":"), F.lit("\\c"))
@@ -70,7 +75,9 @@ def parsed(formatted: Column) -> Column:
         start = head + len(BETWEEN)
         # the newline before the turn end is the template's
         text = F.substring(piece, start, F.length(piece) - start)
-        return F.struct(role_unescaped(role).alias("role"), unescaped(text).alias("text"))
+        # a control string without a backslash is no text
+        text = F.when(~controlled(text), unescaped(text))
+        return F.struct(role_unescaped(role).alias("role"), text.alias("text"))
 
     return F.transform(turns, turn)
 

@@ -4,11 +4,13 @@ import hashlib
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roomledger.llm import chat_format, mixing, topk
+from roomledger.llm import chat_format, mixing, queries, topk
+from tests.compare import differences
 
 VECTORS = "vec_id long, embedding array<float>, label int, rank int, score string"
 
@@ -141,3 +143,16 @@ def test_stage_keeps_documents_after_the_smallest_source(docs_of):
     slots = {(r.doc_id, r.source): (r.slot, r.position) for r in mixing.schedule(docs).collect()}
     order = [slots[r.doc_id, r.source or ""] for r in kept]
     assert order == sorted(order) and not all(r.in_mix for r in mixing.schedule(docs).collect())
+
+
+def test_control_strings_are_escaped_as_in_sql(spark, tmp_path):
+    texts = ["### system: x", "a </turn> b", "</turn>x", "####", "#\\####", "##\\####", "\\\\### </turn>\n", "######"]
+    texts += ["</turn></turn> \\</turn>", "</turn>\n", "## # </turn", None, "plain"]
+    rows = [(i, n, role, t) for i, t in enumerate(texts) for n, role in enumerate(["user", "assistant"])]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    name = "op5_chat_format"
+    assert not differences(queries.QUERIES[name](spark, str(tmp_path)), con, queries.SQL[name])
+    assert all(r.faithful for r in chat_format.format_conversations(frame).collect())
