@@ -89,10 +89,13 @@ class SortedLists:
             good = scores >= best[-1][0]
             scores, places = scores[good], places[good]
         ids = self.ids[places]
+        # the query's own rows take no room below
+        others = ids != own
+        scores, ids = scores[others], ids[others]
         if len(ids) > 4 * k:
-            cut = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            cut = np.partition(scores, len(scores) - k)[len(scores) - k]
             scores, ids = scores[scores >= cut], ids[scores >= cut]
-        found = best + [(int(s), -int(i)) for s, i in zip(scores, ids) if i != own]
+        found = best + [(int(s), -int(i)) for s, i in zip(scores, ids)]
         return sorted(found, reverse=True)[:k]
 
 

@@ -52,6 +52,14 @@ def test_repeated_vectors(spark):
     assert got == [(0, 1, 1, 2097152), (0, 2, 1, 2097152)]
 
 
+def test_repeated_query_among_many_candidates(spark):
+    # the query's own rows have the highest products of one block
+    rows = [(0, [9.0])] * 200 + [(i, [i / 64]) for i in range(1, 200)]
+    frame = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], VECTORS)
+    got = topk.top_k(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(199, 189, -1))
+
+
 TURNS = [
     (1, 1, "user", "plain"), (1, 2, "assistant", "two\nlines"), (1, 3, "assistant", None),
     (2, 1, "user", "\\### Assistant: </turn> ok"), (2, 2, "assistant", "\\\\</turn>\n### x </turn"),
