@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import discard, documents, stored, without
+from roomledger.llm.common import UPPER, discard, documents, marked, stored, without
 
 BUDGET = 96 << 20
 FANOUT = 16
@@ -240,10 +240,37 @@ def _answered(local: DataFrame, budget: int) -> DataFrame:
 def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET
 ) -> DataFrame:
-    """The rows of ``docs`` whose id stays. Rows that repeat an id stay together."""
+    """One row of ``docs`` for each text, one with the largest id.
+
+    Ids that occur once are dropped by the id. Of ids that occur more often, each row is
+    decided by its id and the digest of its text; which of the rows that are equal in
+    both goes on is left open.
+    """
     local = _local_groups(docs, id_col, text_col, budget)
-    groups = _answered(local, budget)
-    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
-    gone = stored(gone.select("doc_id"), "exact-gone")
+    groups = _answered(local, budget).select("doc_id", "kept", "text_sha256")
+    repeated = local.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = stored(repeated, "exact-repeated")
+    if repeated.isEmpty():
+        gone = stored(groups.where(~F.col("kept")).select("doc_id"), "exact-gone")
+        discard(local, repeated)
+        return without(docs, gone, id_col)
+    groups = stored(groups, "exact-answers")
     discard(local)
-    return without(docs, gone, id_col)
+    gone = groups.where(~F.col("kept")).select("doc_id").union(repeated).distinct()
+    once = without(docs, stored(gone, "exact-gone"), id_col)
+    known = F.col("doc_id").eqNullSafe(F.col("_repeated"))
+    winners = groups.where("kept").join(repeated.withColumnRenamed("doc_id", "_repeated"), known)
+    winners = winners.select(F.col("doc_id").alias("_won_id"), F.col("text_sha256").alias("_won_sha"))
+    plain = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower())
+    # equal rows meet within their tasks first
+    again = (
+        marked(docs, repeated, id_col)
+        .where("_maybe")
+        .drop("_maybe")
+        .withColumn("_exact_id", F.col(id_col).cast("bigint"))
+        .withColumn("_exact_sha", F.sha2(plain, 256))
+        .dropDuplicates(["_exact_id", "_exact_sha"])
+    )
+    won = F.col("_exact_id").eqNullSafe(F.col("_won_id")) & (F.col("_exact_sha") == F.col("_won_sha"))
+    again = again.join(winners, won, "left_semi").drop("_exact_id", "_exact_sha")
+    return once.unionByName(again)

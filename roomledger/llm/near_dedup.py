@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from roomledger.llm.common import discard, documents, marked, stored, without
 from roomledger.llm.tokens import strings
+from roomledger.plans.numbering import number_rows
 
 WORDS = 5
 PERCENT = 85
@@ -447,7 +448,14 @@ def _linked(percent: int, ask: pa.Table, hold: pa.Table) -> pa.Table:
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; rows that repeat an id stay together."""
+    """The rows of ``docs`` that stand for their group, and those with a null id.
+
+    Where ids are repeated, rows are numbered in the order of ids, and each is decided.
+    """
+    row_id = F.col(id_col).cast("bigint")
+    times = docs.where(row_id.isNotNull()).groupBy(row_id.alias("doc_id")).count()
+    if not times.where("count > 1").isEmpty():
+        docs, id_col = stored(number_rows(docs, row_id, "_near_row"), "near-rows"), "_near_row"
     groups = near_groups(docs, id_col, text_col, percent)
     gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return without(docs, stored(gone, "near-gone"), id_col)
+    return without(docs, stored(gone, "near-gone"), id_col).drop("_near_row")

@@ -52,3 +52,18 @@ def test_spill_recursion_is_complete():
     for content, member in records:
         wanted.setdefault(content, []).append(member)
     assert got == {c: sorted(m) for c, m in wanted.items()}
+
+
+def test_stage_keeps_one_row_of_repeated_ids(docs_of):
+    rows = [(1, "once"), (2, "Twice"), (2, "tWICE"), (2, "twice"), (3, "twice"), (3, "other"), (4, "Other"), (4, "other")]
+    rows += [(None, "no id"), (None, "no id"), (None, "once"), (None, None), (5, "Ä"), (5, "ä"), (6, LONG), (6, LONG.upper())]
+    rows += [(100 + i % 20, f"t{i % 30}") for i in range(120)]
+    docs = docs_of(rows).repartition(5)
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").encode().lower()) for r in kept.collect()), key=repr)
+    wanted = {}
+    for doc_id, text in rows:
+        content = (text or "").encode().lower()
+        wanted[content] = max(wanted.get(content, (False, 0)), (doc_id is not None, doc_id or 0))
+    assert got == sorted(((i if known else None, c) for c, (known, i) in wanted.items()), key=repr)

@@ -112,3 +112,14 @@ def test_stage_and_empty_table(docs_of):
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert near_dedup.near_groups(docs_of([])).count() == 0
+
+
+def test_stage_decides_rows_of_repeated_ids(docs_of):
+    words = [f"w{i}" for i in range(100)]
+    near, far = " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(50))
+    rows = [(5, " ".join(words)), (5, near), (5, far), (7, near), (7, "alone"), (9, far), (None, near), (None, near)]
+    kept = near_dedup.drop_near_copies(docs_of(rows).repartition(3))
+    assert kept.columns == docs_of(rows).columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(i for i, _ in got if i) == [5, 5, 7] and len(got) == 5
+    assert {(5, far), (7, "alone"), (None, near)} <= set(got)
