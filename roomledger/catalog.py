@@ -23,6 +23,7 @@ from roomledger.operators import (
     settings,
 )
 from roomledger.operators.reports import ReportWindow
+from roomledger.plans.stored import scratch_path
 from roomledger.sinks import files
 from roomledger.sources.starmap import StarSource
 from roomledger.sources.tables import table_sizes
@@ -106,7 +107,7 @@ def _upsert(src: StarSource) -> DataFrame:
 def _written_csv(src: StarSource) -> DataFrame:
     """The lines that the csv sink writes, read back."""
     extract = exports.export_bookings(src.tables(), ordered=False)
-    path = files.scratch_path(extract.sparkSession, "write_csv")
+    path = scratch_path(extract.sparkSession, "write_csv")
     files.write_csv(extract, path)
     return files.csv_text(extract.sparkSession, path)
 

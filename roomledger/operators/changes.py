@@ -11,6 +11,7 @@ from roomledger.functions.clock import day, first_whole_day, timestamp
 from roomledger.functions.measures import BLOCKING, status_in
 from roomledger.plans.keyed import key_set, renamed
 from roomledger.plans.numbering import number_rows, number_within
+from roomledger.plans.stored import stored
 from roomledger.sources.schema import BOOKING_STATUSES
 from roomledger.sources.tables import Tables
 
@@ -170,10 +171,11 @@ def upsert_customers(incoming: DataFrame, customers: DataFrame, as_of: dt.dateti
         F.max_by(F.struct("first_name", "last_name", "phone"), order).alias("_last"),
     )
     held = customers.select(F.struct(*customers.columns).alias("_held"), F.lower("email").alias("_key"))
-    met = held.join(seen, F.col("_key") == F.col("_email"), "full")
+    met = stored(held.join(seen, F.col("_key") == F.col("_email"), "full"), "guests-met")
     known, touched = F.col("_held").isNotNull(), F.col("_last").isNotNull()
-    order_key = F.when(~known, F.col("_first.request_id"))
-    numbered = number_rows(met, order_key, "_number")
+    added = number_rows(met.where(~known), F.col("_first.request_id"), "_number")
+    kept = met.where(known).withColumn("_number", F.lit(None).cast("bigint"))
+    numbered = kept.unionByName(added)
     highest = customers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     now = timestamp(as_of)
     values = {

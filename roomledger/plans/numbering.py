@@ -1,88 +1,75 @@
 """Exact row numbers over whole tables and inside groups of any size.
 
-``row_number`` over a hot group sorts the whole group in one task. Here rows are
-cut into ranges of the ordering id at its quantiles, numbered range by range, and
-shifted by the counts of the ranges before. The ranges hold about the same number
-of rows however the ids are spread, and the result equals the plain window.
+``row_number`` over a hot group sorts the whole group in one task. Here rows are dealt
+out by ranges of their order, sorted within a range and stored once with their range and
+place; the counts of the ranges before shift the places. Spark samples the bounds of
+the ranges, so these hold about the same number of rows however the values are spread.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomledger.plans.stored import stored
+
 RANGES_AT_LEAST = 8
+#: ``monotonically_increasing_id`` counts a partition's rows in its low 33 bits.
+_PLACES = (1 << 33) - 1
 
 
 def _ranges(spark: SparkSession) -> int:
     return max(RANGES_AT_LEAST, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _ranged(df: DataFrame, key: str, ranges: int | None) -> tuple[DataFrame, int]:
-    """``df`` with its range ``_range`` of ``key``, -1 for null keys, and the number of ranges.
+def positions(df: DataFrame, order: list[Column], alias: str, ranges: int | None = None) -> DataFrame:
+    """Position of each row of the table in ``order``, from 1.
 
-    Ids are compared as doubles here: ids too large for one share a range in order.
+    Rows that are equal in all of ``order`` follow each other in any order. One count per
+    range reaches the driver, and as many rows are joined to give the offsets.
     """
-    near = df.withColumn("_near", F.col(key).cast("double"))
-    parts = ranges or _ranges(df.sparkSession)
-    cuts = near.approxQuantile("_near", [i / parts for i in range(1, parts)], 0.5 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        splits.insert(1, 0.0)
-    cut = Bucketizer(splits=splits, inputCol="_near", outputCol="_range", handleInvalid="keep")
-    ranged = cut.transform(near).withColumn("_range", F.col("_range").cast("int"))
-    ranged = ranged.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(F.col("_range")))
-    return ranged.drop("_near"), len(splits) - 1
+    spark = df.sparkSession
+    parts = ranges or _ranges(spark)
+    placed = (
+        df.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACES)))
+    )
+    held = stored(placed, "numbered")
+    counted = sorted(tuple(row) for row in held.groupBy("_range").count().collect())
+    before = accumulate((n for _, n in counted), initial=0)
+    offsets = [f"({part}, {shift}L)" for (part, _), shift in zip(counted, before)]
+    table = spark.sql(f"SELECT * FROM VALUES {', '.join(offsets or ['(-1, 0L)'])} AS t(_range, _before)")
+    return (
+        held.join(table, "_range")
+        .withColumn(alias, F.col("_before") + F.col("_place") + 1)
+        .drop("_range", "_place", "_before")
+    )
 
 
 def number_rows(df: DataFrame, key: Column, alias: str, ranges: int | None = None) -> DataFrame:
     """Position of each row of the table by the unique ``key``, from 1; null where it is null.
 
-    One count per range reaches the driver.
+    Rows without a key come last and are spread, however many they are.
     """
-    ranged, parts = _ranged(df.withColumn("_key_", key), "_key_", ranges)
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    before, pairs = 0, []
-    for part in range(parts):
-        pairs += [F.lit(part), F.lit(before).cast("bigint")]
-        before += counts.get(part, 0)
-    local = F.row_number().over(Window.partitionBy("_range").orderBy("_key_"))
-    numbered = ranged.where("_range >= 0").withColumn(
-        alias, (local + F.create_map(*pairs)[F.col("_range")]).cast("bigint")
-    )
-    others = ranged.where("_range < 0").withColumn(alias, F.lit(None).cast("bigint"))
-    return numbered.unionByName(others).drop("_range", "_key_")
+    keyed = df.withColumn("_key_", key)
+    spread = F.when(F.col("_key_").isNull(), F.monotonically_increasing_id())
+    placed = positions(keyed.withColumn("_spread", spread), [F.asc_nulls_last("_key_"), F.col("_spread")], alias, ranges)
+    number = F.when(F.col("_key_").isNotNull(), F.col(alias))
+    return placed.withColumn(alias, number).drop("_key_", "_spread")
 
 
 def number_within(
     df: DataFrame, group: str, unique_id: str, alias: str, ranges: int | None = None
 ) -> DataFrame:
     """Position of each row in its group by ``unique_id``, counted from 1."""
-    ranged, _ = _ranged(df, unique_id, ranges)
-    before = (
-        ranged.groupBy(group, "_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_before",
-            F.sum("_rows").over(
-                Window.partitionBy(group)
-                .orderBy("_range")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select(
-            F.col(group).alias("_group"),
-            F.col("_range").alias("_group_range"),
-            F.coalesce("_before", F.lit(0)).alias("_before"),
-        )
-    )
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(group, "_range").orderBy(unique_id))
-    )
-    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_group_range"))
+    placed = positions(df, [F.col(group), F.col(unique_id)], "_position", ranges)
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_position").alias("_first"))
     return (
-        local.join(before, same)
-        .withColumn(alias, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_range", "_local", "_group", "_group_range", "_before")
+        placed.join(first, F.col(group).eqNullSafe(F.col("_group")))
+        .withColumn(alias, F.col("_position") - F.col("_first") + 1)
+        .drop("_position", "_group", "_first")
     )

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +51,6 @@ def write_csv(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def scratch_path(spark: SparkSession, job: str) -> str:
-    """A new path in the shared folder of the session, of this machine where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/{job}-{uuid.uuid4().hex}"
-
-
 def csv_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a written extract, ``line``; the header, which every part has, comes once."""
     lines = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "line")
