@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roomledger.plans.stored import discard, shared_folder, stored
+
+__all__ = ["discard", "shared_folder", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,34 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="roomledger-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` written once to the shared folder and read back: short lineage,
-    safe against lost executors. The folder's files live as long as the job's
-    results may be recomputed from them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.stored_at = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes ``stored`` tables that nothing computed later is read from."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 _SHIPPED: set[str] = set()
 
 

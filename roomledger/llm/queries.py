@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from roomledger.llm import (
     chat_format,
+    divergence,
     exact_dedup,
     language_id,
     mixing,
     near_dedup,
     packing,
     pii,
+    resampling,
     token_counts,
     topk,
     toxicity,
@@ -70,6 +72,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +93,8 @@ QUERIES = {
         op8_toxicity,
         op9_token_counts,
         op10_near_dedup,
+        op11_importance_resampling,
+        op12_source_divergence,
     )
 }
 
@@ -177,4 +189,107 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(plain) AS text_sha256
 FROM d
 WINDOW same AS (PARTITION BY plain)""",
+    # CRC-32 is linear: the register after n bytes is the start moved on by n bytes, xor the
+    # effect of each byte moved on by the bytes after it
+    "op11_importance_resampling": f"""
+WITH RECURSIVE bits(b, k, c) AS (
+    SELECT range, 0, range FROM range(256)
+    UNION ALL
+    SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), step AS (SELECT b, c FROM bits WHERE k = 8),
+texts AS (
+    SELECT row_number() OVER () AS row, 's' AS side, doc_id, text FROM documents
+    UNION ALL SELECT row_number() OVER (), 't', NULL, text FROM benchmark
+), words AS (
+    SELECT *, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM texts
+), runs AS (
+    SELECT row, side, array_to_string(w[i:i + n - 1], ' ') AS feature
+    FROM (SELECT row, side, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 4) r(n)
+    WHERE i + n - 1 <= len(w)
+), counted AS (SELECT row, side, feature, count(*) AS times FROM runs GROUP BY ALL),
+distinct_runs AS (SELECT feature, hex(encode(feature)) AS h FROM counted GROUP BY feature),
+moved(d, b, c) AS (
+    SELECT 0, b, c FROM step
+    UNION ALL
+    SELECT d + 1, m.b, xor(m.c >> 8, s.c) FROM moved m JOIN step s ON s.b = m.c & 255
+    WHERE d < (SELECT max(length(h)) // 2 FROM distinct_runs)
+), begun(n, c) AS (
+    SELECT 0, 4294967295
+    UNION ALL
+    SELECT n + 1, xor(g.c >> 8, s.c) FROM begun g JOIN step s ON s.b = g.c & 255
+    WHERE n < (SELECT max(length(h)) // 2 FROM distinct_runs)
+), bytes AS (
+    SELECT feature, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS j, h FROM distinct_runs
+), effects AS (
+    SELECT feature, any_value(y.n) AS n, bit_xor(m.c) AS c
+    FROM bytes y JOIN moved m ON m.d = y.n - 1 - y.j AND m.b = CAST('0x' || substr(y.h, 2 * y.j + 1, 2) AS INTEGER)
+    GROUP BY feature
+), bucketed AS (
+    SELECT feature, xor(xor(e.c, g.c), 4294967295) % 10000 AS bucket FROM effects e JOIN begun g ON g.n = e.n
+), per_row AS (
+    SELECT row, side, bucket, sum(times) AS times FROM counted JOIN bucketed USING (feature) GROUP BY ALL
+), sums AS (
+    SELECT bucket, CAST(coalesce(sum(times) FILTER (side = 's'), 0) AS DOUBLE) AS s,
+           CAST(coalesce(sum(times) FILTER (side = 't'), 0) AS DOUBLE) AS t
+    FROM per_row GROUP BY bucket
+), gained AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000)
+                                        / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+    FROM sums
+), weights AS (
+    SELECT w.row, any_value(w.doc_id) AS doc_id, any_value(len(w.w)) AS n_words,
+           CAST(coalesce(sum(p.times), 0) AS BIGINT) AS n_features,
+           CAST(coalesce(sum(p.times * g.gain), 0) AS BIGINT) AS weight
+    FROM words w LEFT JOIN per_row p ON p.row = w.row AND p.side = 's' LEFT JOIN gained g USING (bucket)
+    WHERE w.side = 's' GROUP BY w.row
+), scored AS (
+    SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT)
+                                                  + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM weights
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+           count(*) FILTER (n_words >= 20) OVER () AS eligible
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 5 * eligible // 100 THEN place END AS rank
+FROM placed""",
+    "op12_source_divergence": f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS text
+    FROM documents
+), words AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY lang, source),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+           1 + 1000000000 * (coalesce(u.n, 0) + 5) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+           1 + 1000000000 * (k.n + 5) // (l.total + 5 * l.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+    LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source
+    GROUP BY ALL
+), every AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }

@@ -24,6 +24,8 @@ COLUMNS = {
     "op8_": ["doc_id", "held_out", "score", "predicted"],
     "op9_": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op10_": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op11_": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op12_": ["lang", "source", "part", "item", "value", "rank"],
 }
 
 
