@@ -18,6 +18,7 @@ from roomledger.llm import (
     packing,
     pii,
     resampling,
+    suffix_dedup,
     token_counts,
     topk,
     toxicity,
@@ -80,6 +81,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +104,7 @@ QUERIES = {
         op10_near_dedup,
         op11_importance_resampling,
         op12_source_divergence,
+        op13_suffix_dedup,
     )
 }
 
@@ -292,4 +302,32 @@ shares AS (
 )
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    # two hex digits are a byte; strings are compared by digest
+    "op13_suffix_dedup": """
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+    SELECT row, start, md5(substr(h, 2 * start + 1, 400)) AS string
+    FROM (SELECT row, h, unnest(range(length(h) // 2 - 199)) AS start FROM docs WHERE length(h) >= 400)
+), repeated AS (
+    SELECT row, start, lag(start) OVER (PARTITION BY row ORDER BY start) AS before
+    FROM starts WHERE string IN (SELECT string FROM starts GROUP BY string HAVING count(*) > 1)
+), islands AS (
+    SELECT *, sum(CASE WHEN before IS NULL OR start > before + 200 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY row ORDER BY start) AS island
+    FROM repeated
+), spans AS (
+    SELECT row, min(start) AS b, max(start) + 200 AS e FROM islands GROUP BY row, island
+), gaps AS (
+    SELECT row, b, coalesce(lag(e) OVER (PARTITION BY row ORDER BY b), 0) AS since FROM spans
+), folded AS (
+    SELECT s.row, sum(s.e - s.b) AS n_removed, count(*) AS n_spans, max(s.e) AS last FROM spans s GROUP BY s.row
+), heads AS (
+    SELECT g.row, string_agg(substr(d.h, 2 * g.since + 1, 2 * (g.b - g.since)), '' ORDER BY g.b) AS head
+    FROM gaps g JOIN docs d USING (row) GROUP BY g.row
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(f.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(f.n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN f.row IS NULL THEN d.h ELSE head || substr(d.h, 2 * f.last + 1) END)) AS kept_sha256
+FROM docs d LEFT JOIN folded f USING (row) LEFT JOIN heads USING (row)""",
 }

@@ -25,6 +25,7 @@ COLUMNS = {
     "op9_": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op10_": ["doc_id", "n_shingles", "component_id", "kept"],
     "op11_": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op13_": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op12_": ["lang", "source", "part", "item", "value", "rank"],
 }
 
