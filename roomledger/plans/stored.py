@@ -28,7 +28,7 @@ def scratch_path(spark: SparkSession, job: str) -> str:
     return f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """The Hadoop path and its file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -40,7 +40,7 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    place, files = _file_system(spark, path)
+    place, files = file_system(spark, path)
     files.deleteOnExit(place)
     found = spark.read.schema(df.schema).parquet(path)
     found.stored_at = path
@@ -50,5 +50,5 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes ``stored`` tables that nothing computed later is read from."""
     for df in tables:
-        place, files = _file_system(df.sparkSession, df.stored_at)
+        place, files = file_system(df.sparkSession, df.stored_at)
         files.delete(place, True)

@@ -7,7 +7,8 @@ session.
 
 from __future__ import annotations
 
-import uuid
+import functools
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roomledger.operators.changes import apply_status_changes, latest_changes
 from roomledger.operators.channels import request_rate, sync_health
+from roomledger.plans.stored import file_system
 
 CHANGE_SCHEMA = "change_id bigint, booking_id bigint, status string, changed_at timestamp"
 LOG_SCHEMA = """id bigint, ota_configuration_id bigint, status string,
                 sync_started_at timestamp, records_processed int"""
-DONE_SCHEMA = "path string, merged array<string>"
 ACCESS_SCHEMA = "client_id bigint, ts timestamp"
 
 
@@ -39,79 +40,79 @@ def read_feed(spark: SparkSession, path: str, schema: str, max_files: int = 1000
 
 def create_store(spark: SparkSession, store: str) -> None:
     """An empty change store, unless there is one."""
-    spark.createDataFrame([], DONE_SCHEMA).write.mode("ignore").parquet(f"{store}/done")
+    spark.createDataFrame([], CHANGE_SCHEMA).write.mode("ignore").parquet(f"{store}/run=none")
 
 
-def _publish(spark: SparkSession, store: str, path: str, merged: list[str]) -> None:
-    """Makes a written folder part of the store, in place of the merged ones, at once."""
-    row = spark.createDataFrame([(path, merged)], DONE_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(f"{store}/done")
-
-
-def finished(spark: SparkSession, store: str) -> list[str]:
-    """Folders of the store: one per batch since the last compaction, and its result."""
-    rows = spark.read.schema(DONE_SCHEMA).parquet(f"{store}/done").collect()
-    merged = {path for row in rows for path in row["merged"]}
-    return sorted({row["path"] for row in rows} - merged)
+def runs_of(spark: SparkSession, store: str) -> list[str]:
+    """The folders of a store: one for every checkpoint a stream was started with."""
+    place, files = file_system(spark, store)
+    if not files.exists(place):
+        return []
+    found = [str(entry.getPath()) for entry in files.listStatus(place) if entry.isDirectory()]
+    return sorted(path for path in found if path.rsplit("/", 1)[-1].startswith("run="))
 
 
 def collect_status_changes(
-    changes: DataFrame, store: str, checkpoint: str | None = None, **trigger
+    changes: DataFrame,
+    store: str,
+    checkpoint: str | None = None,
+    retention: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Keeps the change store of ``current_bookings`` up to date.
-
-    A batch adds one row per booking it touches, in a folder named by the
-    stream's own id, which a new checkpoint changes, and the batch; a replayed
-    batch overwrites itself and nothing else. A folder counts once it has been
-    published. The booking table is never rewritten by the stream.
+    """Appends the change feed to the store that ``current_bookings`` reads.
+
+    Spark's file sink writes every batch once: its log, which readers follow, names the
+    files of finished batches. The log counts batches as the checkpoint does, so each
+    checkpoint has a folder of its own, ``run=`` and the digest of its path. A
+    checkpoint that was emptied while its folder stayed would have its first batches
+    taken for done, and is refused. With ``retention`` (such as "30 days") the sink forgets
+    older files, which ``compact_changes`` has to have folded by then.
     """
     spark = changes.sparkSession
     progress = checkpoint or f"{checkpoint_root(spark)}/status_changes"
-    create_store(spark, store)
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if not stream:
-            raise RuntimeError("the stream has no id")
-        path = f"run={stream}/batch={batch_id}"
-        latest_changes(batch).write.mode("overwrite").parquet(f"{store}/{path}")
-        _publish(session, store, path, [])
-
+    run = f"{store}/run={hashlib.sha256(progress.encode()).hexdigest()[:16]}"
+    begun, files = file_system(spark, f"{progress}/offsets")
+    if not files.exists(begun) and run.rsplit("/", 1)[-1] in [r.rsplit("/", 1)[-1] for r in runs_of(spark, store)]:
+        raise ValueError(f"{progress} was emptied but {run} was not: use another checkpoint")
+    write = changes.select(*[F.col(f.split()[0]) for f in CHANGE_SCHEMA.split(", ")]).writeStream
+    if retention:
+        write = write.option("retention", retention)
     return (
-        changes.writeStream.foreachBatch(keep)
+        write.format("parquet")
+        .outputMode("append")
+        .option("path", run)
         .option("checkpointLocation", progress)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
 
 
-def stored_changes(spark: SparkSession, store: str) -> DataFrame:
-    """All changes kept; a path that holds no store is an error."""
-    paths = [f"{store}/{path}" for path in finished(spark, store)]
-    if not paths:
-        return spark.createDataFrame([], CHANGE_SCHEMA)
-    return spark.read.schema(CHANGE_SCHEMA).parquet(*paths)
+def stored_changes(spark: SparkSession, store: str, compacted: str | None = None) -> DataFrame:
+    """All changes of finished batches; a path that holds no store is an error.
 
+    A change may be there more than once, in the compacted table and in a run, or in two
+    runs of the same feed; the latest one of a booking is the same.
+    """
+    paths = runs_of(spark, store) or [store]
+    paths += [compacted] if compacted else []
+    # each folder by itself: only then does Spark read it by the log of its sink
+    parts = [spark.read.schema(CHANGE_SCHEMA).parquet(path) for path in paths]
+    return functools.reduce(DataFrame.unionByName, parts)
 
-def compact_changes(spark: SparkSession, store: str) -> None:
-    """Folds the finished batches into one folder with one row per booking.
 
-    Batches that finish meanwhile are left for the next time. The merged
-    folders are no longer read and may be deleted once no reader uses them.
-    """
-    merged = finished(spark, store)
-    if len(merged) < 2:
-        return
-    path = f"compacted={uuid.uuid4().hex}"
-    kept = spark.read.schema(CHANGE_SCHEMA).parquet(*[f"{store}/{p}" for p in merged])
-    latest_changes(kept).write.parquet(f"{store}/{path}")
-    _publish(spark, store, path, merged)
+def compact_changes(
+    spark: SparkSession, store: str, target: str, compacted: str | None = None
+) -> None:
+    """Writes the latest change of every booking, of the runs and an earlier compacted table,
+    as a new table. An ordinary batch job: it may fail, be repeated and run beside the stream."""
+    latest_changes(stored_changes(spark, store, compacted)).select(
+        "change_id", "booking_id", "status", "changed_at"
+    ).write.parquet(target)
 
 
-def current_bookings(bookings: DataFrame, store: str) -> DataFrame:
+def current_bookings(bookings: DataFrame, store: str, compacted: str | None = None) -> DataFrame:
     """Bookings as of the last finished batch of the change stream."""
-    return apply_status_changes(bookings, stored_changes(bookings.sparkSession, store))
+    return apply_status_changes(bookings, stored_changes(bookings.sparkSession, store, compacted))
 
 
 def request_rate_stream(

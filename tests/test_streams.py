@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import pathlib
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -33,31 +34,63 @@ def test_status_changes(spark, tmp_path):
         feeds.current_bookings(src.bookings(), store)
     feeds.create_store(spark, store)
     assert feeds.current_bookings(src.bookings(), store).count() == src.bookings().count()
-    feeds.collect_status_changes(feed, store, str(tmp_path / "cp"), **ONCE).awaitTermination()
-    assert len(feeds.finished(spark, store)) == 3
+    cp = str(tmp_path / "cp")
+    feeds.collect_status_changes(feed, store, cp, **ONCE).awaitTermination()
     streamed = feeds.current_bookings(src.bookings(), store)
     batch = apply_status_changes(src.bookings(), src.status_changes())
     names = ("id", "booking_status", "updated_at")
     assert sorted(rows_of(streamed, *names)) == sorted(rows_of(batch, *names))
-    # A second run finds nothing new and changes nothing.
-    feeds.collect_status_changes(feed, store, str(tmp_path / "cp"), **ONCE).awaitTermination()
-    assert sorted(rows_of(streamed, *names)) == sorted(rows_of(batch, *names))
+    # every change is there once; a restart finds nothing new and changes nothing
+    every = feeds.batch_column(src.status_changes())
+    assert sorted(rows_of(feeds.stored_changes(spark, store), "change_id")) == sorted(rows_of(every, "change_id"))
+    feeds.collect_status_changes(feed, store, cp, **ONCE).awaitTermination()
+    assert feeds.stored_changes(spark, store).count() == every.count()
+    assert sorted(rows_of(feeds.current_bookings(src.bookings(), store), *names)) == sorted(rows_of(batch, *names))
     # A new checkpoint starts at batch 0 again and overwrites nothing.
     (tmp_path / "in2").mkdir()
-    later = feeds.batch_column(src.status_changes()).where("change_id < 50").selectExpr(
+    later = every.where("change_id < 50").selectExpr(
         "change_id + 1000000 AS change_id", "booking_id", "'no_show' AS status",
         "changed_at + INTERVAL 100 YEARS AS changed_at",
     )
     later.coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
     second = feeds.read_feed(spark, str(tmp_path / "in2"), feeds.CHANGE_SCHEMA)
     feeds.collect_status_changes(second, store, str(tmp_path / "cp2"), **ONCE).awaitTermination()
-    assert len(feeds.finished(spark, store)) == 4
-    every = feeds.batch_column(src.status_changes()).unionByName(later)
-    wanted = sorted(rows_of(apply_status_changes(src.bookings(), every), *names))
+    assert len(feeds.runs_of(spark, store)) == 3
+    wanted = sorted(rows_of(apply_status_changes(src.bookings(), every.unionByName(later)), *names))
     assert sorted(rows_of(feeds.current_bookings(src.bookings(), store), *names)) == wanted
-    feeds.compact_changes(spark, store)
-    assert len(feeds.finished(spark, store)) == 1
+    # Replaying the whole feed from a third checkpoint changes nothing either.
+    feeds.collect_status_changes(feed, store, str(tmp_path / "cp3"), **ONCE).awaitTermination()
+    assert feeds.stored_changes(spark, store).count() == 2 * every.count() + later.count()
     assert sorted(rows_of(feeds.current_bookings(src.bookings(), store), *names)) == wanted
+    # The compacted table holds one change per booking and stands in for the runs.
+    feeds.compact_changes(spark, store, str(tmp_path / "folded"))
+    folded = spark.read.parquet(str(tmp_path / "folded"))
+    assert folded.count() == every.where("status IN ('pending','confirmed','cancelled','completed','no_show')").unionByName(later).select("booking_id").distinct().count()
+    fresh = str(tmp_path / "fresh")
+    feeds.create_store(spark, fresh)
+    only = feeds.current_bookings(src.bookings(), fresh, str(tmp_path / "folded"))
+    assert sorted(rows_of(only, *names)) == wanted
+    both = feeds.current_bookings(src.bookings(), store, str(tmp_path / "folded"))
+    assert sorted(rows_of(both, *names)) == wanted
+    feeds.compact_changes(spark, fresh, str(tmp_path / "again"), str(tmp_path / "folded"))
+    assert sorted(rows_of(spark.read.parquet(str(tmp_path / "again")))) == sorted(rows_of(folded))
+
+
+def test_unfinished_files_are_not_read_and_an_emptied_checkpoint_is_refused(spark, tmp_path):
+    rows = [(i, i, "cancelled", dt.datetime(2024, 1, 1)) for i in range(6)]
+    changes = spark.createDataFrame(rows, feeds.CHANGE_SCHEMA)
+    changes.coalesce(1).write.parquet(str(tmp_path / "in"))
+    feed = feeds.read_feed(spark, str(tmp_path / "in"), feeds.CHANGE_SCHEMA)
+    store, cp = str(tmp_path / "store"), tmp_path / "cp"
+    feeds.collect_status_changes(feed, store, str(cp), **ONCE).awaitTermination()
+    (run,) = feeds.runs_of(spark, store)
+    path = run.removeprefix("file:")
+    # what a task leaves that died in the middle of its batch
+    (pathlib.Path(path) / "part-00099-dead.snappy.parquet").write_bytes(b"PAR1 half")
+    assert feeds.stored_changes(spark, store).count() == 6
+    cp.rename(tmp_path / "gone")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        feeds.collect_status_changes(feed, store, str(cp), **ONCE)
 
 
 def _closed(spark, tmp_path, df, schema, windows_of, time_column):
