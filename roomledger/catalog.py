@@ -160,7 +160,7 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "categories_list": _booked(rooms.categories_list),
     "amenities_list": _booked(rooms.amenities_list),
     "availability_calendar": _booked(
-        rooms.availability_calendar, start=CALENDAR[0], end=CALENDAR[1]
+        rooms.availability_calendar, start=CALENDAR[0], end=CALENDAR[1], ordered=False
     ),
     "channel_room_status": lambda src: rooms.channel_room_status(src.tables(), TODAY).select(
         "id", "room_number", "room_name", "category_name", "price_per_night", "is_available"

@@ -25,8 +25,9 @@ from roomledger.functions.measures import (
 )
 from roomledger.functions.stays import CHECK_IN, CHECK_OUT, in_house, nights, overlaps
 from roomledger.operators.rooms import with_category
-from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, fetch, older_than, page_count, page_of
+from roomledger.plans.dominance import count_before_and_beyond
+from roomledger.plans.keyed import key_set, renamed
+from roomledger.plans.paging import bounded, fetch, older_than, page_at, page_count, page_of
 from roomledger.sources.tables import Tables
 
 TAX_RATE = "0.10"
@@ -120,7 +121,7 @@ def _newest_page(
     for condition in filters:
         bookings = bookings.where(condition)
     keys = _known(bookings.select("id", "created_at", "customer_id", "room_id"), t, trusted)
-    newest = page_of(keys, [F.desc("created_at"), F.desc("id")], page, limit)
+    newest = page_at(keys, "created_at", [F.desc("created_at"), F.desc("id")], page, limit)
     return bounded(fetch(bookings, newest, "id", limit), limit)
 
 
@@ -273,8 +274,8 @@ def booking_conflicts(t: Tables) -> DataFrame:
     first counted per room and day, so a room with any number of bookings
     reaches the running sums as one row per calendar day.
 
-    A stay that ends before it begins collides with those that hold it. Both
-    sides of that comparison are folded to distinct stays of a room first.
+    A stay that ends before it begins collides with those that hold it, which
+    are counted over both days at once.
     """
     every = t.bookings.where(
         status_in(BLOCKING)
@@ -343,28 +344,30 @@ def booking_conflicts(t: Tables) -> DataFrame:
 
 
 def _held_inverted(stays: DataFrame) -> DataFrame:
-    """Collisions of each distinct stay that involve a stay of negative length."""
+    """Collisions of each distinct stay that involve a stay of negative length.
+
+    A stay that ends on ``o`` before it begins on ``i`` collides with those that begin
+    before ``o`` and end after ``i``. Both sides are counted over the calendar days of
+    their room.
+    """
     folded = stays.groupBy("room_id", CHECK_IN, CHECK_OUT).agg(F.count(F.lit(1)).alias("n"))
-    back = renamed(
-        folded.where(F.col(CHECK_IN) > F.col(CHECK_OUT)),
-        room_id="room_id",
-        back_in=CHECK_IN,
-        back_out=CHECK_OUT,
-        back_n="n",
+    back = folded.where(F.col(CHECK_IN) > F.col(CHECK_OUT))
+    proper = folded.where(F.col(CHECK_IN) < F.col(CHECK_OUT)).join(
+        key_set(back, "room_id"), "room_id", "left_semi"
     )
-    held = folded.join(back, "room_id").where(
-        (F.col(CHECK_IN) < F.col("back_out")) & (F.col("back_in") < F.col(CHECK_OUT))
+    named = {"room_id": "room_id", "n": "n"}
+    holding = count_before_and_beyond(
+        renamed(back, **named, x=CHECK_IN, y=CHECK_OUT),
+        renamed(proper, room_id="room_id", x=CHECK_OUT, y=CHECK_IN),
+        "room_id", "_more",
     )
-    sides = F.array(
-        F.struct(F.col(CHECK_IN), F.col(CHECK_OUT), F.col("back_n").alias("n")),
-        F.struct(
-            F.col("back_in").alias(CHECK_IN), F.col("back_out").alias(CHECK_OUT), F.col("n")
-        ),
+    held = count_before_and_beyond(
+        renamed(proper, **named, x=CHECK_IN, y=CHECK_OUT),
+        renamed(back, room_id="room_id", x=CHECK_OUT, y=CHECK_IN),
+        "room_id", "_more",
     )
-    return (
-        held.select("room_id", F.explode(sides).alias("s"))
-        .groupBy("room_id", f"s.{CHECK_IN}", f"s.{CHECK_OUT}")
-        .agg(F.sum("s.n").alias("_more"))
+    return holding.unionByName(held).select(
+        "room_id", F.col("y").alias(CHECK_IN), F.col("x").alias(CHECK_OUT), "_more"
     )
 
 

@@ -12,7 +12,7 @@ from roomledger.functions.measures import tally
 from roomledger.operators.bookings import active_room_count
 from roomledger.operators.rooms import channel_room_status
 from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, fetch, older_than, page_of
+from roomledger.plans.paging import bounded, fetch, older_than, page_at
 from roomledger.sources.tables import Tables
 
 # Channel names in lower case and the message form each takes.
@@ -84,7 +84,7 @@ def sync_logs(
         _names(t).select("ota_configuration_id"), "ota_configuration_id", "left_semi"
     )
     order = [F.desc("sync_started_at"), F.desc("id")]
-    rows = bounded(fetch(logs, page_of(keys, order, page, limit), "id", limit), limit)
+    rows = bounded(fetch(logs, page_at(keys, "sync_started_at", order, page, limit), "id", limit), limit)
     return rows.join(_names(t), "ota_configuration_id").orderBy(*order)
 
 

@@ -16,7 +16,7 @@ from roomledger.functions.stays import CHECK_IN, nights
 from roomledger.operators.reports import booking_totals, spent_or_zero, with_totals
 from roomledger.operators.rooms import with_category
 from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, older_than, page_count, page_of
+from roomledger.plans.paging import bounded, fetch, older_than, page_at, page_count, page_of
 from roomledger.sources.tables import Tables
 
 
@@ -44,7 +44,9 @@ def _page_with_totals(guests: DataFrame, t: Tables, page: int, limit: int) -> Da
     The page is cut before any booking is read; the bookings are then reduced
     by a broadcast of at most ``limit`` guest ids.
     """
-    shown = page_of(guests, [F.desc("created_at"), F.desc("id")], page, limit)
+    keys = guests.select("id", "created_at")
+    chosen = page_at(keys, "created_at", [F.desc("created_at"), F.desc("id")], page, limit)
+    shown = bounded(fetch(guests, chosen, "id", limit), limit)
     ids = bounded(shown.select(F.col("id").alias("customer_id")), limit)
     theirs = (
         t.bookings.join(ids, "customer_id", "left_semi")

@@ -20,7 +20,7 @@ from roomledger.operators.bookings import current_occupancy, stale_pending
 from roomledger.operators.channels import failed_syncs
 from roomledger.operators.rooms import rooms_without_images
 from roomledger.plans.keyed import renamed
-from roomledger.plans.paging import bounded, fetch, page_of
+from roomledger.plans.paging import bounded, fetch, page_at
 from roomledger.sources.tables import Tables
 
 # Fixed value: occupancy below this many per cent raises an alert.
@@ -144,48 +144,57 @@ def system_alerts(t: Tables, as_of: dt.datetime, logs_as_of: dt.datetime | None
     return union
 
 
-def activity_log(t: Tables, as_of: dt.datetime, page: int = 1, limit: int = 50) -> DataFrame:
+def activity_log(
+    t: Tables,
+    as_of: dt.datetime,
+    page: int = 1,
+    limit: int = 50,
+    after: tuple[dt.datetime, str, int] | None = None,
+) -> DataFrame:
     """New bookings and rooms changed in the last week, newest first, paged.
 
-    No booking carries the name of a user, so ``user_name`` is always null.
+    No booking carries the name of a user, so ``user_name`` is always null. ``after`` is the
+    time, type and id of the last line shown: pages are then counted from there. The page is
+    cut from keys alone; wide rows are fetched for its lines only.
     """
-    # The page lies within the newest page*limit rows of either branch.
-    reach = page * limit
-    dated = t.bookings.select("id", "created_at", "customer_id").join(
+    booked = t.bookings.select("id", "created_at", "customer_id").join(
         t.customers.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
     )
-    newest = page_of(dated, [F.desc("created_at"), F.desc("id")], 1, reach)
+    changed = t.rooms.where(F.col("updated_at") >= timestamp(as_of - dt.timedelta(days=7)))
+    lines = booked.select(
+        F.lit("booking").alias("type"), F.col("created_at").alias("timestamp"), "id"
+    ).unionByName(
+        changed.select(F.lit("room").alias("type"), F.col("updated_at").alias("timestamp"), "id")
+    )
+    if after is not None:
+        moment, kind, last = F.lit(after[0]).cast("timestamp_ntz"), after[1], after[2]
+        follows = (F.col("type") > kind) | ((F.col("type") == kind) & (F.col("id") < last))
+        lines = lines.where((F.col("timestamp") < moment) | ((F.col("timestamp") == moment) & follows))
+    order = [F.desc("timestamp"), F.asc("type"), F.desc("id")]
+    shown = page_at(lines, "timestamp", order, page, limit)
     guests = renamed(
         t.customers, customer_id="id", first_name="first_name", last_name="last_name"
     )
-    named = bounded(fetch(t.bookings, newest, "id", reach), reach).join(guests, "customer_id")
-    booking_line = F.concat(
-        F.lit("New booking #"),
-        F.col("booking_reference"),
-        F.lit(" by "),
-        F.col("first_name"),
-        F.lit(" "),
-        F.col("last_name"),
-    )
-    booked = named.select(
+    theirs = fetch(t.bookings, shown.where("type = 'booking'"), "id", limit)
+    booking_lines = bounded(theirs, limit).join(guests, "customer_id").select(
         F.lit("booking").alias("type"),
-        booking_line.alias("description"),
+        F.concat(
+            F.lit("New booking #"),
+            F.col("booking_reference"),
+            F.lit(" by "),
+            F.col("first_name"),
+            F.lit(" "),
+            F.col("last_name"),
+        ).alias("description"),
         F.col("created_at").alias("timestamp"),
-        F.col("id").alias("_id"),
+        "id",
     )
-    changed = page_of(
-        t.rooms.where(F.col("updated_at") >= timestamp(as_of - dt.timedelta(days=7))),
-        [F.desc("updated_at"), F.desc("id")],
-        1,
-        reach,
-    ).select(
+    room_lines = fetch(t.rooms, shown.where("type = 'room'"), "id", limit).select(
         F.lit("room").alias("type"),
         F.concat(F.lit("Room "), F.col("room_number"), F.lit(" updated")).alias("description"),
         F.col("updated_at").alias("timestamp"),
-        F.col("id").alias("_id"),
+        "id",
     )
-    lines = booked.unionByName(changed)
-    order = [F.desc("timestamp"), F.asc("type"), F.desc("_id")]
-    return page_of(lines, order, page, limit).select(
-        "type", "description", "timestamp", F.lit(None).cast("string").alias("user_name")
+    return booking_lines.unionByName(room_lines).orderBy(*order).select(
+        "type", "description", "timestamp", F.lit(None).cast("string").alias("user_name"), "id"
     )

@@ -18,7 +18,7 @@ from roomledger.functions.measures import (
     status_in,
     tally,
 )
-from roomledger.functions.stays import CHECK_IN, CHECK_OUT, each_night, in_house, overlaps
+from roomledger.functions.stays import CHECK_IN, CHECK_OUT, in_house, overlaps
 from roomledger.plans.keyed import key_set, renamed
 from roomledger.sources.tables import Tables
 
@@ -177,38 +177,47 @@ def amenities_list(t: Tables) -> DataFrame:
     return t.amenities.orderBy("name", "id")
 
 
-def availability_calendar(t: Tables, start: dt.date, end: dt.date | None = None) -> DataFrame:
+def availability_calendar(
+    t: Tables, start: dt.date, end: dt.date | None = None, ordered: bool = True
+) -> DataFrame:
     """Every active room on every day from ``start`` to ``end`` inclusive.
 
     A stay that begins on ``end`` itself is outside the requested range, so
     the last day shows its room as free. When stays collide, the lowest
     booking id names the status.
+
+    Stays fold to one row per room before they are shuffled, with one code for each day of
+    the range: the lowest booking id and its status. Days become rows after the join, so no
+    exchange carries more than a row per room and task; ``ordered=False`` leaves out the
+    sort by day, which moves them all.
     """
     end = end or start + dt.timedelta(days=30)
-    shown = with_category(t.rooms.where("is_active"), t.room_categories).select(
-        F.explode(F.sequence(day(start), day(end))).alias("date"),
-        F.col("id").alias("room_id"),
-        "room_number",
-        "room_name",
-        "category_name",
-    )
-    # Clip before exploding: a stay never yields more rows than the calendar
-    # has days, and the per-night fold runs before the shuffle.
-    clipped = (
-        t.bookings.where(status_in(ON_CALENDAR) & overlaps(start, end))
-        .withColumn(CHECK_IN, F.greatest(F.col(CHECK_IN), day(start)))
-        .withColumn(CHECK_OUT, F.least(F.col(CHECK_OUT), day(end + dt.timedelta(days=1))))
+    days = [start + dt.timedelta(days=n) for n in range((end - start).days + 1)]
+    statuses = F.array(*map(F.lit, ON_CALENDAR))
+    # ids below 2^61 keep their order; larger ones fail instead of wrapping
+    code = F.col("id") * 4 + F.array_position(statuses, F.col("booking_status")) - 1
+    on = [
+        F.min(F.when((F.col(CHECK_IN) <= day(d)) & (F.col(CHECK_OUT) > day(d)), code)).alias(f"_{n}")
+        for n, d in enumerate(days)
+    ]
+    stays = t.bookings.where(status_in(ON_CALENDAR) & overlaps(start, end) & (F.col(CHECK_IN) < F.col(CHECK_OUT)))
+    codes = stays.groupBy(F.col("room_id").alias("_stay_room")).agg(*on)
+    codes = codes.select("_stay_room", F.array(*[f"_{n}" for n in range(len(days))]).alias("_codes"))
+    shown = with_category(t.rooms.where("is_active"), t.room_categories).join(
+        codes, F.col("id") == F.col("_stay_room"), "left"
     )
-    covered = (
-        each_night(clipped.select("id", "room_id", CHECK_IN, CHECK_OUT, "booking_status"), "date")
-        .groupBy("room_id", "date")
-        .agg(F.min_by("booking_status", "id").alias("booking_status"))
-    )
-    return (
-        shown.join(covered, ["room_id", "date"], "left")
-        .withColumn("is_available", F.col("booking_status").isNull())
-        .orderBy("date", "room_number", "room_id")
+    free = F.array_repeat(F.lit(None).cast("bigint"), len(days))
+    grid = shown.select(
+        F.col("id").alias("room_id"), "room_number", "room_name", "category_name",
+        F.posexplode(F.coalesce("_codes", free)).alias("_day", "_code"),
+    ).select(
+        "room_id",
+        F.date_add(day(start), F.col("_day")).alias("date"),
+        "room_number", "room_name", "category_name",
+        F.get(statuses, F.pmod("_code", F.lit(4)).cast("int")).alias("booking_status"),
+        F.col("_code").isNull().alias("is_available"),
     )
+    return grid.orderBy("date", "room_number", "room_id") if ordered else grid
 
 
 def channel_room_status(t: Tables, today: dt.date) -> DataFrame:

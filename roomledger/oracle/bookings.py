@@ -182,7 +182,7 @@ SELECT 'error', 'ota', 'OTA sync failures detected', n,
   UNION ALL
   SELECT 'room', 'Room ' || room_number || ' updated', updated_at, id
   FROM rooms WHERE updated_at >= TIMESTAMP '2001-06-08 12:00:00')
-SELECT type, description, "timestamp", CAST(NULL AS VARCHAR) AS user_name
+SELECT type, description, "timestamp", CAST(NULL AS VARCHAR) AS user_name, id
 FROM lines ORDER BY "timestamp" DESC, type, id DESC LIMIT 50""",
     ),
     "export_bookings": (

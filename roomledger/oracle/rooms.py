@@ -79,7 +79,7 @@ FROM rooms_named r LEFT JOIN image_facts i ON id = i.room_id
   LEFT JOIN amenity_names a ON id = a.room_id
 WHERE is_active AND max_occupancy >= 3
   AND NOT EXISTS (SELECT 1 FROM bookings b WHERE b.room_id = r.id AND is_open
-    AND NOT (check_out_date <= DATE '2001-06-20' OR check_in_date >= DATE '2001-06-23'))""",
+    AND check_in_date < DATE '2001-06-23' AND check_out_date > DATE '2001-06-20')""",
     ),
     "categories_list": ("room_categories", "SELECT * FROM room_categories"),
     "amenities_list": ("amenities", "SELECT * FROM amenities"),
