@@ -345,13 +345,13 @@ def bookings_report(
         "booking_status",
         "total_amount",
         nights().alias("_nights"),
-        (F.col("adults") + F.coalesce("children", F.lit(0))).alias("_party"),
+        (F.col("adults") + F.col("children")).alias("_party"),
     )
     keys = [F.col("day"), F.col("source"), F.col("timing")]
     totals = chosen.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(
         F.grouping_id().alias("absent"),
-        F.avg("_nights").alias("avg_nights"),
-        F.avg("_party").alias("avg_party"),
+        mean(F.col("_nights")).alias("avg_nights"),
+        mean(F.col("_party")).alias("avg_party"),
         F.count(F.lit(1)).alias("total_bookings"),
         *status_tallies("pending", "confirmed", "cancelled", "completed", "no_show"),
         earned_revenue().alias("total_revenue"),

@@ -21,8 +21,8 @@ _PART = f"""{money("earned")} AS revenue, count(*) FILTER (WHERE earned) AS book
 _COUNTS = f"""count(*) AS total_bookings,
   {statuses("pending", "confirmed", "cancelled", "completed", "no_show")},
   {money("earned")} AS total_revenue"""
-_MEANS = """CAST(avg(nights) AS DOUBLE) AS avg_nights,
-  avg(adults + coalesce(children, 0)) AS avg_party"""
+_MEANS = f"""{mean("nights")} AS avg_nights,
+  {mean("(adults + children)")} AS avg_party"""
 _SUMMARY = f"""
 SELECT count(*) AS total_bookings,
   {statuses("pending", "confirmed", "cancelled", "completed", "no_show")},

@@ -209,3 +209,17 @@ def test_a_hot_key_is_split_by_the_join(spark, join):
         for key in scaled:
             spark.conf.unset(key)
     assert "skewed" in plan
+
+
+def test_both_booking_reports_agree_on_the_means(skewed):
+    """A booking with an unknown number of children has no party size."""
+    held = skewed.bookings.withColumn("children", F.when(F.col("id") % 3 != 0, F.col("children")))
+    t = Tables(lambda name: held if name == "bookings" else getattr(skewed, name))
+    for source in (None, "direct"):
+        whole = reports.bookings_report(t, WINDOW, source=source).where("section = 'summary'").first()
+        summary = reports.booking_summary(t, WINDOW, source=source).first()
+        assert whole["total_bookings"] == summary["total_bookings"] > 0
+        assert whole["avg_party"] == summary["avg_guests"] and whole["avg_nights"] == summary["avg_length_of_stay"]
+        timing = reports.bookings_report(t, WINDOW, source=source).where("section = 'cancellation'")
+        apart = reports.cancellation_timing(t, WINDOW, source=source)
+        assert sum(r["total_bookings"] for r in timing.collect()) == sum(r["count"] for r in apart.collect())
