@@ -253,10 +253,26 @@ def _runs_among(packed: bytes, sizes: list[int], cores: set[int], length: int):
 def _paired(a: np.ndarray, b: np.ndarray, b_size: int) -> np.ndarray:
     """One number per pair, in the order of the pairs; ``b`` is below ``b_size``."""
     if (int(a.max(initial=0)) + 1) * b_size >= 1 << 63:
-        a = np.unique(a, return_inverse=True)[1]
+        a = _named(a, int(a.max()) + 1)[0]
     return a.astype(np.int64) * b_size + b
 
 
+def _named(keys: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Names of keys below ``size``, from 0 in their order, and how many there are."""
+    if size <= 4 * len(keys) + 1024:
+        there = np.zeros(size, bool)
+        there[keys] = True
+        names = np.cumsum(there)
+        return names[keys] - 1, int(names[-1])
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.ones(len(keys), np.int64)
+    new[1:] = held[1:] != held[:-1]
+    names = np.empty(len(keys), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return names, int(new.sum())
+
+
 def suffix_ranks(text: np.ndarray) -> np.ndarray:
     """Rank of each suffix of ``text`` (positive numbers), from 0, by the difference cover
     {1, 2} modulo 3."""
@@ -269,23 +285,24 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
     s = np.concatenate((text, np.zeros(4, np.int64)))
     top = int(text.max()) + 1
     # one sample beyond the end where needed, so that every first part ends in a mark of its own
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    at = np.concatenate((one, two))
+    at = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))
     triples = _paired(_paired(s[at], s[at + 1], top), s[at + 2], top)
-    values, names = np.unique(triples, return_inverse=True)
-    ranks = names if len(values) == len(at) else suffix_ranks(names + 1)
+    ranks, names = _named(triples, int(triples.max()) + 1)
+    if names < len(at):
+        ranks = suffix_ranks(ranks + 1)
     rank = np.zeros(n + 4, np.int64)
     rank[at] = ranks + 1
-    rest = np.arange(0, n, 3)
     wide = len(at) + 2
-    rest = rest[np.argsort(_paired(s[rest], rank[rest + 1], wide), kind="stable")]
+    rest = np.arange(0, n, 3)
+    rest = rest[np.argsort(_paired(s[rest], rank[rest + 1], wide))]
     # of the samples below each of the rest: those of either residue are in order by these keys
-    order = at[np.argsort(ranks, kind="stable")]
+    order = np.empty(len(at), np.int64)
+    order[ranks] = at
     order = order[order < n]
     ones, twos = order[order % 3 == 1], order[order % 3 == 2]
     pairs = _paired(s[:-1], s[1:], top)
     if (int(pairs.max()) + 1) * wide >= 1 << 63:
-        pairs = np.unique(pairs, return_inverse=True)[1]
+        pairs = _named(pairs, int(pairs.max()) + 1)[0]
     below = np.searchsorted(s[ones] * wide + rank[ones + 1], s[rest] * wide + rank[rest + 1])
     below += np.searchsorted(pairs[twos] * wide + rank[twos + 2], pairs[rest] * wide + rank[rest + 2])
     place = np.empty(n, np.int64)
@@ -298,10 +315,14 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
 
 
 def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings of ``length`` bytes at ``starts`` are equal to another of them."""
-    ranks = suffix_ranks(text.astype(np.int64) + 1)
-    order = np.argsort(ranks[starts], kind="stable")
-    sorted_starts = starts[order]
+    """Which of the strings of ``length`` bytes at ``starts`` (rising) are equal to another of them."""
+    used = np.zeros(256, np.int64)
+    used[text] = 1
+    order = np.empty(len(text), np.int64)
+    order[suffix_ranks(np.cumsum(used)[text])] = np.arange(len(text))
+    asked = np.zeros(len(text), bool)
+    asked[starts] = True
+    sorted_starts = order[asked[order]]
     same = np.zeros(len(starts) + 1, bool)
     alive = np.arange(1, len(starts))
     wide = min(8, length)
@@ -311,9 +332,9 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     for at in [*range(0, length - wide, wide), length - wide]:
         alive = alive[words[sorted_starts[alive] + at] == words[sorted_starts[alive - 1] + at]]
     same[alive] = True
-    found = np.zeros(len(starts), bool)
-    found[order] = same[:-1] | same[1:]
-    return found
+    found = np.zeros(len(text), bool)
+    found[sorted_starts] = same[:-1] | same[1:]
+    return found[starts]
 
 
 def _marked_runs(flags: np.ndarray) -> bytes:
@@ -386,10 +407,11 @@ def _cut(length: int, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         whole = _whole(packed)
         edge = np.zeros(len(whole) + 1, np.int32)
         if runs:
-            for key, begin, _, _ in _runs_among(packed, sizes, {c for c, _ in runs}, length):
-                pairs = np.frombuffer(runs.get(key, b""), "<i4") + begin
-                np.add.at(edge, pairs[0::2], 1)
-                np.add.at(edge, pairs[1::2] + length - 1, -1)
+            met = [(b, runs[key]) for key, b, _, _ in _runs_among(packed, sizes, {c for c, _ in runs}, length) if key in runs]
+            cuts = np.frombuffer(b"".join(f for _, f in met), "<i4").astype(np.int64)
+            cuts += np.repeat([b for b, _ in met], [len(f) // 4 for _, f in met]).astype(np.int64)
+            edge += np.bincount(cuts[0::2], minlength=len(edge)).astype(np.int32)
+            edge -= np.bincount(cuts[1::2] + length - 1, minlength=len(edge)).astype(np.int32)
         gone = np.cumsum(edge)[:-1] > 0
         begin = 0
         for doc_id, size in zip(ids, sizes):
