@@ -19,7 +19,9 @@ from roomledger.operators import (
     exports,
     quality,
     reports,
+    room_days,
     rooms,
+    search,
     settings,
 )
 from roomledger.operators.reports import ReportWindow
@@ -112,6 +114,20 @@ def _written_csv(src: StarSource) -> DataFrame:
     return files.csv_text(extract.sparkSession, path)
 
 
+def _indexed(src: StarSource) -> str:
+    """Where the search index of the guests was written."""
+    path = scratch_path(src.spark, "guest-search")
+    search.write_search_index(src.customers(), path)
+    return path
+
+
+def _room_days(src: StarSource) -> DataFrame:
+    """The stored bitmaps of all bookings."""
+    path = scratch_path(src.spark, "room-days")
+    room_days.write_room_days(src.bookings(), path)
+    return src.spark.read.parquet(path)
+
+
 def _log_rows(src: StarSource) -> DataFrame:
     return channels.sync_log_rows(src.tables(), src.deliveries())
 
@@ -221,6 +237,18 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "occupancy_average": _booked(reports.occupancy_average, window=ALL_TIME),
     "occupancy_by_date": _booked(reports.occupancy_by_date, window=ALL_TIME),
     "occupancy_by_date_month": _booked(reports.occupancy_by_date, window=LAST_MONTH),
+    "occupancy_average_stored": lambda src: room_days.occupancy_average(
+        src.tables(), _room_days(src), ALL_TIME
+    ),
+    "occupancy_by_date_stored": lambda src: room_days.occupancy_by_date(
+        src.tables(), _room_days(src), ALL_TIME
+    ),
+    "occupancy_by_category_stored": lambda src: room_days.occupancy_by_category(
+        src.tables(), _room_days(src), LAST_YEAR
+    ),
+    "current_occupancy_stored": lambda src: room_days.current_occupancy(
+        src.tables(), _room_days(src), TODAY
+    ),
     "occupancy_by_category": _booked(reports.occupancy_by_category, window=LAST_YEAR),
     "length_of_stay": _booked(reports.length_of_stay, window=ALL_TIME),
     "booking_summary": _booked(reports.booking_summary, window=ALL_TIME),
@@ -247,6 +275,12 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "top_customers_completed": _booked(customers.top_customers_completed),
     "customer_countries": _booked(customers.customer_countries),
     "customer_search": _booked(customers.customer_search, text="55500"),
+    "customer_search_indexed": lambda src: customers.customer_search(
+        src.tables(), text="55500", index=_indexed(src)
+    ),
+    "customers_page_indexed": lambda src: customers.customers_page(
+        src.tables(), search="UILD", page=2, limit=20, index=_indexed(src)
+    ),
     "customer_category_prefs": _booked(customers.customer_category_prefs),
     "customer_amenity_prefs": _booked(customers.customer_amenity_prefs),
     "customer_seasonality": _booked(customers.customer_seasonality),

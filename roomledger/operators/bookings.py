@@ -202,6 +202,11 @@ def current_occupancy(t: Tables, today: dt.date) -> DataFrame:
     occupied = t.bookings.where(status_in(EARNED) & in_house(today)).agg(
         F.count_distinct("room_id").alias("occupied_rooms")
     )
+    return occupancy_of(occupied, t)
+
+
+def occupancy_of(occupied: DataFrame, t: Tables) -> DataFrame:
+    """``occupied_rooms`` against the active rooms."""
     counted = occupied.withColumn("total_rooms", active_room_count(t))
     share = F.try_divide(
         (F.col("occupied_rooms") * 100).cast("decimal(20,0)"),

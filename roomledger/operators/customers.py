@@ -15,6 +15,7 @@ from roomledger.functions.measures import earned, mean, money_where, status_tall
 from roomledger.functions.stays import CHECK_IN, nights
 from roomledger.operators.reports import booking_totals, spent_or_zero, with_totals
 from roomledger.operators.rooms import with_category
+from roomledger.operators.search import SEARCHED, candidates
 from roomledger.plans.keyed import renamed
 from roomledger.plans.paging import bounded, fetch, older_than, page_at, page_count, page_of
 from roomledger.sources.tables import Tables
@@ -32,10 +33,11 @@ def _mentions(text: str, *names: str) -> Column:
     return found
 
 
-def _matching(t: Tables, search: str | None) -> DataFrame:
+def _matching(t: Tables, search: str | None, index: str | None = None) -> DataFrame:
     if not search:
         return t.customers
-    return t.customers.where(_mentions(search, "first_name", "last_name", "email"))
+    names = ("first_name", "last_name", "email")
+    return candidates(t.customers, search, names, index).where(_mentions(search, *names))
 
 
 def _page_with_totals(guests: DataFrame, t: Tables, page: int, limit: int) -> DataFrame:
@@ -71,19 +73,28 @@ def customers_page(
     page: int = 1,
     limit: int = 50,
     after: tuple[dt.datetime, int] | None = None,
+    index: str | None = None,
 ) -> DataFrame:
-    """One page of guests, newest first; ``after`` seeks as in ``bookings_page``."""
-    return _page_with_totals(_matching(t, search).where(older_than(after)), t, page, limit)
+    """One page of guests, newest first; ``after`` seeks as in ``bookings_page``.
+
+    ``index`` is where ``write_search_index`` put the postings of these guests.
+    """
+    found = _matching(t, search, index).where(older_than(after))
+    return _page_with_totals(found, t, page, limit)
 
 
-def customers_page_count(t: Tables, search: str | None = None, limit: int = 50) -> DataFrame:
-    total = _matching(t, search).agg(F.count(F.lit(1)).alias("total"))
+def customers_page_count(
+    t: Tables, search: str | None = None, limit: int = 50, index: str | None = None
+) -> DataFrame:
+    total = _matching(t, search, index).agg(F.count(F.lit(1)).alias("total"))
     return total.select("total", page_count(F.col("total"), limit).alias("pages"))
 
 
-def customer_search(t: Tables, text: str, limit: int = 10) -> DataFrame:
+def customer_search(
+    t: Tables, text: str, limit: int = 10, index: str | None = None
+) -> DataFrame:
     """Guests whose name, e-mail or phone contains ``text``, newest first."""
-    found = t.customers.where(_mentions(text, "first_name", "last_name", "email", "phone"))
+    found = candidates(t.customers, text, SEARCHED, index).where(_mentions(text, *SEARCHED))
     return _page_with_totals(found, t, 1, limit).drop("total_spent")
 
 

@@ -214,6 +214,11 @@ def occupancy_by_category(t: Tables, window: ReportWindow) -> DataFrame:
     distinct counts over the joined bookings.
     """
     booked = key_set(t.bookings.where(earned() & window.arriving()), "room_id", "_booked")
+    return category_occupancy(t, booked)
+
+
+def category_occupancy(t: Tables, booked: DataFrame) -> DataFrame:
+    """Active rooms per category and those among the distinct ``booked._booked``."""
     rooms = with_category(t.rooms.where("is_active"), t.room_categories)
     return (
         rooms.join(booked, F.col("id") == F.col("_booked"), "left")

@@ -215,3 +215,6 @@ SELECT CAST(created_at AS DATE) AS date, count(*) AS total_bookings,
 FROM bookings GROUP BY 1""",
     ),
 }
+
+# The same rows, from stored bitmaps.
+SQL["current_occupancy_stored"] = SQL["current_occupancy"]

@@ -92,3 +92,7 @@ SELECT customer_id, CAST(month(check_in_date) AS INTEGER) AS month, count(*) AS
 FROM bookings WHERE earned AND customer_id IS NOT NULL GROUP BY 1, 2""",
     ),
 }
+
+# The same rows, found through an index.
+SQL["customer_search_indexed"] = SQL["customer_search"]
+SQL["customers_page_indexed"] = SQL["customers_page"]

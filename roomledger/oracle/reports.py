@@ -200,3 +200,8 @@ SELECT first_name, last_name, email, phone, country, created_at,
 FROM customers LEFT JOIN spend ON id = customer_id""",
     ),
 }
+
+# The same rows, from stored bitmaps.
+SQL["occupancy_average_stored"] = SQL["occupancy_average"]
+SQL["occupancy_by_date_stored"] = SQL["occupancy_by_date"]
+SQL["occupancy_by_category_stored"] = SQL["occupancy_by_category"]

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Table -> the column most windows and pages filter on.
-CLUSTER_BY = {
-    "bookings": "created_at",
-    "customers": "created_at",
-    "ota_sync_logs": "sync_started_at",
-}
-
-
-def write_clustered(df: DataFrame, path: str, column: str, files: int | None = None) -> None:
-    """Parquet whose files and row groups each hold a narrow range of ``column``.
+def write_clustered(
+    df: DataFrame, path: str, column: str | list[str], files: int | None = None
+) -> None:
+    """Parquet whose files and row groups each hold a narrow range of ``column``, or columns.
 
     A time window then skips every row group outside it by its statistics.
     Ranges are split by sampled quantiles, so a busy day is spread over files.
     """
-    ranged = df.repartitionByRange(files, column) if files else df.repartitionByRange(column)
-    ranged.sortWithinPartitions(column).write.mode("overwrite").parquet(path)
+    columns = [column] if isinstance(column, str) else column
+    ranged = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
+    ranged.sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
