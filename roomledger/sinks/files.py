@@ -16,6 +16,7 @@ from roomledger.operators.channels import (
     channel_payload_xml,
     hotel_of,
 )
+from roomledger.plans.stored import replaced
 from roomledger.sources.schema import schema_of
 from roomledger.sources.tables import Tables
 
@@ -31,15 +32,15 @@ def write_csv(df: DataFrame, path: str) -> int:
     """Csv with a header; returns the number of rows, raises ``NoData`` for none.
 
     An extract without rows is refused before anything is written, so the one
-    stored before it stays. Rows are counted while they are written. Values
-    that hold a comma, a quote or a line break are quoted, quotes doubled,
+    stored before it stays; so it does when the write fails (``replaced``). Rows
+    are counted while they are written. Values that hold a comma, a quote or a line break are quoted, quotes doubled,
     nulls empty.
     """
     if df.isEmpty():
         raise NoData(f"no rows for {path}")
     seen = Observation("csv")
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    observed.write.mode("overwrite").options(
+    writer = observed.write.options(
         header="true",
         quote='"',
         escape='"',
@@ -47,16 +48,19 @@ def write_csv(df: DataFrame, path: str) -> int:
         emptyValue="",
         timestampFormat=CSV_TIME,
         timestampNTZFormat=CSV_TIME,
-    ).csv(path)
+    )
+    replaced(df.sparkSession, path, writer.csv)
     return seen.get["rows"]
 
 
 def csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a written extract, ``line``; the header, which every part has, comes once."""
-    lines = spark.read.text(path, lineSep="\n").withColumnRenamed("value", "line")
-    head = lines.limit(1)
-    body = lines.join(F.broadcast(head), "line", "left_anti")
-    return head.unionByName(body)
+    """Lines of a written extract, ``line``; the header, which begins every part, comes once."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    first = lines.groupBy("part").agg(F.min("at").alias("at"), F.min_by("line", "at").alias("line"))
+    body = lines.join(first.select("part", "at"), ["part", "at"], "left_anti").select("line")
+    return first.select("line").limit(1).unionByName(body)
 
 
 def write_channel_xml(t: Tables, today: dt.date, channel_id: int, path: str) -> None:
@@ -66,9 +70,10 @@ def write_channel_xml(t: Tables, today: dt.date, channel_id: int, path: str) ->
     own and they are written in parallel; the hotel id rides on every room.
     """
     rooms = channel_export_rooms(t, today).withColumn("hotel_id", hotel_of(t, channel_id))
-    rooms.write.mode("overwrite").format("xml").options(
+    writer = rooms.write.format("xml").options(
         rowTag="room", rootTag=f'{EXPORT_ROOT} version="1.0"'
-    ).save(path)
+    )
+    replaced(rooms.sparkSession, path, writer.save)
 
 
 def _escaped(value: Column) -> Column:
@@ -94,7 +99,7 @@ def _write_document(head: Column, elements: DataFrame, tail: str, path: str) ->
     body = elements.select(F.lit(1).alias("part"), "room_id", "value")
     lines = edge(0, head).unionByName(body).unionByName(edge(2, F.lit(tail)))
     ordered = lines.orderBy("part", "room_id").select("value")
-    ordered.write.mode("overwrite").text(path)
+    replaced(elements.sparkSession, path, ordered.write.text)
 
 
 def write_hotel_xml(
@@ -126,7 +131,8 @@ def write_ari_xml(t: Tables, today: dt.date, channel_id: int, path: str) -> None
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """Channel documents, one json text per line."""
-    documents.select(F.col("payload").alias("value")).write.mode("overwrite").text(path)
+    lines = documents.select(F.col("payload").alias("value"))
+    replaced(lines.sparkSession, path, lines.write.text)
 
 
 def append_sync_log(log_rows: DataFrame, path: str) -> None:

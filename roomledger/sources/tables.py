@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomledger.plans.stored import replaced
 from roomledger.sources.schema import TABLE_NAMES, schema_of
 
 
@@ -94,3 +96,22 @@ def table_sizes(tables: Tables) -> DataFrame:
     for one in counts[1:]:
         total = total.unionByName(one)
     return total
+
+
+def store_tables(tables: Tables, path: str) -> None:
+    """Writes every table of the bundle where ``load_tables`` finds it."""
+    for name, df in tables.items():
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(name).fields]
+        replaced(df.sparkSession, f"{path}/{name}", df.select(*typed).write.parquet)
+
+
+def table_contents(tables: Tables) -> DataFrame:
+    """Row count of every table and the sum of its rows' hashes, which orders do not change."""
+    parts = [
+        df.select(F.xxhash64(*[F.col(f.name) for f in schema_of(name).fields]).alias("h")).agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).alias("contents"),
+        ).select(F.lit(name).alias("table_name"), "row_count", "contents")
+        for name, df in tables.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
