@@ -11,13 +11,11 @@
    agree by chance; pairs whose estimate lies more than ``SIGMAS`` standard deviations
    below the threshold are dropped, the others are decided on full sets.
 4. Decided links are joined to components, and buckets within one component are done.
-   A bucket that still holds several components may hide links between them: there, all
-   rows outside the largest component meet all rows of the bucket, in blocks of
-   ``BLOCK`` rows. Rows without a similar signature of another component drop out; the
-   others are compared on full sets within the block, each pair in the first band that
-   it shares, and only links leave it. Links within a component change nothing and are
-   not looked for. So every candidate pair is decided or already connected; none is
-   capped, and no list of candidate pairs is made of a bucket.
+   A bucket that still holds several components may hide links between them: there, rows
+   are written as their differences from the bucket's head, and meet only where they
+   share differences, rarest first, that a link cannot do without (``_apart``). Links
+   within a component change nothing and are not looked for. So every candidate pair is
+   decided, proven to be no link, or already connected; none is capped.
 
 Full sets are made anew from the texts of the documents in question. A bitmap of
 their hashed ids, broadcast to the scan, keeps most other texts out of that exchange; it
@@ -57,7 +55,6 @@ BITS = 2
 LONGS = HASHES * BITS // 64
 SIGMAS = 5.0
 EARLY = 2
-BLOCK = 256
 FIRST = 3
 SPREAD = 256
 ROWS_AT_ONCE = 2000
@@ -324,11 +321,8 @@ def near_groups(
     every = groups.labelled(chosen.select("rep", "bands")).select("rep", "part", F.explode("bands").alias("band"))
     bucketed = stored(_mixed_buckets(every), "buckets")
     decide(_stars(bucketed, chosen, floor))
-    # what was tried, and the buckets below, are not needed for the result
-    links = _apart(groups.labelled(bucketed.select("band", "rep")), chosen, texts, floor, percent)
-    if not links.isEmpty():
-        groups.connect(links)
-    discard(bucketed, chosen, links)
+    _apart(groups.labelled(bucketed.select("band", "rep")), groups, texts, floor, percent, decide)
+    discard(bucketed, chosen)
 
     parts = groups.parts
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
@@ -362,87 +356,76 @@ def _stars(rows: DataFrame, chosen: DataFrame, floor: float) -> DataFrame:
     )
 
 
-def _apart(rows: DataFrame, chosen: DataFrame, texts: DataFrame, floor: float, percent: int) -> DataFrame:
-    """Links (a, b) between rows of a bucket in different components.
-
-    Rows outside a bucket's largest component ask, all rows are asked. Both are cut into
-    blocks, and every block of askers meets every block of the asked.
+def _differences(percent: int, batches):
+    """Shingles by which a row differs from its bucket's head, and the row's ``excess``:
+    two rows are linked if their excesses add up to at most 2 * (100 + percent) times the
+    number of differences they share."""
+    schema = pa.schema([("head", pa.int64()), ("rep", pa.int64()), ("excess", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    for batch in batches:
+        excess, tokens = [], []
+        for one, other in zip(batch.column(2), batch.column(3)):
+            x, h = (np.frombuffer(v.as_buffer(), "<u8") for v in (one, other))
+            d = np.setxor1d(x, h, assume_unique=True)
+            excess.append((100 + percent) * len(d) - (100 - percent) * len(x))
+            tokens.append(d.view(np.int64))
+        columns = [batch.column(0), batch.column(1), pa.array(excess, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _apart(rows: DataFrame, groups: _Groups, texts: DataFrame, floor: float, percent: int, decide) -> None:
+    """Finds the links between rows of a bucket in different components.
+
+    Rows are compared through their differences from the bucket's head. Rows with few
+    differences are linked outright, which the one with the least excess stands for. All
+    other links share differences, and more of them the more excess both rows have. With
+    the differences in one order, rarest in the bucket first, the first that both rows have
+    must leave as many in either row as the link needs. So rows of one template that are
+    similar but not linked hardly meet: what many of them share comes too late.
     """
-    held = _mixed_buckets(rows).drop("head", "of_head")
-    sizes = held.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(
-        F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main")
-    )
-    held = stored(held.join(largest, "band").join(chosen, "rep"), "apart")
-
-    def blocks(n: Column) -> Column:
-        return F.ceil(n / F.lit(BLOCK)).cast("int")
-
-    def dealt(n: Column) -> Column:
-        return F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-
-    asked, asking = F.col("members"), F.col("members") - F.col("n_main")
-    targets = held.withColumn("block", dealt(asked)).select(
-        "band", "block", every(asking).alias("group"), F.col("rep").alias("b"),
-        F.col("part").alias("of_b"), F.col("bits").alias("other"), F.col("bands").alias("bands_b"),
-    )
-    askers = held.where("part <> main").withColumn("group", dealt(asking)).select(
-        "band", every(asked).alias("block"), "group", F.col("rep").alias("a"),
-        F.col("part").alias("of_a"), F.col("bits").alias("one"), F.col("bands").alias("bands_a"),
-    )
-    shared = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
-    met = ["band", "block", "group"]
-    left, right = askers.alias("l"), targets.alias("r")
-    similar = (
-        functools.reduce(Column.__and__, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in met])
-        & (F.col("of_a") != F.col("of_b"))
-        & (estimate(F.col("one"), F.col("other")) >= floor)
-        & (F.element_at("bands_a", F.array_position(shared, True).cast("int")) == F.col("l.band"))
-    )
-    ask = stored(left.join(right, similar, "left_semi").select(*met, "a", "of_a", "bands_a"), "apart")
-    hold = stored(right.join(left, similar, "left_semi").select(*met, "b", "of_b", "bands_b"), "apart")
-    tables = (held, ask, hold)
-    ids = ask.select(F.col("a").alias("doc_id")).union(hold.select("b")).distinct()
+    held = _mixed_buckets(rows)
+    topics = stored(held.select("head", "rep").distinct(), "topics")
+    ids = topics.select(F.col("rep").alias("doc_id")).union(topics.select("head")).distinct()
     sets = stored(_texts_of(texts, ids).mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
-    ask = ask.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a")
-    hold = hold.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other")), "b")
-    found = (
-        ask.groupBy(*met)
-        .cogroup(hold.groupBy(*met))
-        .applyInArrow(functools.partial(_linked, percent), "a long, b long")
+    one = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("one"))
+    other = sets.select(F.col("doc_id").alias("head"), F.col("shingles").alias("other"))
+    pairs = topics.join(one, "rep").join(other, "head").select("head", "rep", "one", "other")
+    apart = stored(
+        pairs.mapInArrow(functools.partial(_differences, percent), "head long, rep long, excess long, tokens array<long>"),
+        "differences",
     )
-    links = stored(found.distinct(), "links")
-    discard(*tables, sets)
-    return links
-
+    nearest = apart.groupBy("head").agg(F.min(F.struct("excess", "rep")).alias("near"))
+    outright = apart.select("head", "rep", "excess").join(nearest, "head").where(
+        (F.col("excess") + F.col("near.excess") <= 0) & (F.col("rep") != F.col("near.rep"))
+    )
+    links = stored(outright.select(F.col("rep").alias("a"), F.col("near.rep").alias("b")).distinct(), "links")
+    if not links.isEmpty():
+        groups.connect(links)
 
-def _linked(percent: int, ask: pa.Table, hold: pa.Table) -> pa.Table:
-    """One link of each asker to each component, if there is one."""
-    found: list[tuple[int, int]] = []
-    if ask.num_rows and hold.num_rows:
-        band = ask.column("band")[0].as_py()
-        names, parts = hold.column("b").to_numpy(), hold.column("of_b").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in hold.column("other")]
-        sizes = np.array([len(x) for x in sets])
-        # one long list of all shingles: an asker's overlaps are counted in one pass
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        bands = np.array(hold.column("bands_b").to_pylist(), np.int64)
-        asking = zip(ask.column("a").to_pylist(), ask.column("of_a").to_pylist(), ask.column("one"), ask.column("bands_a"))
-        for a, of_a, one, own in asking:
-            own_bands = np.array(own.as_py(), np.int64)
-            common = bands == own_bands
-            here = (own_bands[common.argmax(axis=1)] == band) & common.any(axis=1) & (parts != of_a)
-            x = np.frombuffer(one.as_buffer(), "<u8")
-            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-            overlap = np.bincount(owner, x[at] == flat, len(sets))
-            good = here & (100 * overlap >= percent * (len(x) + sizes - overlap))
-            _, first = np.unique(parts[good], return_index=True)
-            found += [(a, int(b)) for b in names[good][first]]
-    columns = list(zip(*found)) or [(), ()]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+    parts = groups.labelled(apart.select("head", "rep")).groupBy("head").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
+    mixed = apart.join(parts.where("_low < _high").select("head"), "head")
+    tokens = stored(
+        mixed.select("rep", "excess", F.col("head").alias("_head"), F.explode("tokens").alias("token"))
+        .select("rep", "excess", "_head", F.xxhash64("_head", "token").alias("band")), "differences",
+    )
+    times = tokens.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # what a link shares from this difference on, in the order of rarity, is at most ``spare``
+    order = Window.partitionBy("_head", "rep").orderBy(F.desc("times"), F.desc("band"))
+    ranked = tokens.join(times, "band").select("band", "rep", "excess", F.row_number().over(order).alias("spare"))
+    ranked = stored(ranked.withColumn("prefix", F.col("spare") * (100 + percent) >= F.col("excess")), "prefixes")
+    asked = ranked.where("prefix").groupBy("band").agg(F.min("excess").alias("low"))
+    both = 2 * (100 + percent)
+    meeting = ranked.join(asked, "band").where(F.col("spare") * both >= F.col("excess") + F.col("low"))
+    meeting = stored(meeting.drop("low"), "prefixes")
+    decide(_stars(_mixed_buckets(groups.labelled(meeting.select("band", "rep"))), groups.chosen, floor))
+    columns = ["band", "rep", "excess", "spare", "part", "prefix"]
+    named = _mixed_buckets(groups.labelled(meeting)).select(*columns)
+    left, right = named.where("prefix").alias("l"), named.alias("r")
+    less = F.struct("l.excess", "l.rep") < F.struct("r.excess", "r.rep")
+    enough = F.least("l.spare", "r.spare") * both >= F.col("l.excess") + F.col("r.excess")
+    apart_still = (F.col("l.band") == F.col("r.band")) & (F.col("l.part") != F.col("r.part"))
+    met = left.join(right, apart_still & less & enough)
+    decide(met.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct())
+    discard(topics, sets, apart, tokens, ranked, meeting, links)
 
 
 def drop_near_copies(

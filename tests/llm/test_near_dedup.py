@@ -70,10 +70,46 @@ def test_equals_all_pairs(docs_of):
     check(rows, docs_of(rows).repartition(5))
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_chains_and_stars_in_one_bucket(docs_of, monkeypatch, block):
+def template(rng, n, edits, words=200):
+    """Rows that change ``edits`` places of one text each."""
+    base = [f"t{i}" for i in range(words)]
+    return [" ".join(changed(base, rng, edits)) for _ in range(n)]
+
+
+def test_rows_of_a_template_do_not_meet(spark, docs_of, monkeypatch):
+    """Similar but unlinked rows: what is compared grows with the rows, not with their pairs."""
+    asked = {}
+    whole = near_dedup._links
+
+    for n in (150, 600):
+        def counted(pairs, texts, percent, n=n):
+            asked[n] = asked.get(n, 0) + pairs.count()
+            return whole(pairs, texts, percent)
+
+        monkeypatch.setattr(near_dedup, "_links", counted)
+        rng = random.Random(n)
+        rows = list(enumerate(template(rng, n, 4)))
+        if n == 150:
+            check(rows, docs_of(rows))
+        else:
+            got = near_dedup.near_groups(docs_of(rows))
+            assert got.where("kept").count() > n / 2
+    assert asked[600] < 8 * max(asked[150], 150)
+
+
+def test_links_far_from_the_head(docs_of):
+    """Clusters around a template's variants, whose rows are linked with each other only."""
+    rng = random.Random(11)
+    rows = []
+    for variant, text in enumerate(template(rng, 12, 4, 150)):
+        for member in range(8):
+            words = changed(text.split(), rng, rng.randrange(3))
+            rows.append(((variant * 8 + member) * 37 % 1009, " ".join(words)))
+    check(rows, docs_of(rows).repartition(3))
+
+
+def test_chains_and_stars_in_one_bucket(docs_of):
     """Near copies of near copies, far from the smallest id of their buckets."""
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(200)]
     rows, chain = [], list(words)
