@@ -16,6 +16,7 @@ from roomledger.operators import (
     channels,
     customers,
     dashboard,
+    day_totals,
     exports,
     quality,
     reports,
@@ -123,6 +124,22 @@ def _stored_tables(src: StarSource) -> DataFrame:
     return read.select("table_name", "row_count", (F.col("contents") == F.col("given")).alias("same"))
 
 
+def _booking_days(src: StarSource) -> DataFrame:
+    """Stored totals per day: of the bookings as they were, and of the feed of changes."""
+    path = scratch_path(src.spark, "booking-days")
+    day_totals.booking_days(src.bookings()).write.parquet(path)
+    return src.spark.read.parquet(path)
+
+
+def _changed_days(src: StarSource) -> DataFrame:
+    """The dashboard after the feed of status changes, from totals and one increment."""
+    path = scratch_path(src.spark, "booking-days")
+    day_totals.booking_days(src.bookings()).write.parquet(path)
+    increment = day_totals.status_day_changes(src.bookings(), src.status_changes())
+    increment.write.mode("append").parquet(path)
+    return day_totals.dashboard_bookings(src.spark.read.parquet(path), AS_OF)
+
+
 def _indexed(src: StarSource) -> str:
     """Where the search index of the guests was written."""
     path = scratch_path(src.spark, "guest-search")
@@ -232,6 +249,21 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     # Dashboard
     "dashboard_bookings": _booked(dashboard.dashboard_bookings, as_of=AS_OF),
     "dashboard_revenue": _booked(dashboard.dashboard_revenue, as_of=AS_OF),
+    "dashboard_bookings_days": lambda src: day_totals.dashboard_bookings(_booking_days(src), AS_OF),
+    "dashboard_bookings_changed": _changed_days,
+    "dashboard_revenue_days": lambda src: day_totals.dashboard_revenue(_booking_days(src), AS_OF),
+    "dashboard_customers_days": lambda src: day_totals.dashboard_customers(
+        day_totals.customer_days(src.customers()), AS_OF
+    ),
+    "revenue_overall_days": lambda src: day_totals.revenue_overall(
+        src.tables(), _booking_days(src), LAST_MONTH
+    ),
+    "revenue_by_date_days": lambda src: day_totals.revenue_by_date(
+        src.tables(), _booking_days(src), LAST_YEAR
+    ),
+    "revenue_by_source_days": lambda src: day_totals.revenue_by_source(
+        src.tables(), _booking_days(src), ALL_TIME
+    ),
     "dashboard_rooms": _booked(dashboard.dashboard_rooms),
     "dashboard_customers": _booked(dashboard.dashboard_customers, as_of=AS_OF),
     "system_alerts": _booked(dashboard.system_alerts, as_of=AS_OF, logs_as_of=LOGS_AS_OF),

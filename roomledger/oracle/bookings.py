@@ -218,3 +218,8 @@ FROM bookings GROUP BY 1""",
 
 # The same rows, from stored bitmaps.
 SQL["current_occupancy_stored"] = SQL["current_occupancy"]
+
+# The same rows, from totals per day.
+SQL["dashboard_bookings_days"] = SQL["dashboard_bookings"]
+SQL["dashboard_revenue_days"] = SQL["dashboard_revenue"]
+SQL["dashboard_customers_days"] = SQL["dashboard_customers"]

@@ -1,3 +1,4 @@
+from roomledger.oracle.base import statuses
 from roomledger.sources.schema import TABLE_NAMES
 
 _STAY = "CAST({0}.check_out_date - {0}.check_in_date AS INTEGER)"
@@ -384,3 +385,20 @@ FROM events e JOIN rooms r ON r.id = e.user_id""",
 # What was written and loaded again is what was given.
 _SIZES = SQL["load_tables"]
 SQL["load_tables_stored"] = (_SIZES[0], f"SELECT *, true AS same FROM ({_SIZES[1]})")
+
+# The dashboard after the same changes.
+_CHANGED = SQL["apply_status_changes"][1]
+SQL["dashboard_bookings_changed"] = (
+    "bookings",
+    _CHANGED[: _CHANGED.index("final AS (")]
+    + """last_change AS (
+  SELECT booking_id, arg_max(status, (ts, event_id)) AS status FROM feed GROUP BY booking_id),
+now AS (SELECT created_at, coalesce(c.status, booking_status) AS booking_status
+        FROM bookings LEFT JOIN last_change c ON booking_id = id)
+SELECT count(*) AS total_bookings,
+"""
+    + f"""  {statuses("pending", "confirmed", "cancelled", "completed", suffix="_bookings")},
+  count(*) FILTER (WHERE CAST(created_at AS DATE) = DATE '2001-06-15') AS today_bookings,
+  count(*) FILTER (WHERE strftime(created_at, '%Y-%m') = '2001-06') AS month_bookings
+FROM now""",
+)

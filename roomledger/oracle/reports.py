@@ -205,3 +205,8 @@ FROM customers LEFT JOIN spend ON id = customer_id""",
 SQL["occupancy_average_stored"] = SQL["occupancy_average"]
 SQL["occupancy_by_date_stored"] = SQL["occupancy_by_date"]
 SQL["occupancy_by_category_stored"] = SQL["occupancy_by_category"]
+
+# The same rows, from totals per day.
+SQL["revenue_overall_days"] = SQL["revenue_overall_month"]
+SQL["revenue_by_date_days"] = SQL["revenue_by_date_year"]
+SQL["revenue_by_source_days"] = SQL["revenue_by_source"]
