@@ -44,6 +44,8 @@ UNKNOWN = "und"
 #: not even two letters long. Letters that no training text holds reach 1, letters drawn at
 #: random about 0.4, text of a learned language 0.2.
 FOREIGN_RATE = 0.5
+#: Letters and blanks up to which a rate says nothing: one phrase over two letters is 0.5.
+SHORT = 16
 
 PREDICTED = "doc_id long, lang_pred string, score double, rate double"
 _ARROW = pa.schema(
@@ -84,21 +86,24 @@ def excerpts(
 
 
 class Codes:
-    """Letters as small numbers: 0 for all that separates words, 1 for unlearned letters.
-
-    At most ``LETTERS`` letters, the most frequent, have numbers of their own.
+    """Letters as small numbers: 0 for all that separates words, 1 for learned letters beyond
+    the ``LETTERS`` most frequent, which have numbers of their own, and the last number for
+    letters that no training text holds.
     """
 
     def __init__(self, texts: list[str]) -> None:
         counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
         self.letters = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS])
-        top = max(map(ord, self.letters), default=0) + 1
+        self.unseen = len(self.letters) + 2
+        self.size = self.unseen + 1
+        top = max(map(ord, counts), default=0) + 1
         self.table = np.zeros(top, np.uint8)
         for c in range(top):
-            self.table[c] = chr(c).isalpha()
+            self.table[c] = self.unseen if chr(c).isalpha() else 0
+        for c in counts:
+            self.table[ord(c)] = 1
         for code, c in enumerate(self.letters, 2):
             self.table[ord(c)] = code
-        self.size = len(self.letters) + 2
 
     def __call__(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
@@ -106,7 +111,7 @@ class Codes:
         codes = self.table[np.minimum(points, top - 1)]
         beyond = points >= top
         if beyond.any():
-            codes[beyond] = [chr(p).isalpha() for p in points[beyond]]
+            codes[beyond] = [self.unseen if chr(p).isalpha() else 0 for p in points[beyond]]
         blank = codes == 0
         return codes[~(blank & np.concatenate(([True], blank[:-1])))] if len(codes) else codes
 
@@ -162,6 +167,11 @@ class CrossParser:
             states += len(found)
         self.steps = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
+    def short(self, text: str) -> bool:
+        """Too short to be judged by its phrases, and all its letters are learned ones."""
+        codes = self.codes(text)
+        return len(codes) <= SHORT and not (codes == self.codes.unseen).any()
+
     def phrases(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each row of codes (longest rows first) by each language."""
         size = self.codes.size
@@ -256,7 +266,10 @@ def _recognised(training, batches):
         for low in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(low, ROWS_AT_ONCE)
             texts = strings(pc.fill_null(part.column("_lang_text"), ""))
-            kept = [lang != UNKNOWN and rate < FOREIGN_RATE for lang, _, rate in parser(list(texts))]
+            kept = [
+                lang != UNKNOWN and (rate < FOREIGN_RATE or parser.short(text))
+                for text, (lang, _, rate) in zip(texts, parser(list(texts)))
+            ]
             yield part.drop_columns(["_lang_text"]).filter(pa.array(kept, pa.bool_()))
 
 
@@ -267,7 +280,10 @@ def recognised(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the learned languages, without a shuffle."""
+    """The rows of ``docs`` whose text is in one of the learned languages, without a shuffle.
+
+    Texts of up to ``SHORT`` letters and blanks stay if all their letters are learned.
+    """
     ship(docs.sparkSession)
     if training is None:
         training = excerpts(docs, id_col, text_col, lang_col)
