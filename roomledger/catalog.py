@@ -18,6 +18,7 @@ from roomledger.operators import (
     dashboard,
     day_totals,
     exports,
+    gaps,
     quality,
     reports,
     room_days,
@@ -200,6 +201,7 @@ _QUERIES: dict[str, Callable[[StarSource], DataFrame]] = {
     "room_search": lambda src: _names(
         rooms.room_search(src.tables(), *SEARCH_STAY, adults=2, children=1, today=TODAY)
     ),
+    "free_room_counts": lambda src: gaps.free_room_counts(src.tables(), src.stays_asked()),
     "categories_list": _booked(rooms.categories_list),
     "amenities_list": _booked(rooms.amenities_list),
     "availability_calendar": _booked(

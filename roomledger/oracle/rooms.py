@@ -198,3 +198,25 @@ SELECT id, username, email, first_name, last_name, role, phone, is_active, creat
 FROM users""",
     ),
 }
+
+SQL["free_room_counts"] = (
+    "rooms bookings",
+    """
+, asked AS (
+  SELECT CAST(check_in_date - DATE '1970-01-01' AS BIGINT) AS request_id, check_in_date,
+    max(check_out_date) AS check_out_date, max(adults) AS guests
+  FROM bookings WHERE check_in_date < check_out_date GROUP BY check_in_date),
+taken AS (
+  SELECT DISTINCT request_id, b.room_id AS id
+  FROM asked a JOIN bookings b ON b.check_in_date < a.check_out_date AND b.check_out_date > a.check_in_date
+  WHERE is_open AND b.room_id IS NOT NULL),
+fits AS (
+  SELECT request_id, r.id, price_per_night * (check_out_date - check_in_date) AS price
+  FROM asked JOIN rooms r ON is_active AND max_occupancy >= guests),
+found AS (
+  SELECT request_id, count(*) AS n, min(price) AS lowest FROM fits ANTI JOIN taken USING (request_id, id)
+  GROUP BY request_id)
+SELECT request_id, check_in_date, check_out_date, coalesce(n, 0) AS free_rooms,
+  CAST(lowest AS DOUBLE) AS lowest_price
+FROM asked LEFT JOIN found USING (request_id)""",
+)

@@ -315,6 +315,13 @@ class StarSource:
             "repeat('x', CAST(id % 506 AS INT)) AS special_requests",
         )
 
+    def stays_asked(self) -> DataFrame:
+        """For every day on which a booking begins, the longest stay that begins then."""
+        held = self.bookings().where("check_in_date < check_out_date")
+        return held.groupBy("check_in_date").agg(
+            F.max("check_out_date").alias("check_out_date"), F.max("adults").alias("guests")
+        ).selectExpr("CAST(date_diff(check_in_date, DATE '1970-01-01') AS BIGINT) AS request_id", "*")
+
     def cancel_requests(self) -> DataFrame:
         """Every order asks to cancel; neighbours ask for the same booking."""
         return self.raw("orders").selectExpr(
