@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import shutil
 import tempfile
@@ -20,6 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict[str, object] = {}
+
+
+def worker_cache(build):
+    """``build`` with its last value kept in the Python worker.
+
+    Workers go on to the next stages of an application, and their memory adds up. So a
+    worker holds one such value only, and gives back what it replaces.
+    """
+
+    @functools.wraps(build)
+    def get(*key):
+        owner = (build.__module__, build.__qualname__, key)
+        if _HELD.get("owner") != owner:
+            _HELD.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+            _HELD.update(owner=owner, value=build(*key))
+        return _HELD["value"]
+
+    return get
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import crc_of, ship
+from roomledger.llm.common import crc_of, ship, worker_cache
 from roomledger.llm.tokens import strings
 
 EXCERPTS = 64
@@ -226,7 +226,7 @@ class CrossParser:
         return found
 
 
-@functools.lru_cache(maxsize=1)
+@worker_cache
 def _parser(training: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(training)
 

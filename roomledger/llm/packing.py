@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import documents, numbered, stored
+from roomledger.llm.common import documents, numbered, stored, worker_cache
 from roomledger.llm.tokens import WordIds
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ _PIECES_ARROW = pa.schema(
 )
 
 
-@functools.lru_cache(maxsize=1)
+@worker_cache
 def _encoder(path: str) -> WordIds:
     return WordIds(path)
 
