@@ -270,6 +270,7 @@ def sync_log_rows(t: Tables, deliveries: DataFrame) -> DataFrame:
     done = F.coalesce("delivered", F.lit(False))
     names = F.create_map(*[F.lit(x) for pair in SHOWN_NAMES.items() for x in pair])
     shown = names[F.lower("ota_name")]
+    # The messages of the sync log.
     message = (
         F.when(~supported, F.concat(F.lit("Unsupported OTA: "), F.col("ota_name")))
         .when(done, F.concat(shown, F.lit(" ARI sync completed successfully")))

@@ -115,6 +115,7 @@ def system_alerts(t: Tables, as_of: dt.datetime, logs_as_of: dt.datetime | None
     low = occupancy.withColumn("share", share).where(F.col("share") < LOW_OCCUPANCY)
     low = low.withColumn("affected", F.col("occupied_rooms"))
     shown = F.round("share", 1).cast("decimal(20,1)").cast("string")
+    # The texts of the alerts.
     alerts = [
         alert(
             counted(rooms_without_images(t)),

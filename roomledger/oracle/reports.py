@@ -37,6 +37,7 @@ SELECT date, occupied_rooms,
   CAST(occupied_rooms AS DOUBLE) / nullif(CAST(total AS DOUBLE), 0) * 100 AS occupancy_rate
 FROM daily, house"""
 
+# The labels in the statements below are fixed values: lengths of stays and lead times.
 SQL = {
     "revenue_overall": ("bookings", _OVERALL + _ALL),
     "revenue_overall_month": ("bookings", _OVERALL + _MONTH),
