@@ -380,14 +380,19 @@ def repeated_runs(texts: DataFrame, length: int, stretches: int = STRETCHES) ->
     """``(core, stretch, found)``: the runs of repeated strings of every stretch."""
     sizes = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     tasks = max(1, -(-sizes // SORTED_BYTES))
-    many = texts.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretches).select("core")
+    many = stored(texts.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretches).select("core"), "many")
     names = ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'long'}" for f in _FOUND)
-    dealt = texts.join(many, "core", "left_anti").withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks)))
+    # without such cores the texts are exchanged once, for their tasks
+    none = many.isEmpty()
+    usual = texts if none else texts.join(many, "core", "left_anti")
+    dealt = usual.withColumn("task", F.pmod(F.xxhash64("core"), F.lit(tasks)))
 
     def task(rows: pa.Table) -> pa.Table:
         return _sorted_task(length, rows)
 
     found = dealt.groupBy("task").applyInArrow(task, names)
+    if none:
+        return found
     strings = texts.join(many, "core", "left_semi").select("core", "stretch", "twice", "text").mapInArrow(
         partial(_single_strings, length), "core long, stretch long, at int, key binary, n int"
     )
@@ -436,12 +441,13 @@ def remove_repeats(
     runs = blocks.select("block", F.inline("runs")).select("core", "stretch", "n", "again", "block")
     sorted_runs = runs.repartition("core").sortWithinPartitions("core", "stretch", "block")
     met = stored(sorted_runs.mapInArrow(_met, _MET), "stretches-met")
-    held = blocks.select("block", "ids", "sizes", "packed").groupBy("block")
+    sent = met.where("first").select("block", "core", "stretch", "twice").groupBy("block")
     texts = stored(
-        held.cogroup(met.where("first").select("block", "core", "stretch", "twice").groupBy("block")).applyInArrow(
+        blocks.select("block", "sizes", "packed").groupBy("block").cogroup(sent).applyInArrow(
             partial(_texts, length), "core long, stretch long, twice boolean, text binary"
         ), "stretches",
-    )
+    )
     found = repeated_runs(texts, length, stretches).where(F.length("found") > 0)
     answers = met.select("core", "stretch", "block").join(found, ["core", "stretch"])
+    held = blocks.select("block", "ids", "sizes", "packed").groupBy("block")
     return held.cogroup(answers.groupBy("block")).applyInArrow(partial(_cut, length), _RESULT)
