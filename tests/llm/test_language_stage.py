@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from roomledger.llm import language_id
+from roomledger.llm import common, language_id
 
 ENGLISH = "the quick brown fox jumps over the lazy dog and runs back to its den before the rain begins "
 
@@ -36,3 +36,21 @@ def test_unlearned_letters_are_phrases_of_their_own():
         language, _, rate = parser([text])[0]
         assert rate >= letters / (letters + text.count(" ")) - 1e-9
     assert parser(["".join(script[:50])])[0][0] == "zz"
+
+
+def test_a_worker_holds_the_last_cache_only():
+    built = []
+
+    @common.worker_cache
+    def one(key):
+        built.append(("one", key))
+        return [key]
+
+    @common.worker_cache
+    def other(key):
+        built.append(("other", key))
+        return [key]
+
+    first = one(1)
+    assert one(1) is first and other(1) == [1] and one(2) == [2] and one(1) == [1]
+    assert built == [("one", 1), ("other", 1), ("one", 2), ("one", 1)]
