@@ -9,6 +9,7 @@ import os
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _HELD: dict[str, object] = {}
 
 
-def worker_cache(build):
-    """``build`` with its last value kept in the Python worker.
+def release_worker() -> None:
+    """Gives back what earlier stages left in this Python worker: workers go on to the next
+    stages of an application, and their memory adds up to the executor's."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-    Workers go on to the next stages of an application, and their memory adds up. So a
-    worker holds one such value only, and gives back what it replaces.
-    """
+
+def worker_cache(build):
+    """``build`` with its last value kept in the Python worker, one such value in all."""
 
     @functools.wraps(build)
     def get(*key):
         owner = (build.__module__, build.__qualname__, key)
         if _HELD.get("owner") != owner:
-            _HELD.clear()
-            gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release_worker()
             _HELD.update(owner=owner, value=build(*key))
         return _HELD["value"]
 

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import discard, documents, marked, stored, without
+from roomledger.llm.common import discard, documents, marked, release_worker, stored, without
 from roomledger.llm.tokens import strings
 from roomledger.plans.numbering import number_rows
 
@@ -125,6 +125,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
+    release_worker()
     for batch in batches:
         for low in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(low, ROWS_AT_ONCE)
@@ -208,6 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
+    release_worker()
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
         for low in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -360,6 +362,7 @@ def _differences(percent: int, batches):
     """Shingles by which a row differs from its bucket's head, and the row's ``excess``:
     two rows are linked if their excesses add up to at most 2 * (100 + percent) times the
     number of differences they share."""
+    release_worker()
     schema = pa.schema([("head", pa.int64()), ("rep", pa.int64()), ("excess", pa.int64()), ("tokens", pa.list_(pa.int64()))])
     for batch in batches:
         excess, tokens = [], []
