@@ -66,3 +66,30 @@ def test_a_busy_room_makes_no_pairs(spark, make_tables):
     assert {i for i, r in rows if r == 2} == set(range(800))
     assert max(join_rows(df)) < 5000
     assert gaps.free_gaps(t).where("room_id = 1").count() == 701
+
+
+def test_counts_list_no_rooms(spark, make_tables):
+    """300 rooms alike and 200 asked stays: what meets is days, not rooms; stays of negative
+    length cut the gaps around them."""
+    rng = random.Random(8)
+    listed = [room(i) | {"max_occupancy": 2 + i % 2, "room_category_id": [None, 1, 2][i % 3], "price_per_night": f"{10 + i}.50"} for i in range(1, 301)]
+    held = [stay(1000 + i, 1 + i % 300, str(DAY + dt.timedelta(i % 50)), str(DAY + dt.timedelta(i % 50 + i % 4)), "pending") for i in range(150)]
+    for i in range(400):
+        first = DAY + dt.timedelta(rng.randrange(60))
+        held.append(stay(i, rng.randrange(1, 40), str(first), str(first - dt.timedelta(rng.randrange(1, 9))), "confirmed"))
+    t = make_tables(rooms=listed, bookings=held)
+    asked = []
+    for i in range(200):
+        first = DAY + dt.timedelta(rng.randrange(-9, 62))
+        asked.append((i // 2 * 2, first, first + dt.timedelta(rng.randrange(1, 20)), rng.choice([1, 3, 4, None]), rng.choice([None, 1, 2])))
+    df = spark.createDataFrame(asked, ASKED)
+    for given in (df, df.drop("category_id")):
+        rows: dict = {}
+        for r in gaps.rooms_for_stays(t, given).collect():
+            rows.setdefault(r["request_id"], []).append(r["total_price"])
+        counted = gaps.free_room_counts(t, given)
+        got = counted.collect()
+        assert 4 * max(join_rows(counted)) < sum(map(len, rows.values()))
+        for r in got:
+            found = rows.get(r["request_id"], [])
+            assert (r["free_rooms"], r["lowest_price"]) == (len(found), min(found, default=None))
