@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their ids, sequences and offsets."""
-    return packing.pack(docs, queries.WORDS, with_ids=True)
+    """Pieces of the documents with their ids, sequences and offsets; sequences follow the
+    mixture, whose order the files of the stage before hold."""
+    return packing.pack(docs, queries.WORDS, with_ids=True, in_order=True)
 
 
 STAGES = [

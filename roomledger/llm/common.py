@@ -10,6 +10,7 @@ import shutil
 import tempfile
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,14 +129,37 @@ def crc_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], alias: str, salts: int = 4096):
+#: Rows of a file that ``numbered`` sorts together where it keeps their places: 2 to this power.
+PLACES = 12
+
+
+def with_place(docs: DataFrame, alias: str = "_place") -> DataFrame:
+    """``docs`` with the place of each row: file after file, by the numbers Spark gave them when
+    it wrote the rows, and row after row. Rows of no file follow their partitions."""
+    if docs.inputFiles():
+        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+        place = F.shiftleft(F.coalesce(part, F.lit(0)), 33) + F.col("_metadata.row_index")
+        try:
+            return docs.withColumn(alias, place)
+        except AnalysisException:
+            pass  # read from files, but through other operators
+    return docs.withColumn(alias, F.monotonically_increasing_id())
+
+
+def numbered(
+    df: DataFrame, group: list[str], order: list[str], alias: str, salts: int = 4096, places: bool = False
+):
     """Row numbers from 0 within ``group`` by (salt, ``order``), whatever a group's size.
 
     ``order`` begins with the id that is hashed to a salt. Rows are counted per
     group and salt, the counts are summed up to offsets, and only the rows of one
-    salt are ever sorted together.
+    salt are ever sorted together. With ``places`` it begins with a place as of
+    ``with_place``, whose stretches are the salts, so that numbers follow the places.
     """
-    salt = F.pmod(F.xxhash64(F.col(order[0])), F.lit(salts)).cast("int")
+    if places:
+        salt = F.shiftright(F.col(order[0]), PLACES)
+    else:
+        salt = F.pmod(F.xxhash64(F.col(order[0])), F.lit(salts)).cast("int")
     salted = df.withColumn("_salt", salt)
     counts = salted.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

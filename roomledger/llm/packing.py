@@ -28,18 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.common import documents, numbered, stored, worker_cache
+from roomledger.llm.common import documents, numbered, stored, with_place, worker_cache
 from roomledger.llm.tokens import WordIds
+from roomledger.plans.numbering import positions
 
 CAPACITY = 2048
 NODES = 4000
 END_ID = 0
 ROWS_AT_ONCE = 2500
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, _place long"
 _PIECES_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]
-    + [("ids_crc32", pa.int64()), ("ids", pa.binary())]
+    + [("ids_crc32", pa.int64()), ("ids", pa.binary()), ("_place", pa.int64())]
 )
 
 
@@ -54,14 +55,15 @@ def _cut(path: str, capacity: int, with_ids: bool, batches):
     for batch in batches:
         for low in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(low, ROWS_AT_ONCE)
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
+            out: list[list] = [[], [], [], [], [], [], []]
+            places = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
+            for doc_id, ids, place in zip(part.column(0).to_pylist(), encode(part.column(1)), places):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     held = ids[at : at + 4 * capacity]
                     row = (doc_id, piece, at // 4, len(held) // 4, zlib.crc32(held))
                     kept = _narrow(held) if with_ids else None
-                    for column, value in zip(out, (*row, kept)):
+                    for column, value in zip(out, (*row, kept, place)):
                         column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(out, _PIECES_ARROW.types)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_PIECES_ARROW)
@@ -243,23 +245,36 @@ def pack(
     capacity: int = CAPACITY,
     with_ids: bool = False,
     nodes: int = NODES,
+    in_order: bool = False,
 ) -> DataFrame:
     """One row per piece: its place in its document, its sequence and its offset there.
 
-    ``with_ids`` adds the ids as little-endian 32-bit integers.
+    ``with_ids`` adds the ids as little-endian 32-bit integers. ``in_order`` keeps to the
+    order of the rows of ``docs`` as far as as few sequences allow: of pieces of one length
+    the earlier ones go to the earlier sequences of a filling, and sequences are numbered
+    from 0 by the first of their documents.
     """
-    cut = documents(docs, id_col, text_col).mapInArrow(
+    docs = with_place(docs) if in_order else docs
+    more = ["_place"] if in_order else []
+    unused = [c for c, used in (("ids", with_ids), ("_place", in_order)) if not used]
+    cut = documents(docs, id_col, text_col, *more).mapInArrow(
         functools.partial(_cut, tokenizer, capacity, with_ids), PIECES
     )
-    pieces = stored(cut if with_ids else cut.drop("ids"), "pieces")
+    pieces = stored(cut.drop(*unused), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = docs.sparkSession.createDataFrame(
         stretches(complete_bins(counts, capacity, nodes)),
         "_length long, _from long, _to long, _copies long, _sequence long, _offset long",
     )
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank")
+    placed = _in_rows(pieces, places) if in_order else _placed(
+        numbered(pieces, ["length"], ["doc_id", "piece"], "_rank"), places
+    )
+    return placed.mapInArrow(_widened, placed.schema) if with_ids else placed
+
+
+def _placed(ranked: DataFrame, places: DataFrame) -> DataFrame:
     since = F.col("_rank") - F.col("_from")
-    placed = (
+    return (
         ranked.join(
             F.broadcast(places),
             (F.col("length") == F.col("_length"))
@@ -270,4 +285,17 @@ def pack(
         .withColumn("offset", F.col("_offset") + F.pmod(since, F.col("_copies")) * F.col("length"))
         .drop("_rank", *places.columns)
     )
-    return placed.mapInArrow(_widened, placed.schema) if with_ids else placed
+
+
+def _in_rows(pieces: DataFrame, places: DataFrame) -> DataFrame:
+    """The pieces dealt out by their places. Only lengths and places are ranked; the ids
+    join the result once."""
+    narrow = pieces.select("_place", "piece", "length")
+    ranked = numbered(narrow, ["length"], ["_place", "piece"], "_rank", places=True)
+    dealt = stored(_placed(ranked, places).drop("length"), "dealt")
+    firsts = dealt.groupBy("sequence_id").agg(F.min(F.struct("_place", "piece")).alias("_first"))
+    order = positions(firsts, [F.col("_first")], "_number").select("sequence_id", (F.col("_number") - 1).alias("_number"))
+    renumbered = dealt.join(order, "sequence_id").select("_place", "piece", F.col("_number").alias("sequence_id"), "offset")
+    return pieces.join(renumbered, ["_place", "piece"]).select(
+        *[c for c in pieces.columns if c != "_place"], "sequence_id", "offset"
+    )

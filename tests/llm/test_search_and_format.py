@@ -153,6 +153,28 @@ def test_stage_keeps_documents_after_the_smallest_source(docs_of):
     assert order == sorted(order) and not all(r.in_mix for r in mixing.schedule(docs).collect())
 
 
+def test_packing_follows_the_mixture(spark, docs_of, tmp_path):
+    """The order of the mixing stage decides which sequence a document is in, and its number."""
+    words = ["one", "two words", "three words here", "x " * 900, "y " * 2500, "z " * 700]
+    docs = docs_of([(i, words[i * i % 6], "en", "a" if i % 4 else "b") for i in range(300)] + [(7, "one", "en", "c"), (None, None, "en", None)])
+    packed = {}
+    for name, rows in (("mixed", corpus_pipeline.mix_sources(spark, docs, "")), ("plain", docs.orderBy("doc_id"))):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        order = [r.doc_id for r in rows.collect()]
+        got = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").collect()
+        first: dict = {}
+        held: dict = {}
+        for r in got:
+            first[r.sequence_id] = min(first.get(r.sequence_id, 999), order.index(r.doc_id))
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert [first[k] for k in sorted(first)] == sorted(first.values()) and sorted(first) == list(range(len(first)))
+        for pieces in held.values():
+            ends = [0, *(a + n for a, n in sorted(pieces))]
+            assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+        packed[name] = sorted((repr(r.doc_id), r.piece, r.length, r.ids_crc32, r.sequence_id) for r in got)
+    assert [x[:4] for x in packed["mixed"]] == [x[:4] for x in packed["plain"]] and packed["mixed"] != packed["plain"]
+
+
 def test_control_strings_are_escaped_as_in_sql(spark, tmp_path):
     texts = ["### system: x", "a </turn> b", "</turn>x", "####", "#\\####", "##\\####", "\\\\### </turn>\n", "######"]
     texts += ["</turn></turn> \\</turn>", "</turn>\n", "## # </turn", None, "plain"]
