@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from roomledger.sources import schema
+from roomledger.sources.layout import parts_of
 from roomledger.sources.tables import Tables
 
 # The patterns of the text rules. The phone rule stands for the
@@ -201,29 +202,27 @@ def _coded(names: list[str]) -> Column:
 
 
 def uniqueness_violations(t: Tables) -> DataFrame:
-    """Keys that occur more than once; text compares without case."""
+    """Keys that occur more than once; text compares without case.
+
+    Nearly all keys are unique, so folding them in the map tasks would only hold them in
+    memory. The keys of all tables share one exchange in a given number of partitions:
+    chosen by compressed bytes, a partition would hold millions of keys.
+    """
     known = dict(t.items())
-    parts = []
-    for table, key in schema.UNIQUE_KEYS:
-        df = known[table]
+    keys = []
+    for code, (table, key) in enumerate(schema.UNIQUE_KEYS):
+        df = known[table].dropna(subset=list(key))
         text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
-        parts_of_key = [F.lower(c) if c in text else F.col(c) for c in key]
-        named = [p.alias(c) for p, c in zip(parts_of_key, key)]
-        repeated = (
-            df.dropna(subset=list(key))
-            .groupBy(*named)
-            .agg(F.count(F.lit(1)).alias("row_count"))
-            .where("row_count > 1")
-        )
-        parts.append(
-            repeated.select(
-                F.lit(table).alias("table_name"),
-                F.lit("+".join(key)).alias("key_name"),
-                F.concat_ws("+", *[F.col(c).cast("string") for c in key]).alias("key_value"),
-                "row_count",
-            )
-        )
-    return _union(parts)
+        values = [(F.lower(c) if c in text else F.col(c)).cast("string") for c in key]
+        keys.append(df.select(F.lit(code).alias("code"), F.array(*values).alias("key")))
+    spread = _union(keys).repartition(parts_of(keys[0].sparkSession), "code", "key")
+    counted = spread.groupBy("code", "key").agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.where("row_count > 1").select(
+        _coded([table for table, _ in schema.UNIQUE_KEYS]).alias("table_name"),
+        _coded(["+".join(key) for _, key in schema.UNIQUE_KEYS]).alias("key_name"),
+        F.array_join("key", "+").alias("key_value"),
+        "row_count",
+    )
 
 
 def orphan_rows(t: Tables) -> DataFrame:

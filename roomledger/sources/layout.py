@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Partitions for rows that are small when they are exchanged and large afterwards. Spark
+    joins small partitions by their compressed bytes, unless their number is given."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
 
 def write_clustered(
     df: DataFrame, path: str, column: str | list[str], files: int | None = None

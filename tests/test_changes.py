@@ -266,3 +266,11 @@ def test_repeated_keys_and_missing_parents(make_tables):
         ("bookings", "room_id", 9, 2),
         ("rooms", "room_category_id", 7, 1),
     ]
+
+
+def test_unique_keys_are_not_held_by_the_tasks_that_read_them(make_tables):
+    """All keys meet in one exchange of a given number of partitions, and no fold comes before it."""
+    t = make_tables()
+    plan = quality.uniqueness_violations(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    assert "Aggregate" not in plan[plan.index("Exchange") :]
