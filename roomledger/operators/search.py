@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.sources.layout import write_clustered
+from roomledger.sources.layout import parts_of, write_clustered
 
 #: The columns that guest searches read.
 SEARCHED = ("first_name", "last_name", "email", "phone")
@@ -35,8 +35,13 @@ def search_postings(customers: DataFrame) -> DataFrame:
 def write_search_index(customers: DataFrame, path: str, files: int | None = None) -> None:
     """Postings in the order of their triples, so that a search opens the few row groups
     whose range holds one of its triples. Triples that very many guests share are spread
-    over as many files as their rows need: ids order them further."""
-    write_clustered(search_postings(customers), path, ["gram", "field", "id"], files)
+    over as many files as their rows need: ids order them further.
+
+    A guest becomes some fifty postings, so guests are spread before, over more tasks than
+    the few that read their file, and postings go to as many files if none are given."""
+    parts = parts_of(customers.sparkSession)
+    guests = customers.select("id", *SEARCHED).repartition(parts)
+    write_clustered(search_postings(guests), path, ["gram", "field", "id"], files or parts)
 
 
 def grams_of(spark: SparkSession, text: str) -> list[str] | None:

@@ -75,3 +75,11 @@ def test_a_search_reads_few_postings(spark, guests):
     assert 0 < scanned_rows(df) < every / 2
     assert search.grams_of(spark, "ab") is None and search.grams_of(spark, "a%c") is None
     assert search.grams_of(spark, "AbC d") == ["abc", "bc ", "c d"]
+
+
+def test_postings_are_made_by_more_tasks_than_read_the_guests(spark, guests, monkeypatch):
+    written = []
+    monkeypatch.setattr(search, "write_clustered", lambda *given: written.append(given))
+    search.write_search_index(guests[0].customers.coalesce(1), "nowhere")
+    postings, _, _, files = written[0]
+    assert postings.rdd.getNumPartitions() == files >= 4 * spark.sparkContext.defaultParallelism
