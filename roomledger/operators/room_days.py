@@ -18,24 +18,29 @@ from roomledger.functions.measures import earned, percent
 from roomledger.functions.stays import CHECK_IN, CHECK_OUT
 from roomledger.operators.bookings import active_room_count, occupancy_of
 from roomledger.operators.reports import ReportWindow, category_occupancy
-from roomledger.sources.layout import write_clustered
+from roomledger.sources.layout import parts_of
 from roomledger.sources.tables import Tables
 
 ARRIVAL = -1
 #: Nights since year 1 fit so many bits, whatever the dates.
 LEVELS = 22
+KEY = ("size", "day", "block", "bucket")
+#: Bitmaps per file, 8 MB.
+FILE_ROWS = 2048
 
 
 def _day_number(value: Column) -> Column:
     return F.date_diff(value, F.expr("DATE '0001-01-01'"))
 
 
-def room_days(bookings: DataFrame) -> DataFrame:
-    """``(size, day, block, bucket, rooms)`` of the earned bookings given.
+def room_days(bookings: DataFrame, parts: int | None = None) -> DataFrame:
+    """``(size, day, block, bucket, rooms)`` of the earned bookings given, in their order by
+    partitions, ``parts`` if given.
 
     ``size`` is -1 for arrivals, which have a ``day``. Stays are blocks of 2^size nights, few
-    per stay however long it is: block b of size k holds the nights from b * 2^k. Every task
-    folds its bookings to one bitmap per day or block and bucket before anything is shuffled.
+    per stay however long it is: block b of size k holds the nights from b * 2^k. Room numbers
+    are exchanged and sorted, and become bitmaps one after the other in the tasks that write
+    them: most bitmaps hold few rooms, and sorting 4 KB for each would fill the memory.
     """
     held = bookings.where(earned()).select("room_id", CHECK_IN, CHECK_OUT)
     arrivals = held.select(
@@ -56,27 +61,30 @@ def room_days(bookings: DataFrame) -> DataFrame:
     stays = nights.select("room_id", blocks).select(
         "room_id", "size", F.lit(None).cast("date").alias("day"), "block"
     )
-    return (
-        arrivals.unionByName(stays)
-        .groupBy("size", "day", "block", F.bitmap_bucket_number("room_id").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("room_id")).alias("rooms"))
+    held = arrivals.unionByName(stays).select(
+        "size", "day", "block", F.bitmap_bucket_number("room_id").alias("bucket"), F.bitmap_bit_position("room_id").alias("_at")
     )
+    ranged = held.repartitionByRange(parts, *KEY) if parts else held.repartitionByRange(*KEY)
+    # ranges and order are those of the groups, so nothing is exchanged or sorted again
+    return ranged.sortWithinPartitions(*KEY).groupBy(*KEY).agg(F.bitmap_construct_agg("_at").alias("rooms"))
 
 
 def write_room_days(bookings: DataFrame, path: str, files: int | None = None) -> None:
-    write_clustered(room_days(bookings), path, ["size", "day", "block"], files)
+    """Files of few bitmaps each: compressed they are small, and a task reads many bytes."""
+    rows = room_days(bookings, files or parts_of(bookings.sparkSession))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
 def append_room_days(bookings: DataFrame, path: str) -> None:
     """Adds the rooms of new earned bookings; a booking given twice changes nothing."""
-    room_days(bookings).sortWithinPartitions("size", "day", "block").write.mode("append").parquet(path)
+    room_days(bookings).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
 def _rooms_per_day(stored: DataFrame, window: ReportWindow) -> DataFrame:
     arrivals = stored.where(F.col("size") == ARRIVAL).withColumnRenamed("day", CHECK_IN)
-    merged = arrivals.where(window.arriving()).groupBy(CHECK_IN, "bucket").agg(
-        F.bitmap_or_agg("rooms").alias("rooms")
-    )
+    # a number of partitions that bitmaps fit however well they compress
+    spread = arrivals.where(window.arriving()).repartition(parts_of(stored.sparkSession), CHECK_IN, "bucket")
+    merged = spread.groupBy(CHECK_IN, "bucket").agg(F.bitmap_or_agg("rooms").alias("rooms"))
     return merged.groupBy(F.col(CHECK_IN).alias("date")).agg(
         F.sum(F.bitmap_count("rooms")).alias("occupied_rooms")
     )

@@ -63,3 +63,10 @@ def test_no_bookings(spark, make_tables, tmp_path):
     stored = spark.read.schema("size int, day date, block int, bucket bigint, rooms binary").parquet(str(tmp_path / "days"))
     assert rows_of(room_days.occupancy_average(t, stored, WINDOWS[0])) == rows_of(reports.occupancy_average(t, WINDOWS[0]))
     assert rows_of(room_days.current_occupancy(t, stored, DAY)) == rows_of(bookings.current_occupancy(t, DAY))
+
+
+def test_bitmaps_are_neither_exchanged_nor_sorted(make_tables, held, tmp_path):
+    made = room_days.room_days(make_tables(bookings=held).bookings, 4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("rangepartitioning") == 1
+    assert plan.count("Sort [") == 1 and "bitmap" not in plan[plan.index("Sort [") :].splitlines()[0]
