@@ -9,12 +9,17 @@ merged, and the prefixes of neighbours are compared.
 The suffixes are dealt out so that equal strings meet. Every string of ``length`` bytes has
 a core: among the shorter strings in it, the one with the least hash. Neighbouring strings
 with the same core share a stretch of text. A core at one place of the whole corpus belongs
-to strings that occur once; nothing else of these is looked at. Equal stretches fold to one, which knows that it occurs more than once, and leaves the block of
-documents that holds it first. The different stretches of a core go to one task, many
-cores to each, and are sorted there; the runs of strings found twice return to
-the blocks. Neither a copied document nor a passage in a third of all rows puts more rows
-into a task than there are blocks or different stretches. A core with very many different
-stretches is no task of its own: its strings are counted one by one instead.
+to strings that occur once; nothing else of these is looked at. Equal stretches fold to one,
+which knows that it occurs more than once, and leaves the block of documents that holds it
+first. All strings of a stretch that occurs more than once repeat: its blocks are told so at
+once, and a core with no other stretches is not sorted. The different stretches of the other
+cores go to one task, many cores to each, and are sorted there; the runs of strings found
+twice return to the blocks. Neither a copied document nor a passage in a third of all rows
+puts more rows into a task than there are blocks or different stretches. A core with very
+many different stretches is no task of its own: its strings are counted one by one instead.
+
+Rows between the steps say where in the block a stretch begins, so that each text is hashed
+once.
 
 Defined cases: null and empty texts have nothing to remove; repeated rows are documents of
 their own, so all of their strings repeat; null ids are kept; documents shorter than
@@ -43,26 +48,38 @@ SORTED_BYTES = 2 << 20
 #: Strings of a stretch, and stretches of a core that are still sorted in one task.
 STRETCH = 512
 STRETCHES = 8192
+#: Positions that are hashed at a time, few enough for their arrays to stay in a core's cache.
+HASHED = 1 << 15
 
+# ``again``: runs of strings that recur within the block, as pairs of 32 bits; ``starts`` is the
+# number of strings of a stretch, ``n`` how often it occurs in the block, 2 at most
 _BLOCKS = (
-    "block long, ids array<long>, sizes array<long>, packed binary, runs array<struct<core:long,stretch:long,n:int,again:boolean>>"
+    "block long, ids array<long>, sizes array<long>, packed binary, again binary, "
+    "runs array<struct<core:long,stretch:long,begin:int,starts:int,n:int,again:boolean>>"
 )
+_RUN = [
+    ("core", pa.int64()), ("stretch", pa.int64()), ("begin", pa.int32()), ("starts", pa.int32()), ("n", pa.int32()),
+    ("again", pa.bool_()),
+]
 _BLOCKS_ARROW = pa.schema(
     [
         ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary()),
-        ("runs", pa.list_(pa.struct([("core", pa.int64()), ("stretch", pa.int64()), ("n", pa.int32()), ("again", pa.bool_())]))),
+        ("again", pa.binary()), ("runs", pa.list_(pa.struct(_RUN))),
     ]
 )
-_MET = "core long, stretch long, block long, twice boolean, first boolean"
+_MET = "core long, block long, begin int, starts int, twice boolean, sent boolean, told boolean"
+_SENT = "core long, block long, begin int, twice boolean, text binary"
 _TEXTS = pa.schema(
-    [("core", pa.int64()), ("stretch", pa.int64()), ("twice", pa.bool_()), ("text", pa.binary())]
+    [("core", pa.int64()), ("block", pa.int64()), ("begin", pa.int32()), ("twice", pa.bool_()), ("text", pa.binary())]
 )
-_FOUND = pa.schema([("core", pa.int64()), ("stretch", pa.int64()), ("found", pa.binary())])
+_FOUND = "block long, begin int, end int"
+_FOUND_ARROW = pa.schema([("block", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 _RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
+_SPAN = [("begin", pa.int64()), ("end", pa.int64())]
 _RESULT_ARROW = pa.schema(
     [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-        ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()),
+        ("spans", pa.list_(pa.struct(_SPAN))), ("kept", pa.binary()),
     ]
 )
 
@@ -94,77 +111,96 @@ def _hashes(text: np.ndarray, size: int) -> np.ndarray:
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` neighbours, from minima of prefixes and suffixes of blocks."""
-    full = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    full[: len(values)] = values
-    full = full.reshape(-1, width)
-    before = np.minimum.accumulate(full, axis=1).ravel()
-    after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(values) - width + 1
-    return np.minimum(after[:n], before[width - 1 : width - 1 + n])
-
-
-def runs_of(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum of each ``width`` neighbours, from minima of twice as many neighbours each time."""
+    size = 1
+    while size * 2 <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
+
+
+def _cores(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the core of the strings of ``length`` bytes changes, the cores from there on, and
+    the cores that are met at more than one place: their strings may repeat inside one stretch."""
+    core = max(1, length // 5)
+    width = length - core + 1
+    strings = len(text) - length + 1
+    at, values, places = [], [], []
+    last = None
+    for a in range(0, len(text) - core + 1, HASHED):
+        # places a to b; a place is a core's if its hash is the largest core of the strings around it
+        b = min(a + HASHED, len(text) - core + 1)
+        low, high = max(0, a - width + 1), min(b, strings)
+        hashes = _hashes(text[low : min(b + width - 1, len(text) - core + 1) + core - 1], core)
+        cores = _least(hashes, width)[: high - low]
+        around = np.full(b - a + width - 1, np.iinfo(np.uint64).max, np.uint64)
+        begin = low - (a - width + 1)
+        around[begin : begin + len(cores)] = ~cores
+        here = hashes[a - low : b - low]
+        places.append(here[~_least(around, width) == here])
+        cores = cores[a - low :]
+        if len(cores):
+            new = np.ones(len(cores), bool)
+            new[1:] = cores[1:] != cores[:-1]
+            new[0] = last is None or cores[0] != last
+            last = cores[-1]
+            at.append(np.flatnonzero(new) + a)
+            values.append(cores[new])
+    met, times = np.unique(np.concatenate(places), return_counts=True)
+    return np.concatenate(at), np.concatenate(values).view(np.int64), met[times > 1].view(np.int64)
+
+
+def runs_of(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and core of the runs of positions at which a string of one document starts
-    and whose strings have the same core, at most ``STRETCH`` positions each."""
+    and whose strings have the same core, at most ``STRETCH`` positions each, and the cores
+    that are met at more than one place."""
     none = np.zeros(0, np.int64)
-    if len(text) < length:
-        return none, none, none
-    core = max(1, length // 5)
-    cores = _least(_hashes(text, core), length - core + 1).view(np.int64)
     ends = np.cumsum(sizes)
-    edge = np.zeros(len(text) + 1, np.int32)
     long = sizes >= length
-    np.add.at(edge, (ends - sizes)[long], 1)
-    np.add.at(edge, (ends - length + 1)[long], -1)
-    inside = np.cumsum(edge)[: len(cores)] > 0
-    new = np.ones(len(cores), bool)
-    new[1:] = (cores[1:] != cores[:-1]) | (inside[1:] != inside[:-1])
-    # a document that begins where the one before ends its last string begins a run too
-    new[(ends - sizes)[(ends - sizes) < len(cores)]] = True
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(cores))
-    keep = inside[begin]
-    begin, end = begin[keep], end[keep]
+    if not long.any():
+        return none, none, none, none
+    first, stop = (ends - sizes)[long], (ends - length + 1)[long]
+    at, values, again = _cores(text, length)
+    begin = np.unique(np.concatenate((at, first, stop)))
+    owner = np.searchsorted(first, begin, "right") - 1
+    inside = (owner >= 0) & (begin < stop[owner])
+    end = np.append(begin[1:], len(text))[inside]
+    begin = begin[inside]
+    core = values[np.searchsorted(at, begin, "right") - 1]
     pieces = -(-(end - begin) // STRETCH)
-    if len(pieces) and pieces.max() > 1:
+    if pieces.max() > 1:
         owner = np.repeat(np.arange(len(begin)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin, end = begin[owner] + nth * STRETCH, np.minimum(begin[owner] + (nth + 1) * STRETCH, end[owner])
-    return begin, end, cores[begin]
-
-
-def cores_met_again(text: np.ndarray, length: int) -> np.ndarray:
-    """Cores at more than one place of the text: their strings may repeat inside one stretch."""
-    core = max(1, length // 5)
-    width = length - core + 1
-    if len(text) < length:
-        return np.zeros(0, np.int64)
-    hashes = _hashes(text, core)
-    # a place is a core's if its hash is the largest core of the strings around it
-    around = np.full(len(hashes) + width - 1, np.iinfo(np.uint64).max, np.uint64)
-    around[width - 1 : len(hashes)] = ~_least(hashes, width)
-    values, times = np.unique(hashes[~_least(around, width) == hashes], return_counts=True)
-    return values[times > 1].view(np.int64)
+        core = core[owner]
+    return begin, end, core, again
 
 
-def _stretch(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def _stretch(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=8).digest()
 
 
 def _block(length: int, number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
     whole = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
-    begin, end, core = runs_of(np.frombuffer(whole, np.uint8), sizes, length)
-    again = set(cores_met_again(np.frombuffer(whole, np.uint8), length).tolist())
-    times: dict[tuple[int, int], int] = {}
-    for b, e, c in zip(begin.tolist(), end.tolist(), core.tolist()):
-        key = (c, _stretch(whole[b : e + length - 1]))
-        times[key] = times.get(key, 0) + 1
-    runs = [{"core": c, "stretch": s, "n": min(n, 2), "again": c in again} for (c, s), n in times.items()]
+    begin, end, core, again = runs_of(np.frombuffer(whole, np.uint8), sizes, length)
+    digests = [_stretch(whole[b:e]) for b, e in zip(begin.tolist(), (end + length - 1).tolist())]
+    stretch = np.frombuffer(b"".join(digests), "<i8")
+    order = np.lexsort((begin, stretch, core))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(core[order]) != 0) | (np.diff(stretch[order]) != 0)
+    firsts = order[new]
+    n = np.diff(np.append(np.flatnonzero(new), len(order)))
+    twice = np.sort(order[np.repeat(n, n) > 1])
+    recur = np.stack((begin[twice], end[twice]), axis=1).astype("<i4").tobytes()
+    columns = [core, stretch, begin, end - begin]
+    runs = [c[firsts] for c in columns] + [np.minimum(n, 2), np.isin(core[firsts], again)]
+    held = pa.StructArray.from_arrays([pa.array(c).cast(t) for c, (_, t) in zip(runs, _RUN)], [name for name, _ in _RUN])
     packed = zstandard.ZstdCompressor(level=3).compress(whole)
-    columns = [[number], [ids], [sizes.tolist()], [packed], [runs]]
+    columns = [[number], [ids], [sizes.tolist()], [packed], [recur]]
     arrays = [pa.array(c, f.type) for c, f in zip(columns, _BLOCKS_ARROW)]
+    arrays.append(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held))
     return pa.RecordBatch.from_arrays(arrays, schema=_BLOCKS_ARROW)
 
 
@@ -207,7 +243,9 @@ def _met(batches):
 
 
 def _repeated(rows: list[np.ndarray]):
-    core, stretch, n, again, block = rows
+    """Rows of whole cores: the stretches that are sent to be sorted (``sent``) and the blocks
+    that are told that all strings of a stretch repeat (``told``)."""
+    core, stretch, begin, starts, n, again, block = rows
     if not len(core):
         return
     new = np.ones(len(core), bool)
@@ -217,34 +255,28 @@ def _repeated(rows: list[np.ndarray]):
 
     def totals(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(starts)
-        return np.repeat(np.add.reduceat(values, at), np.diff(np.append(at, len(values))))
-
-    keep = totals(n + again, new) > 1
-    columns = [core, stretch, block, totals(n, first) > 1, first]
+        return np.repeat(np.add.reduceat(values.astype(np.int64), at), np.diff(np.append(at, len(values))))
+
+    twice = totals(n, first) > 1
+    # a stretch that occurs once is compared with the others of its core and, where the core
+    # is met again in it, with itself
+    asked = (totals(~twice, new) > 0) & ((totals(first, new) > 1) | (totals(again, new) > 0))
+    sent = first & asked
+    told = twice & (n == 1)
+    keep = sent | told
+    columns = [core, block, begin, starts, twice, sent, told]
     arrays = [pa.array(c[keep]) for c in columns]
-    yield pa.RecordBatch.from_arrays(arrays, ["core", "stretch", "block", "twice", "first"])
+    yield pa.RecordBatch.from_arrays(arrays, ["core", "block", "begin", "starts", "twice", "sent", "told"])
 
 
-def _texts(length: int, blocks: pa.Table, met: pa.Table) -> pa.Table:
+def _texts(length: int, blocks: pa.Table, sent: pa.Table) -> pa.Table:
     """Texts of the stretches that a block sends."""
-    wanted = dict(zip(zip(met["core"].to_pylist(), met["stretch"].to_pylist()), met["twice"].to_pylist()))
-    out: list[tuple] = []
-    if wanted:
-        for packed, sizes in zip(blocks["packed"].to_pylist(), blocks["sizes"].to_pylist()):
-            for key, begin, end, whole in _runs_among(packed, sizes, {c for c, _ in wanted}, length):
-                if key in wanted:
-                    out.append((*key, wanted.pop(key), whole[begin : end + length - 1]))
-    columns = [[r[k] for r in out] for k in range(4)]
-    return pa.table(columns, schema=_TEXTS)
-
-
-def _runs_among(packed: bytes, sizes: list[int], cores: set[int], length: int):
-    """``((core, stretch), begin, end, whole text)`` of a block's runs with one of the cores."""
-    whole = _whole(packed)
-    begin, end, core = runs_of(np.frombuffer(whole, np.uint8), np.array(sizes, np.int64), length)
-    on = np.isin(core, np.fromiter(cores, np.int64, len(cores)))
-    for b, e, c in zip(begin[on].tolist(), end[on].tolist(), core[on].tolist()):
-        yield (c, _stretch(whole[b : e + length - 1])), b, e, whole
+    if not len(sent) or not len(blocks):
+        return _TEXTS.empty_table()
+    whole = _whole(blocks["packed"][0].as_py())
+    begin, starts = (sent[c].to_numpy() for c in ("begin", "starts"))
+    texts = [whole[b:e] for b, e in zip(begin.tolist(), (begin + starts + length - 1).tolist())]
+    return pa.table([*(sent[c] for c in _TEXTS.names[:-1]), pa.array(texts, pa.binary())], schema=_TEXTS)
 
 
 # Suffix sorting ------------------------------------------------------------------
@@ -337,51 +369,60 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     return found[starts]
 
 
-def _marked_runs(flags: np.ndarray) -> bytes:
-    """Begins and ends of the runs of true flags, as pairs of 32 bits."""
-    return np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).astype("<i4").tobytes()
+def _marked_runs(flags: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of true flags; no run goes on where ``new`` is true."""
+    begin = flags.copy()
+    begin[1:] &= ~flags[:-1] | new[1:]
+    end = flags.copy()
+    end[:-1] &= ~flags[1:] | new[1:]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
 def _sorted_task(length: int, table: pa.Table) -> pa.Table:
-    """Runs of repeated strings of each stretch of some cores."""
+    """Runs of repeated strings of those stretches of some cores that occur once."""
     texts = [t.as_buffer().to_pybytes() for t in table["text"]]
     sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(sizes) - sizes
     counts = sizes - length + 1
-    starts = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    within = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+    starts = (np.cumsum(sizes) - sizes)[owner] + within
     found = repeated_starts(np.frombuffer(b"".join(texts), np.uint8), starts, length)
-    found |= np.repeat(table["twice"].to_numpy(), counts)
-    cuts = np.concatenate(([0], np.cumsum(counts)))
-    runs = [_marked_runs(found[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    return pa.table([table["core"], table["stretch"], pa.array(runs, pa.binary())], schema=_FOUND)
+    found &= ~table["twice"].to_numpy()[owner]
+    first, stop = _marked_runs(found, within == 0)
+    at = owner[first]
+    begin = table["begin"].to_numpy()[at] + within[first]
+    columns = [table["block"].to_numpy()[at], begin, begin + stop - first]
+    return pa.table([pa.array(c).cast(f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
 
 
 def _single_strings(length: int, batches):
     """Every string of the stretches of cores that have very many, by its digest."""
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for core, stretch, twice, text in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("block", "begin", "twice", "text")]
+        for block, begin, twice, text in zip(*columns):
             keys = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(len(text) - length + 1)]
             n = len(keys)
-            arrays = [[core] * n, [stretch] * n, list(range(n)), keys, [2 if twice else 1] * n]
+            arrays = [[block] * n, [begin] * n, list(range(begin, begin + n)), keys, [2 if twice else 1] * n]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()))],
-                ["core", "stretch", "at", "key", "n"],
+                [pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()))],
+                ["block", "begin", "at", "key", "n"],
             )
 
 
 def _joined_starts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    flags = np.zeros(max(STRETCH, 1), bool)
-    flags[table["at"].to_numpy()] = True
-    return pa.table([[key[0].as_py()], [key[1].as_py()], [_marked_runs(flags)]], schema=_FOUND)
+    at = np.sort(table["at"].to_numpy())
+    new = np.ones(len(at), bool)
+    new[1:] = np.diff(at) != 1
+    end = at[np.append(new[1:], True)] + 1
+    columns = [np.full(len(end), key[0].as_py(), np.int64), at[new], end]
+    return pa.table([pa.array(c).cast(f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
 
 
 def repeated_runs(texts: DataFrame, length: int, stretches: int = STRETCHES) -> DataFrame:
-    """``(core, stretch, found)``: the runs of repeated strings of every stretch."""
+    """``(block, begin, end)``: the runs of repeated strings of the stretches that occur once."""
     sizes = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     tasks = max(1, -(-sizes // SORTED_BYTES))
     many = stored(texts.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretches).select("core"), "many")
-    names = ", ".join(f"{f.name} {'binary' if pa.types.is_binary(f.type) else 'long'}" for f in _FOUND)
     # without such cores the texts are exchanged once, for their tasks
     none = many.isEmpty()
     usual = texts if none else texts.join(many, "core", "left_anti")
@@ -390,44 +431,57 @@ def repeated_runs(texts: DataFrame, length: int, stretches: int = STRETCHES) ->
     def task(rows: pa.Table) -> pa.Table:
         return _sorted_task(length, rows)
 
-    found = dealt.groupBy("task").applyInArrow(task, names)
+    found = dealt.groupBy("task").applyInArrow(task, _FOUND)
     if none:
         return found
-    strings = texts.join(many, "core", "left_semi").select("core", "stretch", "twice", "text").mapInArrow(
-        partial(_single_strings, length), "core long, stretch long, at int, key binary, n int"
+    strings = texts.join(many, "core", "left_semi").mapInArrow(
+        partial(_single_strings, length), "block long, begin int, at int, key binary, n int"
     )
-    twice = strings.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
-    single = strings.join(twice, "key", "left_semi").groupBy("core", "stretch").applyInArrow(_joined_starts, names)
+    repeated = strings.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
+    single = strings.join(repeated, "key", "left_semi").groupBy("block", "begin").applyInArrow(_joined_starts, _FOUND)
     return found.unionByName(single)
 
 
 # Result --------------------------------------------------------------------------
 
 
+def _spans(sizes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, begin and end of the joined spans; none goes beyond its document."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
+    # a document without bytes begins where the next one does
+    owner = np.searchsorted(np.cumsum(sizes) - sizes, begin, "right") - 1
+    far = np.maximum.accumulate(end)
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > far[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], begin[new], far[np.append(new[1:], True)] if len(new) else far
+
+
 def _cut(length: int, blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """What is left of a block's documents."""
-    runs = dict(zip(zip(answers["core"].to_pylist(), answers["stretch"].to_pylist()), answers["found"].to_pylist()))
-    out: list[tuple] = []
-    for packed, sizes, ids in zip(*(blocks[c].to_pylist() for c in ("packed", "sizes", "ids"))):
-        whole = _whole(packed)
-        edge = np.zeros(len(whole) + 1, np.int32)
-        if runs:
-            met = [(b, runs[key]) for key, b, _, _ in _runs_among(packed, sizes, {c for c, _ in runs}, length) if key in runs]
-            cuts = np.frombuffer(b"".join(f for _, f in met), "<i4").astype(np.int64)
-            cuts += np.repeat([b for b, _ in met], [len(f) // 4 for _, f in met]).astype(np.int64)
-            edge += np.bincount(cuts[0::2], minlength=len(edge)).astype(np.int32)
-            edge -= np.bincount(cuts[1::2] + length - 1, minlength=len(edge)).astype(np.int32)
-        gone = np.cumsum(edge)[:-1] > 0
-        begin = 0
-        for doc_id, size in zip(ids, sizes):
-            cut, text = gone[begin : begin + size], whole[begin : begin + size]
-            begin += size
-            ends = np.flatnonzero(np.diff(np.concatenate(([0], cut.astype(np.int8), [0])))).tolist()
-            spans = [{"begin": b, "end": e} for b, e in zip(ends[0::2], ends[1::2])]
-            kept = np.frombuffer(text, np.uint8)[~cut].tobytes() if spans else text
-            out.append((doc_id, size, size - len(kept), spans, kept))
-    columns = [[r[k] for r in out] for k in range(5)]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _RESULT_ARROW)], schema=_RESULT_ARROW)
+    if not len(blocks):
+        return _RESULT_ARROW.empty_table()
+    packed, sizes, ids, again = (blocks[c][0].as_py() for c in ("packed", "sizes", "ids", "again"))
+    whole = _whole(packed)
+    sizes = np.array(sizes, np.int64)
+    recur = np.frombuffer(again, "<i4").reshape(-1, 2).astype(np.int64)
+    begin, end = (np.concatenate((answers[c].to_numpy(), recur[:, k])) for k, c in enumerate(("begin", "end")))
+    owner, begin, end = _spans(sizes, begin, end + length - 1)
+    firsts = np.cumsum(sizes) - sizes
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sizes))))).tolist()
+    gone = np.bincount(owner, end - begin, minlength=len(sizes)).astype(np.int64)
+    removed = np.stack((begin, end), axis=1).ravel().tolist()
+    kept = []
+    for k, (at, stop) in enumerate(zip(firsts.tolist(), (firsts + sizes).tolist())):
+        if cuts[k] == cuts[k + 1]:
+            kept.append(whole[at:stop])
+            continue
+        edges = [at, *removed[2 * cuts[k] : 2 * cuts[k + 1]], stop]
+        kept.append(b"".join([whole[a:b] for a, b in zip(edges[0::2], edges[1::2])]))
+    held = pa.StructArray.from_arrays([pa.array(begin - firsts[owner]), pa.array(end - firsts[owner])], [n for n, _ in _SPAN])
+    spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), held)
+    columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(gone), spans, pa.array(kept, pa.binary())]
+    return pa.table(columns, schema=_RESULT_ARROW)
 
 
 def remove_repeats(
@@ -438,16 +492,16 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
     blocks = stored(narrow.mapInArrow(partial(_blocks, length, BLOCK_BYTES), _BLOCKS), "blocks")
-    runs = blocks.select("block", F.inline("runs")).select("core", "stretch", "n", "again", "block")
+    inline = F.inline("runs").alias("core", "stretch", "begin", "starts", "n", "again")
+    runs = blocks.select("block", inline).select("core", "stretch", "begin", "starts", "n", "again", "block")
     sorted_runs = runs.repartition("core").sortWithinPartitions("core", "stretch", "block")
     met = stored(sorted_runs.mapInArrow(_met, _MET), "stretches-met")
-    sent = met.where("first").select("block", "core", "stretch", "twice").groupBy("block")
+    sent = met.where("sent").select("core", "block", "begin", "starts", "twice").groupBy("block")
     texts = stored(
-        blocks.select("block", "sizes", "packed").groupBy("block").cogroup(sent).applyInArrow(
-            partial(_texts, length), "core long, stretch long, twice boolean, text binary"
-        ), "stretches",
-    )
-    found = repeated_runs(texts, length, stretches).where(F.length("found") > 0)
-    answers = met.select("core", "stretch", "block").join(found, ["core", "stretch"])
-    held = blocks.select("block", "ids", "sizes", "packed").groupBy("block")
-    return held.cogroup(answers.groupBy("block")).applyInArrow(partial(_cut, length), _RESULT)
+        blocks.select("block", "packed").groupBy("block").cogroup(sent).applyInArrow(partial(_texts, length), _SENT),
+        "stretches",
+    )
+    told = met.where("told").select("block", "begin", (F.col("begin") + F.col("starts")).alias("end"))
+    answers = told.unionByName(repeated_runs(texts, length, stretches)).groupBy("block")
+    held = blocks.select("block", "ids", "sizes", "packed", "again").groupBy("block")
+    return held.cogroup(answers).applyInArrow(partial(_cut, length), _RESULT)

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,69 @@ def test_documents_that_touch_do_not_join(docs_of):
     half = "".join(random.Random(4).choices("abcdefgh", k=100))
     rows = [(1, half), (2, half), (3, half + half), (4, "-" + half + half)]
     assert got(suffix_dedup.remove_repeats(docs_of(rows).coalesce(1))) == plain(rows, 200)
+
+
+def words(seed, n):
+    return "".join(random.Random(seed).choices("abcdefghijklmnop ", k=n))
+
+
+def test_stretches_that_recur_as_a_whole_are_not_sorted(docs_of, monkeypatch):
+    """A copy in another block or in the same one needs no sorting; where a passage begins or
+    ends inside other text, only the stretches at its edges do."""
+    sent = []
+    plainly = suffix_dedup.repeated_runs
+
+    def counted(texts, *more):
+        sent.append(texts.count())
+        return plainly(texts, *more)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_runs", counted)
+    copies = [(i, words(i % 7, 3000)) for i in range(21)]
+    edges = [(30, words(30, 900) + words(31, 4000) + words(32, 900)), (31, words(33, 700) + words(31, 4000) + words(34, 700))]
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", most)
+        assert got(suffix_dedup.remove_repeats(docs_of(copies))) == plain(copies, 200)
+        assert got(suffix_dedup.remove_repeats(docs_of(copies + edges))) == plain(copies + edges, 200)
+    assert sent[0] == sent[2] == 0
+    assert 0 < max(sent) <= 8
+
+
+def test_a_block_is_hashed_once(monkeypatch):
+    texts = [words(1, 700).encode(), b"", words(2, 300).encode() + words(1, 700).encode()]
+    held = pa.Table.from_batches([suffix_dedup._block(200, 5, [1, 2, None], texts)])
+    run = max(held["runs"][0].as_py(), key=lambda r: r["begin"])
+    for name in ("runs_of", "_hashes", "_stretch"):
+        monkeypatch.setattr(suffix_dedup, name, None)
+    row = {"core": run["core"], "block": 5, "begin": run["begin"], "starts": run["starts"], "twice": False}
+    sent = pa.Table.from_pylist([row], suffix_dedup._TEXTS.remove(4).insert(3, pa.field("starts", pa.int32())))
+    text = suffix_dedup._texts(200, held, sent)["text"].to_pylist()
+    assert text == [b"".join(texts)[run["begin"] :][: run["starts"] + 199]]
+    left = suffix_dedup._cut(200, held, suffix_dedup._FOUND_ARROW.empty_table()).to_pylist()
+    assert [r["doc_id"] for r in left] == [1, 2, None]
+    assert 0 < left[0]["n_removed"] < 700 and left[0]["n_removed"] == left[2]["n_removed"]
+
+
+@pytest.mark.parametrize("length", [1, 9, 40, 200])
+def test_runs_do_not_depend_on_the_hashed_parts(monkeypatch, length):
+    rng = np.random.default_rng(length)
+    for letters in (1, 2, 20):
+        sizes = rng.integers(0, 3 * length, 25)
+        text = rng.integers(97, 97 + letters, sizes.sum()).astype(np.uint8)
+        whole = suffix_dedup.runs_of(text, sizes, length)
+        begin, end, core, _ = whole
+        hashes = suffix_dedup._hashes(text, max(1, length // 5)).view(np.int64)
+        ends = np.cumsum(sizes)
+        strings = [p for a, b in zip(ends - sizes, ends) for p in range(a, b - length + 1)]
+        assert [p for a, b in zip(begin, end) for p in range(a, b)] == strings
+        for a, b, c in zip(begin, end, core):
+            for p in range(a, b):
+                assert hashes[p : p + length - max(1, length // 5) + 1].view(np.uint64).min() == c.view(np.uint64)
+        monkeypatch.setattr(suffix_dedup, "HASHED", 37)
+        assert all((a == b).all() for a, b in zip(whole, suffix_dedup.runs_of(text, sizes, length)))
+        monkeypatch.undo()
+
+
+def test_joined_spans_stay_in_their_documents():
+    sizes = np.array([0, 10, 0, 10, 5])
+    owner, begin, end = suffix_dedup._spans(sizes, np.array([14, 2, 10, 4, 0, 20]), np.array([18, 6, 14, 10, 1, 25]))
+    assert list(zip(owner.tolist(), begin.tolist(), end.tolist())) == [(1, 0, 1), (1, 2, 10), (3, 10, 18), (4, 20, 25)]
