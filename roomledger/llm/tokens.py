@@ -52,6 +52,12 @@ def strings(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def unassigned(piece: str) -> bool:
+    """Whether a character is in doubt: tables of a newer Unicode may call it a letter or number,
+    and ``regex`` and the tokenizers do not have the same tables."""
+    return not piece.isascii() and not piece.isprintable() and any(unicodedata.category(c) == "Cn" for c in piece)
+
+
 def as_bytes(piece: str) -> str:
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(ALPHABET)
 
@@ -99,7 +105,7 @@ class WordIds:
         ):
             found = self._word(low)
             return found + self._word(chunk[len(word) :]) if len(word) < len(chunk) else found
-        if "<|" in chunk and any(s in chunk for s in self.special):
+        if "<|" in chunk and any(s in chunk for s in self.special) or unassigned(chunk):
             return self._library(chunk)
         return b"".join(map(self._word, self.find(self.normal(chunk))))
 
@@ -131,7 +137,13 @@ class BytePretokens:
         self.model = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.find = regex.compile(BYTE_PATTERN).findall
+        self._matches = regex.compile(BYTE_PATTERN).findall
+
+    def find(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        if unassigned(text):
+            return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
+        return self._matches(text)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text or of a piece between safe cuts; special strings stand alone."""

@@ -62,6 +62,17 @@ def test_word_ids_equal_the_library(texts):
     assert got == [np.array(x, "<u4").tobytes() for x in library_ids(queries.WORDS, texts)]
 
 
+@pytest.mark.parametrize("odd", ["\U0003d000", "\U0003ded1\u58eb", "\u0558", "\u208f", "\ufdd0", "\U0010ffff"])
+def test_letters_of_a_newer_unicode_count_as_the_library_counts_them(docs_of, odd):
+    """``regex`` knows more letters than the tokenizers do."""
+    texts = [odd, ":" + odd, odd + ":", "a" + odd, odd + "b 7" + odd, " " + odd + "  " + odd + " c", "é" + odd + "<|endoftext|>" + odd, "it's" + odd]
+    texts += [" ".join(texts), "\n".join(texts), "\x85".join(texts)]
+    got = WordIds(queries.WORDS)(pa.array(texts, pa.string()))
+    assert got == [np.array(x, "<u4").tobytes() for x in library_ids(queries.WORDS, texts)]
+    counts = token_counts.count_tokens(docs_of(list(enumerate(texts))), queries.BYTES).collect()
+    assert {r.doc_id: r.n_tokens for r in counts} == {i: len(x) for i, x in enumerate(library_ids(queries.BYTES, texts))}
+
+
 def test_pieces_tile_documents_and_sequences(docs_of):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "\n"), (None, "no id")]
     got = packing.pack(docs_of(rows).repartition(2), queries.WORDS, with_ids=True).collect()
