@@ -17,9 +17,13 @@
    within a component change nothing and are not looked for. So every candidate pair is
    decided, proven to be no link, or already connected; none is capped.
 
-Full sets are made anew from the texts of the documents in question. A bitmap of
-their hashed ids, broadcast to the scan, keeps most other texts out of that exchange; it
-is a filter only, the join on the id decides.
+Full sets are made anew from the texts of the documents in question: once for the pairs
+of the ``EARLY`` bands, and once for all rows of the buckets that are mixed after them. A
+bitmap of their hashed ids, broadcast to the scan, keeps most other texts out of that
+exchange; it is a filter only, the join on the id decides.
+
+Every Spark action costs the driver memory for its plan, threads, broadcasts and
+exchanges, however few rows it has. So steps that have nothing left to do are skipped.
 
 A link at the threshold shares no band with probability below 3e-7, and is below the
 estimate's bound with probability below 3e-7.
@@ -188,7 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds; every round is written to the shared folder.
     """
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    return _contracted(stored(edges.select("a", "b").where("a <> b").distinct(), "edges"))
+
+
+def _contracted(now: DataFrame) -> DataFrame:
+    """``components`` of distinct stored edges without loops."""
     while not _is_star_forest(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -232,47 +240,53 @@ def _decided(percent, batches):
         yield pa.RecordBatch.from_arrays(kept.columns, schema=schema)
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` with these ids, one for each id."""
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, shingles)``: the full sets of the texts with these ids, one for each id."""
     near = marked(texts, ids).where("_maybe").select("doc_id", "text")
-    return near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    near = near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(near.mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    read = _texts_of(texts, ids)
-    sets = stored(read.mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
     held = pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "one", "other")
-    links = stored(held.mapInArrow(functools.partial(_decided, percent), "a long, b long"), "links")
-    discard(sets)
-    return links
+    return stored(held.mapInArrow(functools.partial(_decided, percent), "a long, b long"), "links")
 
 
 class _Groups:
-    """Representatives and the components found so far."""
+    """Representatives and the components found so far, none before the first links."""
 
     def __init__(self, chosen: DataFrame) -> None:
         self.chosen = chosen
-        none = chosen.sparkSession.createDataFrame([], "node long, component long")
-        self.parts = none
+        self.parts: DataFrame | None = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the component ``part`` of their ``rep``."""
+        if self.parts is None:
+            return rows.withColumn("part", F.col("rep"))
         joined = rows.join(self.parts, F.col("rep") == F.col("node"), "left")
         part = F.coalesce("component", "rep").alias("part")
         return joined.select(*rows.columns, part)
 
-    def connect(self, links: DataFrame) -> None:
-        """Joins the components that the links connect."""
+    def connect(self, links: DataFrame) -> bool:
+        """Joins the components that the links (distinct, stored) connect; whether there were
+        any to join."""
+        if links.isEmpty():
+            return False
+        if self.parts is None:
+            self.parts = _contracted(links)
+            return True
         ends = []
         for end in ("a", "b"):
             known = self.parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
             links = links.join(known, end, "left")
             ends.append(F.coalesce(f"of_{end}", end).alias(end))
-        new = components(links.select(*ends))
+        links = stored(links.select(*ends).where("a <> b").distinct(), "edges")
+        if links.isEmpty():
+            return False
+        new = _contracted(links)
         moved = self.parts.join(
             new.select(F.col("node").alias("component"), F.col("component").alias("_now")),
             "component",
@@ -280,6 +294,7 @@ class _Groups:
         ).select("node", F.coalesce("_now", "component").alias("component"))
         fresh = new.join(self.parts.select("node"), "node", "left_anti")
         self.parts = stored(moved.unionByName(fresh), "components")
+        return True
 
 
 def _mixed_buckets(rows: DataFrame) -> DataFrame:
@@ -308,28 +323,36 @@ def near_groups(
     chosen = stored(chosen.select(F.col("doc_id").alias("rep"), "bands", "bits"), "representatives")
     groups, floor, tried = _Groups(chosen), lowest_estimate(percent), None
 
-    def decide(pairs: DataFrame) -> None:
+    def decide(pairs: DataFrame, sets: DataFrame | None = None) -> bool:
+        """Whether components were joined. ``sets``: those of all ends, if there are any yet."""
         nonlocal tried
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        if not pairs.isEmpty():
-            links = _links(pairs, texts, percent)
-            if not links.isEmpty():
-                groups.connect(links)
+        if pairs.isEmpty():
+            return False
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if sets is not None:
+            near = marked(sets, ids).where("_maybe").select("doc_id", "shingles")
+            return groups.connect(_links(pairs, near, percent))
+        sets = _sets_of(texts, ids)
+        joined = groups.connect(_links(pairs, sets, percent))
+        discard(sets)
+        return joined
 
     early = groups.labelled(chosen.select("rep", F.explode(F.slice("bands", 1, EARLY)).alias("band")))
     decide(_stars(_mixed_buckets(early), chosen, floor))
     # buckets that one component holds now stay so
     every = groups.labelled(chosen.select("rep", "bands")).select("rep", "part", F.explode("bands").alias("band"))
     bucketed = stored(_mixed_buckets(every), "buckets")
-    decide(_stars(bucketed, chosen, floor))
-    _apart(groups.labelled(bucketed.select("band", "rep")), groups, texts, floor, percent, decide)
+    if not bucketed.isEmpty():
+        # heads are members, so these are the ends of all later pairs
+        sets = _sets_of(texts, bucketed.select(F.col("rep").alias("doc_id")).distinct())
+        decide(_stars(bucketed, chosen, floor), sets)
+        _apart(groups.labelled(bucketed.select("band", "rep")), groups, sets, floor, percent, decide)
+        discard(sets)
     discard(bucketed, chosen)
 
-    parts = groups.parts
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(
-        *_SET, F.coalesce("component", "rep").alias("component_id")
-    )
+    named = groups.labelled(classes).select(*_SET, F.col("part").alias("component_id"))
     # a class of very many copies meets its name in SPREAD parts
     part = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("_part")
     narrow = signed.select("doc_id", *_SET, part)
@@ -375,7 +398,7 @@ def _differences(percent: int, batches):
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _apart(rows: DataFrame, groups: _Groups, texts: DataFrame, floor: float, percent: int, decide) -> None:
+def _apart(rows: DataFrame, groups: _Groups, sets: DataFrame, floor: float, percent: int, decide) -> None:
     """Finds the links between rows of a bucket in different components.
 
     Rows are compared through their differences from the bucket's head. Rows with few
@@ -387,8 +410,9 @@ def _apart(rows: DataFrame, groups: _Groups, texts: DataFrame, floor: float, per
     """
     held = _mixed_buckets(rows)
     topics = stored(held.select("head", "rep").distinct(), "topics")
-    ids = topics.select(F.col("rep").alias("doc_id")).union(topics.select("head")).distinct()
-    sets = stored(_texts_of(texts, ids).mapInArrow(_sets, "doc_id long, shingles binary"), "shingles")
+    if topics.isEmpty():
+        discard(topics)
+        return
     one = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("one"))
     other = sets.select(F.col("doc_id").alias("head"), F.col("shingles").alias("other"))
     pairs = topics.join(one, "rep").join(other, "head").select("head", "rep", "one", "other")
@@ -400,9 +424,7 @@ def _apart(rows: DataFrame, groups: _Groups, texts: DataFrame, floor: float, per
     outright = apart.select("head", "rep", "excess").join(nearest, "head").where(
         (F.col("excess") + F.col("near.excess") <= 0) & (F.col("rep") != F.col("near.rep"))
     )
-    links = stored(outright.select(F.col("rep").alias("a"), F.col("near.rep").alias("b")).distinct(), "links")
-    if not links.isEmpty():
-        groups.connect(links)
+    groups.connect(stored(outright.select(F.col("rep").alias("a"), F.col("near.rep").alias("b")).distinct(), "links"))
 
     parts = groups.labelled(apart.select("head", "rep")).groupBy("head").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
     mixed = apart.join(parts.where("_low < _high").select("head"), "head")
@@ -419,16 +441,22 @@ def _apart(rows: DataFrame, groups: _Groups, texts: DataFrame, floor: float, per
     both = 2 * (100 + percent)
     meeting = ranked.join(asked, "band").where(F.col("spare") * both >= F.col("excess") + F.col("low"))
     meeting = stored(meeting.drop("low"), "prefixes")
-    decide(_stars(_mixed_buckets(groups.labelled(meeting.select("band", "rep"))), groups.chosen, floor))
-    columns = ["band", "rep", "excess", "spare", "part", "prefix"]
-    named = _mixed_buckets(groups.labelled(meeting)).select(*columns)
+    named = stored(_mixed_buckets(groups.labelled(meeting)), "meetings")
+    done = [topics, apart, tokens, ranked, meeting, named]
+    if named.isEmpty():
+        discard(*done)
+        return
+    if decide(_stars(named, groups.chosen, floor), sets):
+        # buckets that one component holds now stay so
+        named = stored(_mixed_buckets(groups.labelled(named.select(*meeting.columns))), "meetings")
+        done.append(named)
     left, right = named.where("prefix").alias("l"), named.alias("r")
     less = F.struct("l.excess", "l.rep") < F.struct("r.excess", "r.rep")
     enough = F.least("l.spare", "r.spare") * both >= F.col("l.excess") + F.col("r.excess")
     apart_still = (F.col("l.band") == F.col("r.band")) & (F.col("l.part") != F.col("r.part"))
     met = left.join(right, apart_still & less & enough)
-    decide(met.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct())
-    discard(topics, sets, apart, tokens, ranked, meeting, links)
+    decide(met.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct(), sets)
+    discard(*done)
 
 
 def drop_near_copies(

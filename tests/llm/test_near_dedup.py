@@ -121,6 +121,29 @@ def test_chains_and_stars_in_one_bucket(docs_of):
     check(rows, docs_of(rows))
 
 
+def test_steps_without_work_are_skipped(docs_of, monkeypatch):
+    """Every action costs the driver memory: sets are made once for all rows of mixed buckets,
+    and links within a component and buckets without any are not followed up."""
+    made = []
+    whole = near_dedup.stored
+
+    def counted(rows, what="table"):
+        made.append(what)
+        return whole(rows, what)
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    rng = random.Random(11)
+    rows = []
+    for variant, text in enumerate(template(rng, 12, 4, 150)):
+        rows += [((variant * 8 + m) * 37 % 1009, " ".join(changed(text.split(), rng, m % 3))) for m in range(8)]
+    check(rows, docs_of(rows).repartition(3))
+    assert made.count("pairs") == 4 and made.count("shingles") == 2
+    made.clear()
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)]
+    check(rows, docs_of(rows))
+    assert made == ["signatures", "classes", "representatives", "pairs", "buckets"]
+
+
 def test_signatures_estimate_similarity(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(600)]
